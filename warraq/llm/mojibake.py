@@ -209,7 +209,7 @@ def _plain_log(a: str, b: str) -> float:
 
     def kind(c: str) -> int:
         o = ord(c)
-        if o < 0x80:
+        if o < 0x80 or 0x2010 <= o <= 0x2015 or o in (0x2026, 0xA0, 0xAC, 0xAD):
             return 0
         if 0x0621 <= o <= 0x0652 or 0x0660 <= o <= 0x0669 or o in (0x060C, 0x061B, 0x061F, 0x0670):
             return 1
@@ -217,6 +217,8 @@ def _plain_log(a: str, b: str) -> float:
             return 2
         return 3
 
+    if b == "\ufffd":
+        return -4.0
     x, y = kind(a), kind(b)
     return (-3.0, -3.0, -6.0, -11.0)[y] - (3.0 if x != y and 0 not in (x, y) else 0.0)
 

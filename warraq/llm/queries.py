@@ -34,6 +34,27 @@ def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_form(read(spark, sf_dir, "parallel_corpus", "row_id", "text"), "row_id", "text")
 
 
+_CORPUS = ("row_id", "page_id", "system", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.truncation import truncated
+
+    return truncated(read(spark, sf_dir, "parallel_corpus", *_CORPUS)).select("row_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.truncation import rates
+
+    return rates(read(spark, sf_dir, "parallel_corpus", *_CORPUS))
+
+
+def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.truncation import endings, limits
+
+    return limits(endings(read(spark, sf_dir, "parallel_corpus", *_CORPUS)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
