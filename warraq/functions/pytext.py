@@ -16,7 +16,7 @@ FOLD_FROM = "آأإٱىئیؤک"
 FOLD_TO = "اااايييوك"
 TA_MARBUTA, HEH = "ة", "ه"
 PUNCTUATION = "،؛؟٪٫٬٭۔!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~—–"
-LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 _LINE_NO = re.compile(r"^\s*\d+\s*[\t.)]\s*")
 _MARKS = {ord(c): None for c in DIACRITICS + TATWEEL}
