@@ -35,7 +35,7 @@ _SPACE = re.compile(f"[{ODD_SPACE}]")
 _VARIANT = re.compile(f"(?!{SINGLE_SIGN})[{PRESENTATION}]+")
 _FOREIGN = re.compile("[Ͱ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
-_JOINING = re.compile("[ً-ٰٟ]*[ء-ۓ]")
+_JOINING = re.compile("[\u064b-\u065f\u0670]*[\u0621-\u06d3]")
 _MEMBERS = {c: k for k in LOOKALIKE_CLASSES for c in k}
 
 

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from warraq.session import read
 
 
+def _consensus(spark: SparkSession, sf_dir: str):
+    from warraq.llm.consensus import Consensus
+
+    return Consensus(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).departing()
+
+
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).consensus()
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).reliability()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_repaired(spark, sf_dir).select("row_id", "field")
 

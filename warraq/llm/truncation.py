@@ -31,7 +31,7 @@ LENGTHS = {
     "utf8": lambda t: len(t.encode("utf-8", "surrogatepass")),
     "utf16": lambda t: len(t.encode("utf-16-le", "surrogatepass")) // 2,
     "html": lambda t: len(html.escape(t)),
-    "entities": lambda t: sum(1 if c < "\x80" else len(str(ord(c))) + 3 for c in t),
+    "entities": lambda t: len(t.encode("ascii", "xmlcharrefreplace")),
     "json": lambda t: len(json.dumps(t)) - 2,
     "json_utf8": lambda t: len(json.dumps(t, ensure_ascii=False).encode("utf-8", "surrogatepass")) - 2,
     "crlf": lambda t: len(t) + t.count("\n"),

@@ -14,7 +14,7 @@ ABSTAIN = ""
 UNREADABLE = re.compile(r"\[\s*غير واضح\s*\]")
 COMMENT = "#"
 
-_MARKS = re.compile("[ـً-ٰٟ]")
+_MARKS = re.compile("[\u0640\u064b-\u065f\u0670]")
 # Words that go with the number of a page or leaf, and letters for its sides.
 FOLIO_WORDS = "ورقة|صفحة|الورقة|الصفحة|ص|ق|page|pag|p|folio|fol|f|ff|leaf"
 _FOLIO = re.compile(
