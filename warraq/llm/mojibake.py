@@ -253,8 +253,9 @@ def garbled(text: str, model: CharModel | None = None, margin: float = MARGIN) -
     tail = len(text.rstrip())
     for start, end in stretches(text):
         parts = [(start, end)]
-        if not _EVIDENCE.search(text, start, end):
-            continue
+        signs = len(_EVIDENCE.findall(text, start, end))
+        if not signs or model is None and (signs < 2 or signs * 5 < end - start):
+            continue  # without a model, single odd characters prove nothing
         gain, back = _likeliest(text[start:end], model)
         if back is None:  # a clean word may stick to the stretch: try its tokens one by one
             parts = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]

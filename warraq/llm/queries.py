@@ -39,6 +39,18 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_values(corpus, "row_id", ("text", "source_path"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.scannoise import ScanNoise
+
+    return ScanNoise(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text"), keep=False).found()
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.scannoise import ScanNoise
+
+    return ScanNoise(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text")).paragraphs()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from warraq.llm.homoglyph import consistent_form
 
