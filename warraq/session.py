@@ -26,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_salt: int = 20_000, most: int = 1_000) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows_per_salt: int = 4_000, most: int = 1_000) -> DataFrame:
     """Keys that need more than one salt, with the number of salts.
 
     At most ``most`` keys come out (the threshold rises with the row count), so the
