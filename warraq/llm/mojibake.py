@@ -48,9 +48,9 @@ _SPLIT = "\u0001"  # stands before and after each stretch in the model
 _BINS = 1 << 22
 
 
-def _bytes_of(name: str) -> dict[int, str | None]:
+def _bytes_of(name: str) -> dict[int, str]:
     """Map from character to the Latin-1 character of its byte; undefined bytes stand for themselves."""
-    table: dict[int, str | None] = {}
+    table: dict[int, str] = {}
     for b in range(256):
         try:
             table[ord(bytes([b]).decode(name))] = chr(b)
@@ -61,6 +61,8 @@ def _bytes_of(name: str) -> dict[int, str | None]:
     for c in (0x20, 0x0A, 0x09):
         table[c] = chr(c)
     table[0xFFFD] = "\xff"
+    for c in range(0x100):
+        table.setdefault(c, "\ue000")  # not in the encoding
     return table
 
 
@@ -73,14 +75,10 @@ def decode_chain(text: str, read_as: str, written_in: str) -> str | None:
 
     Bytes that got lost come back as U+FFFD.
     """
-    table = _ENCODE[read_as]
-    out = []
-    for ch in text:
-        b = table.get(ord(ch))
-        if b is None:
-            return None
-        out.append(b)
-    raw = "".join(out).encode("latin-1")
+    try:
+        raw = text.translate(_ENCODE[read_as]).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
     back = raw.decode(written_in, "replace")
     return None if back == text else back
 

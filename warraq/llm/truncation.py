@@ -66,7 +66,7 @@ def verdict(tail: str, page: str) -> float:
     row, ref = tail.split(), page.split()
     if not ref or tail == page:
         return 0.0
-    if not row:
+    if not row or row[-2:] == ref[-2:]:
         return 0.0
     cost, lost, part = missing_end(row, ref)
     if cost > 0.5:

@@ -17,6 +17,7 @@ COMMENT = "#"
 _MARKS = re.compile("[\u0640\u064b-\u065f\u0670]")
 # Words that go with the number of a page or leaf, and letters for its sides.
 FOLIO_WORDS = "ورقة|صفحة|الورقة|الصفحة|ص|ق|page|pag|p|folio|fol|f|ff|leaf"
+_DIGIT = re.compile(r"\d")
 _FOLIO = re.compile(
     rf"[\W_]*(?:\d+[\W_]*(?:[أابrvab][\W_]*)?(?:\d+[\W_]*)?|(?:{FOLIO_WORDS})[\W_]*\d+[\W_]*(?:[أابوظrvab][\W_]*)?)", re.IGNORECASE
 )
@@ -28,8 +29,9 @@ def lines_of(text: str) -> list[str]:
 
 def is_folio(line: str) -> bool:
     """A page or leaf number and nothing else."""
-    line = _MARKS.sub("", line)
-    return any(c.isdigit() for c in line) and _FOLIO.fullmatch(line) is not None
+    if len(line) > 80 or not _DIGIT.search(line):
+        return False
+    return _FOLIO.fullmatch(_MARKS.sub("", line)) is not None
 
 
 def words_of(text: str, form: Form) -> list[str]:
