@@ -85,6 +85,67 @@ def p5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits(endings(read(spark, sf_dir, "parallel_corpus", *_CORPUS)))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.packing import pack
+    from warraq.llm.tokens import with_token_counts
+
+    counted = with_token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return pack(counted, read(spark, sf_dir, "context_windows"))
+
+
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.packing import fill
+
+    return fill(_packed(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    from warraq.llm.mixing import Mix
+    from warraq.llm.tokens import with_token_counts
+
+    counted = with_token_counts(read(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "text", "source")
+    return Mix(counted, read(spark, sf_dir, "mix_targets"))
+
+
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).records()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+def _scored(spark: SparkSession, sf_dir: str, spans: bool = False) -> DataFrame:
+    from warraq.llm.toxicity import fit, score
+
+    documents = read(spark, sf_dir, "documents", "doc_id", "text")
+    return score(documents, fit(documents, read(spark, sf_dir, "content_review")), spans=spans)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from warraq.llm.toxicity import THRESHOLD
+
+    return _scored(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, spans=True)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in need of review per source; the null source is a group of its own."""
+    from warraq.llm.toxicity import THRESHOLD
+
+    sources = read(spark, sf_dir, "documents", "doc_id", "source")
+    hit = F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)).cast("long")
+    per = sources.join(_scored(spark, sf_dir), "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.sum(hit).alias("flagged"))
+    return per.withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
