@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warraq.functions.pytext import DIACRITICS
 
@@ -17,7 +18,16 @@ _PUNCT = set("،؛؟.,!:٪٫٬٭۔")
 HAMZA = set("أإآٱا")
 YA = set("يى")
 TA = set("ةه")
-OPS = "array<struct<op: string, i: int, j: int, a: string, b: string>>"
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+# Types are objects, not text, so that workers can import this module without a session.
+OPS = T.ArrayType(_struct(op=T.StringType(), i=T.IntegerType(), j=T.IntegerType(), a=T.StringType(), b=T.StringType()))
+CLASSES = T.ArrayType(_struct(klass=T.StringType(), n=T.IntegerType()))
+SDI = _struct(s=T.IntegerType(), d=T.IntegerType(), i=T.IntegerType())
 
 
 def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
@@ -152,7 +162,7 @@ def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(ref, hyp)])
 
 
-@F.pandas_udf("array<struct<klass: string, n: int>>")
+@F.pandas_udf(CLASSES)
 def class_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edits of two texts counted by class; nothing else leaves the worker."""
 
@@ -167,27 +177,27 @@ def class_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(ref, hyp)])
 
 
-@F.pandas_udf("struct<s: int, d: int, i: int>")
+@F.pandas_udf(SDI)
 def char_sdi(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sdi(a, b) for a, b in zip(ref, hyp)], columns=["s", "d", "i"])
 
 
-@F.pandas_udf("struct<s: int, d: int, i: int>")
+@F.pandas_udf(SDI)
 def word_sdi(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sdi(a.split(), b.split()) for a, b in zip(ref, hyp)], columns=["s", "d", "i"])
 
 
-@F.pandas_udf("struct<cer: double, n: int>")
+@F.pandas_udf(_struct(cer=T.DoubleType(), n=T.IntegerType()))
 def consensus(a: pd.Series, b: pd.Series, h: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([consensus_cer(*t) for t in zip(a, b, h)], columns=["cer", "n"]).astype({"cer": float})
 
 
-@F.pandas_udf("struct<precision: double, recall: double, f1: double>")
+@F.pandas_udf(_struct(precision=T.DoubleType(), recall=T.DoubleType(), f1=T.DoubleType()))
 def prf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([diacritic_prf(a, b) for a, b in zip(ref, hyp)], columns=["precision", "recall", "f1"], dtype=float)
 
 
-@F.pandas_udf("struct<observed: double, expected: double, alpha: double>")
+@F.pandas_udf(_struct(observed=T.DoubleType(), expected=T.DoubleType(), alpha=T.DoubleType()))
 def alpha(sequences: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([observed_alpha([x for x in s if x is not None]) or (None, None, None) for s in sequences], columns=["observed", "expected", "alpha"], dtype=float)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warraq.functions.normalize import char_tokens, word_tokens
 
@@ -14,59 +17,63 @@ BAND = 48
 _ALPHABET = "".join(map(chr, range(0x4E00, 0xA000)))
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over code points: within a band first, in full only beyond it."""
-    near = F.levenshtein(a, b, BAND)
-    return F.when(a == b, 0).when((F.abs(F.length(a) - F.length(b)) <= BAND) & (near >= 0), near).otherwise(F.levenshtein(a, b))
-
-
-def cer(ref: Column, hyp: Column) -> Column:
-    a, b = char_tokens(ref), char_tokens(hyp)
-    return distance(a, b) / F.greatest(F.length(a), F.lit(1))
-
-
-@F.pandas_udf("int")
-def _long_word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    def one(a, b) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    return pd.Series([one(list(a), list(b)) for a, b in zip(ref, hyp)])
-
+@dataclass(frozen=True)
+class Rate:
+    """A score to compute: its name, its kind, and the columns of reference and hypothesis.
 
-def as_symbols(words: Column, common: Column, other: str) -> Column:
-    """Words as a string of one symbol each; words that the other side lacks share the symbol ``other``."""
-    return F.array_join(
-        F.transform(words, lambda w: F.when(F.array_position(common, w) > 0, F.substring(F.lit(_ALPHABET), F.array_position(common, w).cast("int"), F.lit(1))).otherwise(other)), ""
-    )
-
-
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over words: equal words get equal symbols, then code points are compared.
-
-    Words of one side alone match nothing, so one symbol stands for them all.
+    Kinds: ``cer`` (code points, spaces dropped), ``wer`` (words), ``der`` and ``der_bounded``
+    (diacritic strings), ``distance`` (code points, spaces kept).
     """
-    a, b = word_tokens(ref), word_tokens(hyp)
-    common = F.array_intersect(a, b)
-    return F.when(ref == hyp, 0).otherwise(distance(as_symbols(a, common, "\u0001"), as_symbols(b, common, "\u0002")))
 
+    name: str
+    kind: str
+    ref: str
+    hyp: str
 
-def wer(ref: Column, hyp: Column) -> Column:
-    return word_distance(ref, hyp) / F.greatest(F.size(word_tokens(ref)), F.lit(1))
 
+def score(df: DataFrame, rates: list[Rate]) -> DataFrame:
+    """Adds the rates to ``df``, step by step, so that nothing is computed twice.
 
-def der(ref_marks: Column, hyp_marks: Column) -> Column:
-    """Distance of the diacritic strings over the reference's; null without reference diacritics."""
-    return F.when(F.length(ref_marks) > 0, distance(ref_marks, hyp_marks) / F.length(ref_marks))
-
-
-def der_bounded(ref_marks: Column, hyp_marks: Column) -> Column:
-    longest = F.greatest(F.length(ref_marks), F.length(hyp_marks))
-    return F.when(longest > 0, distance(ref_marks, hyp_marks) / longest).otherwise(0.0)
+    Each step is a projection of its own: tokens, words common to both sides, symbols, the distance
+    within a band, and the full distance for the few pairs beyond it.
+    """
+    keep = df.columns
+    chars = {c: f"_c_{c}" for r in rates if r.kind == "cer" for c in (r.ref, r.hyp)}
+    words = {c: f"_w_{c}" for r in rates if r.kind == "wer" for c in (r.ref, r.hyp)}
+    df = df.select("*", *[char_tokens(F.col(c)).alias(a) for c, a in chars.items()], *[word_tokens(F.col(c)).alias(a) for c, a in words.items()])
+    by_word = [(i, r) for i, r in enumerate(rates) if r.kind == "wer"]
+    if by_word:
+        df = df.select("*", *[F.array_intersect(words[r.ref], words[r.hyp]).alias(f"_both_{i}") for i, r in by_word])
+        sides = [(f"_a_{i}", words[r.ref], i, "\u0001") for i, r in by_word] + [(f"_b_{i}", words[r.hyp], i, "\u0002") for i, r in by_word]
+        df = df.select("*", *[_symbols(F.col(w), F.col(f"_both_{i}"), other).alias(a) for a, w, i, other in sides])
+    pair = {}
+    for i, r in enumerate(rates):
+        pair[i] = (f"_a_{i}", f"_b_{i}") if r.kind == "wer" else (chars[r.ref], chars[r.hyp]) if r.kind == "cer" else (r.ref, r.hyp)
+    distinct = {ab: f"_d_{k}" for k, ab in enumerate(dict.fromkeys(pair.values()))}
+    near = [F.when(F.col(a) == F.col(b), 0).when(F.abs(F.length(a) - F.length(b)) <= BAND, F.levenshtein(a, b, BAND)).otherwise(-1).alias(f"{n}_n") for (a, b), n in distinct.items()]
+    df = df.select("*", *near)
+    df = df.select("*", *[F.when(F.col(f"{n}_n") >= 0, F.col(f"{n}_n")).otherwise(F.levenshtein(a, b)).alias(n) for (a, b), n in distinct.items()])
+    return df.select(*keep, *[_rate(r, F.col(distinct[pair[i]]), *pair[i], words).alias(r.name) for i, r in enumerate(rates)])
+
+
+def _rate(r: Rate, d: Column, a: str, b: str, words: dict[str, str]) -> Column:
+    if r.kind == "distance":
+        return d
+    if r.kind == "der":
+        return F.when(F.length(a) > 0, d / F.length(a))
+    if r.kind == "der_bounded":
+        longest = F.greatest(F.length(a), F.length(b))
+        return F.when(longest.isNotNull(), F.when(longest > 0, d / longest).otherwise(0.0))
+    n = F.size(words[r.ref]) if r.kind == "wer" else F.length(a)
+    return d / F.greatest(n, F.lit(1))
+
+
+def _symbols(words: Column, common: Column, other: str) -> Column:
+    """Words as a string of one symbol each. Words that the other side lacks match nothing, so one
+    symbol stands for them all and only common words need one of their own."""
+    at = lambda w: F.array_position(common, w).cast("int")
+    one = F.transform(words, lambda w: F.when(F.array_contains(common, w), F.substring(F.lit(_ALPHABET), at(w), F.lit(1))).otherwise(other))
+    return F.array_join(one, "")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -74,11 +81,14 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_jaccard(a: Column, b: Column, n: int = 5) -> Column:
-    """Shared share of distinct character n-grams, spaces dropped; 0 if either text is shorter than n."""
-    x, y = char_ngrams(char_tokens(a), n), char_ngrams(char_tokens(b), n)
-    both = F.size(F.array_union(x, y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
+def with_jaccard(df: DataFrame, name: str, a: str, b: str, n: int = 5) -> DataFrame:
+    """Adds the shared share of distinct character n-grams, spaces dropped; 0 if either text is shorter than n."""
+    keep = df.columns
+    df = df.select("*", char_tokens(F.col(a)).alias("_ta"), char_tokens(F.col(b)).alias("_tb"))
+    df = df.select(*keep, F.array_distinct(char_ngrams(F.col("_ta"), n)).alias("_ga"), F.array_distinct(char_ngrams(F.col("_tb"), n)).alias("_gb"))
+    df = df.select(*keep, F.size("_ga").alias("_na"), F.size("_gb").alias("_nb"), F.size(F.array_intersect("_ga", "_gb")).alias("_both"))
+    share = F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))
+    return df.select(*keep, F.when((F.col("_na") > 0) & (F.col("_nb") > 0), share).otherwise(0.0).alias(name))
 
 
 def _clipped(ref: dict, hyp: dict) -> int:
@@ -135,7 +145,7 @@ def bleu_score(ref: str, hyp: str, orders: int = 4) -> float:
     return brevity * math.exp(logs / used)
 
 
-@F.pandas_udf("struct<chrf: double, bleu: double>")
+@F.pandas_udf(T.StructType([T.StructField("chrf", T.DoubleType()), T.StructField("bleu", T.DoubleType())]))
 def chrf_bleu(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Both n-gram scores of normalised texts; multisets of n-grams are cheaper here than as exploded rows."""
     return pd.DataFrame([(chrf_score(a, b), bleu_score(a, b)) for a, b in zip(ref, hyp)], columns=["chrf", "bleu"])

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, HEH, LINE_BREAKS, MODES, PUNCTUATION, TA_MARBUTA, TATWEEL
 
@@ -17,7 +18,7 @@ EVALUATOR_FOLD = ("أإآٱىة", "اااايه")
 EVALUATOR_DELETE = "".join(map(chr, range(0x064B, 0x0653))) + TATWEEL + "\u0654\u0655" + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; already composed texts pass through a quick check."""
     return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t), na_action="ignore")

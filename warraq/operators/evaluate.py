@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from warraq.functions import align
 from warraq.functions import metrics as M
 from warraq.schema import LESS_IS_BETTER, METRICS, MORE_IS_BETTER, REFERENCES
+from warraq.session import spread
 
 MODES = ("raw", "normalized", "no_tashkeel", "tashkeel_only")
 
@@ -24,18 +25,30 @@ def references(norm: DataFrame, refs: dict[str, str] = REFERENCES) -> DataFrame:
 
 def pairs(norm: DataFrame, systems: Iterable[str], refs: dict[str, str] = REFERENCES) -> DataFrame:
     """A row for each system's page that all references hold, with hypothesis and reference texts."""
-    return norm.where(F.col("system").isin(list(systems))).join(references(norm, refs), "page_id")
+    joined = norm.where(F.col("system").isin(list(systems))).join(references(norm, refs), "page_id")
+    return spread(joined, "page_id", "system")
 
 
-def panel(ref: str) -> dict[str, Column]:
-    """The eight metrics of a hypothesis (n_<mode>) against the reference ``ref`` (<ref>_<mode>)."""
-    r = lambda m: F.col(f"{ref}_{m}")
-    h = lambda m: F.col(f"n_{m}")
-    out = {f"cer_{m}": M.cer(r(m), h(m)) for m in ("raw", "normalized", "no_tashkeel")}
-    out |= {f"wer_{m}": M.wer(r(m), h(m)) for m in ("normalized", "no_tashkeel")}
-    out["der"] = M.der(r("tashkeel_only"), h("tashkeel_only"))
-    score = M.chrf_bleu(r("no_tashkeel"), h("no_tashkeel"))
-    return out | {"chrf_no_tashkeel": score["chrf"], "bleu_no_tashkeel": score["bleu"]}
+def panel(df: DataFrame, ref: str, metrics: Iterable[str] = METRICS, prefix: str = "") -> DataFrame:
+    """Adds the metrics of the hypothesis (n_<mode>) against the reference ``ref`` (<ref>_<mode>)."""
+    return panels(df, [ref], metrics, {ref: prefix})
+
+
+def panels(df: DataFrame, refs: list[str], metrics: Iterable[str], prefix: dict[str, str]) -> DataFrame:
+    metrics = list(metrics)
+    rates, scores = [], []
+    for r in refs:
+        for m in metrics:
+            kind, _, mode = m.partition("_")
+            if kind in ("cer", "wer", "der"):
+                mode = mode or "tashkeel_only"
+                rates.append(M.Rate(prefix[r] + m, kind, f"{r}_{mode}", f"n_{mode}"))
+        if any(m in MORE_IS_BETTER for m in metrics):
+            scores.append(r)
+    keep = df.columns
+    df = df.select("*", *[M.chrf_bleu(f"{r}_no_tashkeel", "n_no_tashkeel").alias(f"_s_{r}") for r in scores])
+    df = df.select(*keep, *[F.col(f"_s_{r}.{m.split('_')[0]}").alias(prefix[r] + m) for r in scores for m in metrics if m in MORE_IS_BETTER])
+    return M.score(df, rates) if rates else df
 
 
 def best_of(metric: str, *values: Column) -> Column:
@@ -46,7 +59,7 @@ def best_of(metric: str, *values: Column) -> Column:
 def per_page(pair_rows: DataFrame, metrics: Iterable[str] = METRICS, refs: Iterable[str] = tuple(REFERENCES)) -> DataFrame:
     """(page_id, system, ref, metric...) for each reference and for the best of them."""
     refs, metrics = list(refs), list(metrics)
-    scored = pair_rows.select("page_id", "system", *[panel(r)[m].alias(f"{r}__{m}") for r in refs for m in metrics])
+    scored = panels(pair_rows, refs, metrics, {r: f"{r}__" for r in refs})
     one = lambda r: F.struct(F.lit(r).alias("ref"), *[F.col(f"{r}__{m}").alias(m) for m in metrics])
     best = F.struct(F.lit("best").alias("ref"), *[best_of(m, *[F.col(f"{r}__{m}") for r in refs]).alias(m) for m in metrics])
     return scored.select("page_id", "system", F.explode(F.array(*[one(r) for r in refs], best)).alias("s")).select("page_id", "system", "s.*")
@@ -54,10 +67,10 @@ def per_page(pair_rows: DataFrame, metrics: Iterable[str] = METRICS, refs: Itera
 
 def disagreement_zones(both: DataFrame, a: str = "muhammad", b: str = "hasan") -> DataFrame:
     """Where two annotators differ, spaces kept: lengths, edit distance and its share of the longer text."""
-    x, y = F.col(f"{a}_no_tashkeel"), F.col(f"{b}_no_tashkeel")
-    d = M.distance(x, y)
+    x, y = f"{a}_no_tashkeel", f"{b}_no_tashkeel"
+    df = M.score(both.select("page_id", x, y), [M.Rate("edit_distance_m_h", "distance", x, y)])
     longest = F.greatest(F.length(x), F.length(y), F.lit(1))
-    return both.select("page_id", F.length(x).alias("m_len_no_tashkeel"), F.length(y).alias("h_len_no_tashkeel"), d.alias("edit_distance_m_h"), (d / longest).alias("char_disagreement_rate"))
+    return df.select("page_id", F.length(x).alias("m_len_no_tashkeel"), F.length(y).alias("h_len_no_tashkeel"), "edit_distance_m_h", (F.col("edit_distance_m_h") / longest).alias("char_disagreement_rate"))
 
 
 def typology(pair_rows: DataFrame, refs: Iterable[str] = tuple(REFERENCES), mode: str = "normalized") -> DataFrame:
@@ -105,10 +118,10 @@ def consensus_only(pair_rows: DataFrame, a: str = "muhammad", b: str = "hasan")
 def diacritics(pair_rows: DataFrame, ref: str = "muhammad") -> DataFrame:
     """(page_id, system, der_bounded, precision, recall, f1) against one reference."""
     p = align.prf(f"{ref}_normalized", "n_normalized")
-    d = M.der_bounded(F.col(f"{ref}_tashkeel_only"), F.col("n_tashkeel_only"))
-    return pair_rows.select("page_id", "system", d.alias("der_bounded"), p.alias("p")).select(
+    df = M.score(pair_rows, [M.Rate("der_bounded", "der_bounded", f"{ref}_tashkeel_only", "n_tashkeel_only")])
+    return df.select("page_id", "system", "der_bounded", p.alias("p")).select(
         "page_id", "system", "der_bounded", F.col("p.precision").alias("diacritic_precision"), F.col("p.recall").alias("diacritic_recall"), F.col("p.f1").alias("diacritic_f1")
     )
 
 
-__all__ = ["MORE_IS_BETTER", "best_of", "consensus_only", "diacritics", "disagreement_zones", "pairs", "panel", "per_page", "references", "typology", "typology_counts", "typology_examples"]
+__all__ = ["MORE_IS_BETTER", "best_of", "consensus_only", "diacritics", "disagreement_zones", "pairs", "panel", "panels", "per_page", "references", "typology", "typology_counts", "typology_examples"]

@@ -26,6 +26,17 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle over all tasks before work that is heavy for its bytes.
+
+    Adaptive execution sizes partitions by bytes and would hand a few megabytes of text, and with it
+    minutes of edit distances, to a single task; an explicit number of partitions stands.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def hot_keys(df: DataFrame, key: str, rows_per_salt: int = 4_000, most: int = 1_000) -> DataFrame:
     """Keys that need more than one salt, with the number of salts.
 
