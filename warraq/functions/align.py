@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,8 +32,9 @@ SDI = _struct(s=T.IntegerType(), d=T.IntegerType(), i=T.IntegerType())
 def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     """(op, i, j) from start to end, with op one of equal, delete, insert, replace.
 
-    The common start and end need no table. The table's rows are vectors: within a row,
-    insertions propagate by a running minimum.
+    The common start and end need no table. Of the table's columns only the cells that exceed their
+    upper and their left neighbour are kept, as bits of one integer each (bit-parallel edit
+    distance); that is all the way back asks for.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -43,26 +43,15 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     while end < len(a) - start and end < len(b) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
-    n, m = len(x), len(y)
-    codes: dict = {}
-    cx = np.array([codes.setdefault(c, len(codes)) for c in x], dtype=np.int32)
-    cy = np.array([codes.setdefault(c, len(codes)) for c in y], dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    table = np.empty((n + 1, m + 1), dtype=np.int32)
-    table[0] = ramp
-    for i in range(1, n + 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (cx[i - 1] != cy))
-        row = np.concatenate([[i], best]) - ramp
-        table[i] = np.minimum.accumulate(row) + ramp
+    i, j = len(x), len(y)
+    down, right = _columns(x, y)
     out = [("equal", len(a) - k, len(b) - k) for k in range(1, end + 1)]
-    i, j = n, m
     while i or j:
-        here = table[i, j]
-        if i and j and cx[i - 1] == cy[j - 1] and here == table[i - 1, j - 1]:
+        if i and j and x[i - 1] == y[j - 1]:
             i, j, op = i - 1, j - 1, "equal"
-        elif i and here == table[i - 1, j] + 1:
+        elif i and (not j or down[j - 1] >> (i - 1) & 1):
             i, op = i - 1, "delete"
-        elif j and here == table[i, j - 1] + 1:
+        elif j and (not i or right[j - 1] >> (i - 1) & 1):
             j, op = j - 1, "insert"
         else:
             i, j, op = i - 1, j - 1, "replace"
@@ -71,6 +60,53 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+def _columns(x: Sequence, y: Sequence) -> tuple[list[int], list[int]]:
+    """For each element of ``y``: bits of the rows where the table rises by one downwards, and to the right."""
+    where: dict = {}
+    for k, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(x)) - 1
+    up, dn = full, 0
+    down, right = [], []
+    for c in y:
+        eq = where.get(c, 0)
+        same = (((eq & up) + up) ^ up | eq | dn) & full
+        rise = dn | full & ~(same | up)
+        fall = same & up
+        right.append(rise)
+        rise = (rise << 1 | 1) & full
+        up = fall << 1 & full | full & ~(same | rise)
+        dn = rise & same
+        down.append(up)
+    return down, right
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance, bit-parallel."""
+    if a == b:
+        return 0
+    if not a or not b:
+        return max(len(a), len(b))
+    where: dict = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, dn, d = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        same = (((eq & up) + up) ^ up | eq | dn) & full
+        rise = dn | full & ~(same | up)
+        fall = same & up
+        if rise & top:
+            d += 1
+        elif fall & top:
+            d -= 1
+        rise = (rise << 1 | 1) & full
+        up = fall << 1 & full | full & ~(same | rise)
+        dn = rise & same
+    return d
+
+
 def sdi(a: Sequence, b: Sequence) -> tuple[int, int, int]:
     ops = [op for op, _, _ in edit_script(a, b)]
     return ops.count("replace"), ops.count("delete"), ops.count("insert")
@@ -152,6 +188,12 @@ def observed_alpha(sequences: list[str]) -> tuple[float, float, float | None] |
     return po, pe, None if pe >= 1 else (po - pe) / (1 - pe)
 
 
+@F.pandas_udf(T.IntegerType())
+def far_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of pairs that the band did not settle; null where either is."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 @F.pandas_udf(OPS)
 def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """The edits (not the matches) of two texts."""

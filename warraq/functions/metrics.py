@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warraq.functions.align import far_distance
 from warraq.functions.normalize import char_tokens, word_tokens
 
-#: Width of the band that is tried first; transcriptions of one page are mostly that close.
-BAND = 48
+#: Width of the band that the JVM tries first; beyond it bit-parallel distances are cheaper than its full table.
+BAND = 16
 # One private character for each distinct word that both sides hold.
 _ALPHABET = "".join(map(chr, range(0x4E00, 0xA000)))
 
@@ -35,7 +36,7 @@ def score(df: DataFrame, rates: list[Rate]) -> DataFrame:
     """Adds the rates to ``df``, step by step, so that nothing is computed twice.
 
     Each step is a projection of its own: tokens, words common to both sides, symbols, the distance
-    within a band, and the full distance for the few pairs beyond it.
+    within a band, and bit-parallel distances for pairs beyond it.
     """
     keep = df.columns
     chars = {c: f"_c_{c}" for r in rates if r.kind == "cer" for c in (r.ref, r.hyp)}
@@ -52,7 +53,9 @@ def score(df: DataFrame, rates: list[Rate]) -> DataFrame:
     distinct = {ab: f"_d_{k}" for k, ab in enumerate(dict.fromkeys(pair.values()))}
     near = [F.when(F.col(a) == F.col(b), 0).when(F.abs(F.length(a) - F.length(b)) <= BAND, F.levenshtein(a, b, BAND)).otherwise(-1).alias(f"{n}_n") for (a, b), n in distinct.items()]
     df = df.select("*", *near)
-    df = df.select("*", *[F.when(F.col(f"{n}_n") >= 0, F.col(f"{n}_n")).otherwise(F.levenshtein(a, b)).alias(n) for (a, b), n in distinct.items()])
+    open_ = lambda n, c: F.when(F.col(f"{n}_n") < 0, F.col(c))
+    df = df.select("*", *[far_distance(open_(n, a), open_(n, b)).alias(f"{n}_f") for (a, b), n in distinct.items()])
+    df = df.select("*", *[F.when(F.col(f"{n}_n") >= 0, F.col(f"{n}_n")).otherwise(F.col(f"{n}_f")).alias(n) for (a, b), n in distinct.items()])
     return df.select(*keep, *[_rate(r, F.col(distinct[pair[i]]), *pair[i], words).alias(r.name) for i, r in enumerate(rates)])
 
 
