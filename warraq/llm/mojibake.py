@@ -179,7 +179,10 @@ def _best(stretch: str, model: CharModel | None, depth: int = 0) -> tuple[float,
     spaced = re.sub(r"[ \t\n]+", _SPLIT, stretch)
     now = model.score(spaced) if model else _plain_score(spaced)
     best, to = 0.0, None
+    lone = len(_EVIDENCE.findall(stretch)) < 2
     for w, t in CHAINS:
+        if lone and t not in ("utf-8", "cp1254"):
+            continue  # a single odd letter may be a foreign word's own; it can stand for no Arabic word
         back = decode_chain(stretch, w, t)
         if back is None or back == stretch:
             continue
