@@ -131,6 +131,27 @@ def _summary(rows: str, keys: list[str], name: str) -> str:
     return f"{_bootstrap(rows, keys)} SELECT {k}, n_pages, {_q(name)} AS metric, n_values, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM mean JOIN ci USING ({k})"
 
 
+def _long(table: str, keys: str, metrics: tuple[str, ...], unit: str = _NUM) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, {_q(m)} AS metric, {unit} AS u, {m} AS v FROM {table}" for m in metrics)
+
+
+def _summary_long(keys: list[str]) -> str:
+    k = ", ".join([*keys, "metric"])
+    return f"{_bootstrap('rows', [*keys, 'metric'])} SELECT {k}, n_pages, n_values, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM mean JOIN ci USING ({k})"
+
+
+_TWO = ("cer_no_tashkeel", "cer_normalized")
+_TWO_PAGES = _pairs({"cer_no_tashkeel": _cer("no_tashkeel"), "cer_normalized": _cer("normalized")})
+
+
+def _names(templates: dict[str, str]) -> str:
+    """CTE ``names``: candidate file names with their place in line."""
+    t = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in templates.items())
+    return f"""tpl(source, tpl) AS (VALUES {t}), pages AS (SELECT DISTINCT n FROM manifest),
+forms AS (SELECT n, source, tpl, k, replace(tpl, '{{n}}', CASE k WHEN 0 THEN n::VARCHAR WHEN 1 THEN printf('%02d', n) ELSE printf('%03d', n) END) AS name FROM pages, tpl, range(3) r(k)),
+names AS (SELECT n, source, name, (row_number() OVER (PARTITION BY n, source ORDER BY min(k)) - 1)::INT AS priority FROM forms GROUP BY n, source, name)"""
+
+
 _MARK = _q(S.MARKER)
 _STRIP = lambda t: f"regexp_replace({t}, '^[{_SP}]+|[{_SP}]+$', '', 'g')"
 _TAIL = _STRIP(f"CASE WHEN instr(coalesce(text, ''), {_MARK}) > 0 THEN substr(text, instr(text, {_MARK}) + {len(S.MARKER)}) ELSE '' END")
@@ -158,6 +179,9 @@ rk AS (SELECT system_a, system_b, d, rank() OVER (PARTITION BY system_a, system_
 
 _EXPECTED = (*S.SYSTEMS, *S.REFERENCES.values())
 
+_FILES = {"gt_muhammad": "image_{n}_GM.txt", "gt_hasan": "image_{n}_GH.txt", "kraken": "image_{n}_krkn.txt"}
+_SERVED = {"gt_muhammad": "image_{n}_GM.txt", "kraken": "image_{n}_krkn.txt", "gemini_3_1_pro": "gmn_{n}.txt"}
+
 ORACLE: dict[str, str] = {
     "q_corpus_long": f"WITH {_LATEST} SELECT page_id, system, coalesce(length(text), 0)::INT AS n_chars, md5(coalesce(text, '')) AS digest FROM latest",
     "q_manifest": f"WITH {_LATEST} SELECT page_id, {', '.join(f'bool_or(system = {_q(s)}) AS has_{s}' for s in S.SYSTEMS)} FROM latest GROUP BY 1",
@@ -214,4 +238,40 @@ k AS (SELECT page_id, i, c, m, count(*) AS k FROM c GROUP BY ALL),
 o AS (SELECT page_id, sum(k * (k - 1) / (m - 1)) AS agree, sum(k) AS n FROM k GROUP BY 1),
 e AS (SELECT page_id, sum(k * (k - 1)) AS chance FROM (SELECT page_id, c, sum(k) AS k FROM k GROUP BY 1, 2) GROUP BY 1)
 SELECT page_id, round(CASE WHEN n <> chance / (n - 1) THEN 1 - (n - agree) / (n - chance / (n - 1)) END, 6) AS alpha FROM o JOIN e USING (page_id)""",
+    "q_file_names": f"WITH {_names(_FILES)} SELECT n, source, name, priority FROM names",
+    "q_resolve_files": f"WITH {_names(_SERVED)}, files AS (SELECT DISTINCT source_path AS path, nfc_normalize(regexp_extract(source_path, '[^/]+$')) AS name FROM parallel_corpus WHERE source_path IS NOT NULL) SELECT n, source, name, path FROM names JOIN files USING (name) QUALIFY row_number() OVER (PARTITION BY n, source ORDER BY priority, path) = 1",
+    "q_summary_wide": f"{_TWO_PAGES}, rows AS ({_long('scored', 'system, ref', _TWO)}), {_bootstrap('rows', ['system', 'ref', 'metric'])}, j AS (SELECT * FROM mean JOIN ci USING (system, ref, metric)) SELECT system, ref, max(n_pages) AS n_pages, " + ", ".join(f"round(max(CASE WHEN metric = '{m}' THEN {c} END), 6) AS {m}_{c}" for m in _TWO for c in ("mean", "ci_lo", "ci_hi")) + " FROM j GROUP BY 1, 2",
+    "q_revision_stratified": f"{_TWO_PAGES}, sub AS ({_SUBSET}), j AS (SELECT s.*, subset FROM scored s JOIN sub USING (page_id) UNION ALL SELECT *, 'all' FROM scored), rows AS ({_long('j', 'system, ref, subset', _TWO)}), " + _summary_long(["system", "ref", "subset"]),
 }
+ORACLE["q_annotator_kit"] = f"WITH pick AS ({ORACLE['q_stratified_pick']}), p AS (SELECT page_id, try_cast(regexp_extract(page_id, '^page_([0-9]+)$', 1) AS INT) AS n, difficulty FROM pick) SELECT page_id, n, difficulty, 'image_' || n || '.jpg' AS image_file, 'image_' || n || '.txt' AS template_file, '# Page ' || n || ' (' || difficulty || '). Keep every mark you can see, one line per line.' || chr(10) AS template FROM p"
+_ABL = ("cer_vs_muhammad", "cer_vs_hasan", "cer_best_of_two")
+ORACLE["q_prompt_ablation_summary"] = f"WITH abl AS ({ORACLE['q_prompt_ablation']}), rows AS ({_long('abl', 'system, variant', _ABL, 'n')}), " + _summary_long(["system", "variant"])
+
+
+def _clipped(pairs: str, orders: int, units: str, cut: str) -> str:
+    """Matches of n-grams per pair and order; ``units`` counts a side's units, ``cut`` takes an n-gram."""
+    side = lambda t: f"SELECT id, o, {cut.format(t=t)} AS g, count(*) AS c FROM (SELECT id, {t}, o, unnest(range(1, {units.format(t=t)} - o + 2)) AS i FROM {pairs}, range(1, {orders + 1}) r(o) WHERE {units.format(t=t)} >= o) GROUP BY ALL"
+    return f"SELECT x.id, x.o, sum(least(x.c, y.c)) AS m FROM ({side('a')}) x JOIN ({side('b')}) y ON x.id = y.id AND x.o = y.o AND x.g = y.g GROUP BY 1, 2"
+
+
+# n-gram scores: counts are exploded, clipped per gram and averaged per order
+_NGRAM_STEPS = f""",
+ids AS MATERIALIZED (SELECT row_number() OVER () AS id, page_id, system, ref, r_no_tashkeel AS r, h_no_tashkeel AS h FROM p),
+cs AS MATERIALIZED (SELECT id, replace(r, ' ', '') AS a, replace(h, ' ', '') AS b FROM ids),
+ws AS MATERIALIZED (SELECT id, list_filter(string_split(r, ' '), lambda w: w <> '') AS a, list_filter(string_split(h, ' '), lambda w: w <> '') AS b FROM ids),
+cm AS MATERIALIZED ({_clipped('cs', 6, 'length({t})', 'substr({t}, i, o)')}),
+wm AS MATERIALIZED ({_clipped('ws', 4, 'len({t})', "array_to_string(list_slice({t}, i, i + o - 1), ' ')")}),
+co AS (SELECT cs.id, coalesce(m, 0) / (length(b) - r.o + 1) AS pr, coalesce(m, 0) / (length(a) - r.o + 1) AS rc FROM cs, range(1, 7) r(o) LEFT JOIN cm ON cm.id = cs.id AND cm.o = r.o WHERE length(a) >= r.o AND length(b) >= r.o),
+cf AS (SELECT id, avg(pr) AS pr, avg(rc) AS rc FROM co GROUP BY 1),
+wo AS (SELECT ws.id, r.o, len(a) AS na, len(b) AS nb, coalesce(m, 0) AS m, len(b) - r.o + 1 AS tot FROM ws, range(1, 5) r(o) LEFT JOIN wm ON wm.id = ws.id AND wm.o = r.o WHERE len(b) >= r.o AND len(a) > 0),
+wk AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY id ORDER BY o) AS k FROM wo),
+wf AS (SELECT id, CASE WHEN max(m) = 0 THEN 0.0 ELSE exp(avg(ln(CASE WHEN m > 0 THEN m / tot ELSE 1 / (pow(2, k) * tot) END))) * CASE WHEN max(nb) >= max(na) THEN 1 ELSE exp(1 - max(na) / max(nb)) END END AS bleu FROM wk GROUP BY 1),
+f AS (SELECT page_id, system, ref, CASE WHEN pr + rc > 0 THEN 5 * pr * rc / (4 * pr + rc) ELSE 0.0 END AS chrf, coalesce(bleu, 0.0) AS bleu FROM ids LEFT JOIN cf USING (id) LEFT JOIN wf USING (id)),
+fb AS (SELECT * FROM f UNION ALL SELECT page_id, system, 'best', max(chrf), max(bleu) FROM f GROUP BY 1, 2)"""
+_NGRAMS = _pairs({"x": "0"}) + _NGRAM_STEPS
+_SIX = {f"cer_{m}": _cer(m) for m in ("raw", "normalized", "no_tashkeel")} | {f"wer_{m}": _wer(m) for m in ("normalized", "no_tashkeel")} | {"der": _DER}
+_ALL = _pairs(_SIX) + _NGRAM_STEPS + ", al AS MATERIALIZED (SELECT s.*, chrf AS chrf_no_tashkeel, bleu AS bleu_no_tashkeel FROM scored s JOIN fb USING (page_id, system, ref))"
+ORACLE["q_per_page_metrics"] = f"{_ALL} SELECT page_id, system, ref, {', '.join(f'round({m}, 6) AS {m}' for m in S.METRICS)} FROM al"
+ORACLE["q_summary_per_system"] = f"{_ALL}, rows AS ({_long('al', 'system, ref', S.METRICS)}), " + _summary_long(["system", "ref"])
+ORACLE["q_chrf_bleu"] = f"{_NGRAMS} SELECT page_id, system, ref, round(chrf, 6) AS chrf_no_tashkeel, round(bleu, 6) AS bleu_no_tashkeel FROM fb"
+ORACLE["q_chrf_against_bleu"] = f"{_NGRAMS} SELECT system, page_id, round(chrf, 6) AS chrf_no_tashkeel, round(bleu, 6) AS bleu_no_tashkeel FROM fb WHERE ref = 'best'"
