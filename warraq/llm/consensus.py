@@ -84,15 +84,18 @@ Pattern = tuple[tuple[bool, tuple[tuple[str, float], ...]], ...]
 Params = dict[str, tuple[float, float]]  # annotator -> competence, chance that a guess is a word
 
 
+_VALUE, _VOTE, _COUNT = "\x1d", "\x1e", "\x1f"  # separators of a pattern's text
+
+
 def pattern_text(values: list[tuple[bool, dict[str, float]]]) -> str:
-    return "|".join(("e" if empty else "w") + ";".join(f"{a}={n:g}" for a, n in sorted(votes.items())) for empty, votes in values)
+    return _VALUE.join(("e" if empty else "w") + _VOTE.join(f"{a}{_COUNT}{n:g}" for a, n in sorted(votes.items())) for empty, votes in values)
 
 
 @lru_cache(maxsize=100_000)
 def _parse(text: str) -> Pattern:
     out = []
-    for part in text.split("|"):
-        votes = tuple((v.rpartition("=")[0], float(v.rpartition("=")[2])) for v in part[1:].split(";") if v)
+    for part in text.split(_VALUE):
+        votes = tuple((v.rpartition(_COUNT)[0], float(v.rpartition(_COUNT)[2])) for v in part[1:].split(_VOTE) if v)
         out.append((part[0] == "e", votes))
     return tuple(out)
 
@@ -237,7 +240,7 @@ class Consensus:
     def _pattern_counts(self) -> DataFrame:
         disputed = self.slots.groupBy("pattern").agg(F.count("*").alias("slots"))
         left = self.slots.where("slot % 2 = 1").groupBy("_page").agg(F.count("*").alias("d"))
-        votes = F.array_join(F.array_sort(F.transform("page_who", lambda w: F.concat(w["_who"], F.lit("="), w["n"].cast("string")))), ";")
+        votes = F.array_join(F.array_sort(F.transform("page_who", lambda w: F.concat(w["_who"], F.lit(_COUNT), w["n"].cast("string")))), _VOTE)
         words = F.size(F.split("pivot", " "))
         settled = self.pages.join(left, "_page", "left").select(F.concat(F.lit("w"), votes).alias("pattern"), (words - F.coalesce("d", F.lit(0))).cast("long").alias("slots"))
         return disputed.unionByName(settled).groupBy("pattern").agg(F.sum("slots").alias("slots")).where("slots > 0")
@@ -274,8 +277,23 @@ class Consensus:
         touched = F.transform(F.coalesce("edits", F.array().cast("array<struct<slot: int, value: string>>")), lambda e: e["slot"])
         stays = wordings.where(F.exists("over", lambda s: ~F.array_contains(touched, s))).select("_page", "_wid")
         bad = wrong.unionByName(stays).distinct().join(pages.select("_page"), "_page", "left_semi")
+        bad = self._differs(bad)
         return self.rows.select("_key", "_page", "_wid").join(bad, ["_page", "_wid"], "left_semi").select(F.col("_key").alias(self.key))
 
+    def _differs(self, wordings: DataFrame) -> DataFrame:
+        """Exact check: the wordings that an alignment with the consensus itself shows to differ.
+
+        By way of the pivot, repeated words can be given to different slots though the wordings are equal.
+        """
+
+        @F.pandas_udf("boolean")
+        def differs(wording: pd.Series, consensus: pd.Series) -> pd.Series:
+            return pd.Series([a != b and any(v != ABSTAIN for _, v in align(a.split(), b.split())) for a, b in zip(wording, consensus)], dtype=bool)
+
+        texts = self.rows.join(wordings, ["_page", "_wid"], "left_semi").groupBy("_page", "_wid").agg(F.first("wording").alias("wording"))
+        agreed = self.consensus().select(F.col(self.page).alias("_page"), "consensus")
+        return salted_join(texts, agreed, "_page", hot_keys(texts, "_page"), "_wid", "inner").where(differs("wording", "consensus")).select("_page", "_wid")
+
     def consensus(self) -> DataFrame:
         """(page, consensus, annotators, voices, agreement, confidence) for every page with a wording.
 
