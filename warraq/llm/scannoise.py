@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +25,14 @@ from warraq.llm import mojibake
 from warraq.llm.homoglyph import Form
 from warraq.llm.truncation import TAIL, verdict
 from warraq.llm.wording import is_folio, lines_of, repaired_text, words_of
-from warraq.session import checkpoint, hot_keys, salted_join
+from warraq.session import checkpoint, hot_keys, salted_join, spread
 
 KINDS = ("hyphen", "char", "header", "pageno")
 ROUNDS = 5
 WORD_BINS = 1 << 14
+#: Annotator rows of a page from which on its reference is made beforehand, and rows a task then takes at once.
+CROWD = 64
+ROWS_PER_SALT = 1_000
 BODY, HEADER, FOLIO = range(3)
 
 _MARKS = re.compile("[ـً-ٰٟ]+")
@@ -51,30 +54,83 @@ def skeleton(token: str) -> str:
     return token.translate(_SKELETON)
 
 
-class Page:
-    """What a page's annotators wrote, prepared for look-ups."""
+class Known:
+    """Words, pairs, tokens, numbers, page-number lines and endings of any number of texts.
+
+    Its size is bounded by the spellings that occur, not by the texts; parts may be merged.
+    """
 
-    def __init__(self, texts: tuple[str, ...], form: Form):
+    SETS = ("words", "pairs", "tokens", "numbers", "folios")
+
+    def __init__(self) -> None:
         self.words: set[str] = set()
         self.pairs: set[tuple[str, str]] = set()
         self.tokens: set[str] = set()
         self.numbers: set[str] = set()
-        self.tails: set[str] = set()
         self.folios: set[str] = set()
+        self.tails: dict[str, tuple[int, int]] = {}  # ending -> texts with it, words of the longest
+
+    def add(self, texts: Iterable[str], form: Form) -> None:
+        seen: dict[str, list[str]] = {}  # the annotators of a page share most lines
         for t in texts:
-            t = repaired_text(t)
-            w = words_of(t, form)
-            self.tails.add(" ".join(w[-TAIL:]))
-            self.words.update(w)
+            w: list[str] = []
+            for line in lines_of(form.apply(repaired_text(t))):
+                words = seen.get(line)
+                if words is None:
+                    words = seen[line] = words_of(line, form)
+                    self.words.update(words)
+                    self.tokens.update(skeleton(line).split())
+                    if _NUMBERED.search(line):
+                        self.numbers.update(str(int(x)) for x in re.findall(r"\d+", _LINE_NO.sub("", line)))
+                        if is_folio(line):
+                            self.folios.add(_key(line))
+                w += words
             self.pairs.update(zip(w, w[1:]))
-            plain = form.apply(t)
-            self.tokens.update(skeleton(plain).split())
-            if _NUMBERED.search(plain):
-                self.numbers.update(str(int(x)) for x in re.findall(r"\d+", _line_free(plain)))
-                self.folios.update(_key(x) for x in plain.split("\n") if is_folio(x))
+            self._end(" ".join(w[-TAIL:]), 1, len(w))
+
+    def _end(self, tail: str, texts: int, words: int) -> None:
+        n, most = self.tails.get(tail, (0, 0))
+        self.tails[tail] = (n + texts, max(most, words))
+
+    def merge(self, other: Known) -> None:
+        for name in self.SETS:
+            getattr(self, name).update(getattr(other, name))
+        for tail, (n, words) in other.tails.items():
+            self._end(tail, n, words)
+
+    def whole_tails(self) -> set[str]:
+        """The endings of the texts that reach the page's end: an annotator's text may be cut, too."""
+        if not self.tails:
+            return set()
+        end = max(self.tails, key=lambda t: (self.tails[t], t))
+        return {t for t, (_, words) in self.tails.items() if words >= self.tails[end][1] or not verdict(t, end)}
+
+    def dumps(self) -> bytes:
+        sets = {name: sorted(getattr(self, name)) for name in self.SETS}
+        return zlib.compress(json.dumps([sets, self.tails]).encode("utf-8", "surrogatepass"))
+
+    @classmethod
+    def loads(cls, raw: bytes) -> Known:
+        sets, tails = json.loads(zlib.decompress(raw).decode("utf-8", "surrogatepass"))
+        out = cls()
+        for name in cls.SETS:
+            setattr(out, name, {tuple(x) for x in sets[name]} if name == "pairs" else set(sets[name]))
+        out.tails = {t: tuple(x) for t, x in tails.items()}
+        return out
+
+
+class Page:
+    """What a page's annotators wrote, all of them, prepared for look-ups."""
+
+    def __init__(self, texts: Iterable[str], form: Form, known: Known | None = None):
+        self.known = known or Known()
+        self.known.add(texts, form)
+        self.words, self.pairs, self.tokens = self.known.words, self.known.pairs, self.known.tokens
+        self.numbers, self.folios = self.known.numbers, self.known.folios
+        self.tails = self.known.whole_tails()
         self.near = {w[:i] + "." + w[i + 1 :] for w in self.words if len(w) > 2 for i in range(len(w))}
         self.lengths: dict[int, list[str]] = {}
-        for w in self.words:
+        for w in sorted(self.words):
             self.lengths.setdefault(len(w), []).append(w)
 
     def knows(self, word: str) -> bool:
@@ -98,10 +154,6 @@ class Page:
         return best
 
 
-def _line_free(text: str) -> str:
-    return "\n".join(_LINE_NO.sub("", x) for x in text.split("\n"))
-
-
 def _key(line: str) -> str:
     return re.sub(r"[\W_]+", " ", skeleton(line)).strip()
 
@@ -361,8 +413,8 @@ def fit(parts: DataFrame, layouts: DataFrame, rounds: int = ROUNDS) -> LineModel
 class ScanNoise:
     """Recognised rows with their lines labelled.
 
-    Rows of sources starting with ``prefix`` are the annotators' and serve as the page's reference
-    (the commonest wording and the longest one). Garbled texts and texts cut before the page's end
+    Rows of sources starting with ``prefix`` are the annotators' and serve as the page's reference,
+    all of them. Garbled texts and texts cut before the page's end
     are left alone, as are null and empty ones. A page without annotators has no reference; its
     lines are judged by layout and words alone.
     """
@@ -373,48 +425,91 @@ class ScanNoise:
         slim = slim.where(F.col("_text").isNotNull() & (F.col("_text") != ""))
         self.kind = dict(slim.dtypes)["_key"]
         human = F.coalesce(F.col("_source").startswith(prefix), F.lit(False))
-        refs = self._references(slim.where(human & F.col("_page").isNotNull()))
-        rows = slim.where(~human)
-        joined = salted_join(rows, refs, "_page", hot_keys(rows, "_page"), "_key")
-        self.read = checkpoint(self._read(joined))
+        rows, refs = slim.where(~human), slim.where(human & F.col("_page").isNotNull())
+        crowd = F.broadcast(checkpoint(hot_keys(refs, "_page", CROWD)))
+        few = refs.join(crowd, "_page", "left_anti").groupBy("_page").agg(F.array_sort(F.collect_set("_text")).alias("texts"))
+        plain = rows.join(crowd, "_page", "left_anti")
+        read = self._read(salted_join(plain, few, "_page", hot_keys(plain, "_page"), "_key"))
+        crowded = self._read_crowded(rows.join(crowd, "_page", "left_semi"), self._known(refs.join(crowd, "_page")))
+        self.read = checkpoint(read.unionByName(crowded))
         parts = self.read.where("part != ''").groupBy("part", "part_bins").agg(F.count("*").alias("rows"))
         layouts = self.read.groupBy("symbols").agg(F.count("*").alias("rows"))
         self.model = fit(checkpoint(parts), checkpoint(layouts), rounds)
 
     @staticmethod
-    def _references(rows: DataFrame) -> DataFrame:
-        votes = rows.groupBy("_page", "_text").agg(F.count("*").alias("n"))
-        shape = F.struct("n", F.length("_text"), "_text")
-        return votes.groupBy("_page").agg(F.max_by("_text", shape).alias("common"), F.max_by("_text", F.struct(F.length("_text"), "_text")).alias("longest"), F.min_by("_text", F.xxhash64("_text")).alias("other"))
-
-    def _read(self, joined: DataFrame) -> DataFrame:
-        schema = (
+    def _known(refs: DataFrame) -> DataFrame:
+        """(_page, known): what the annotators of crowded pages wrote, put together from salted parts."""
+
+        def collect(pdf: pd.DataFrame) -> pd.DataFrame:
+            known = Known()
+            known.add(pdf["_text"], Form())
+            return pd.DataFrame({"_page": pdf["_page"].iloc[:1], "known": [known.dumps()]})
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            known = Known()
+            for raw in pdf["known"]:
+                known.merge(Known.loads(raw))
+            return pd.DataFrame({"_page": pdf["_page"].iloc[:1], "known": [known.dumps()]})
+
+        salts = F.ceil(F.col("_salts") * CROWD / ROWS_PER_SALT)
+        texts = refs.select("_page", "_text", F.pmod(F.xxhash64("_text"), salts).alias("_salt")).distinct()
+        parts = spread(texts, "_page", "_salt").groupBy("_page", "_salt").applyInPandas(collect, "_page string, known binary")
+        return parts.groupBy("_page").applyInPandas(merge, "_page string, known binary")
+
+    def _schema(self) -> str:
+        return (
             f"_key {self.kind}, symbols string, part string, part_bins array<string>, keep array<int>, lines array<string>, joins array<string>, misread array<string>, beside array<boolean>"
         )
 
-        keep = self.keep
+    def _reader(self):
+        """A function from (keys, texts, pages) to a frame of what the texts' lines look like."""
+        keep, names = self.keep, [x.strip().split(" ")[0] for x in self._schema().split(",")]
+
+        def scan(rows: Iterable[tuple], form: Form) -> pd.DataFrame:
+            out = []
+            for k, t, page in rows:
+                if mojibake.garbled(t):
+                    continue
+                t = form.apply(t)
+                symbols, bins, lines, tail = read_lines(t, page)
+                end = " ".join(tail)
+                if page.tails and end not in page.tails and all(verdict(end, x) > 0 for x in page.tails):
+                    continue  # cut, whichever annotator is followed
+                coded = [",".join(map(str, x)) for x in bins]
+                misread = [json.dumps(x[2]) if x[2] else "" for x in lines]
+                out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines]))
+            return pd.DataFrame(out, columns=names)
+
+        return scan
+
+    def _read(self, joined: DataFrame) -> DataFrame:
+        read = self._reader()
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             form = Form()
-            page_of = lru_cache(maxsize=64)(lambda refs: Page(refs, form))
+            page_of = lru_cache(maxsize=64)(lambda texts: Page(texts, form))
             for pdf in batches:
-                out = []
-                for k, t, a, b, c in pdf[["_key", "_text", "common", "longest", "other"]].itertuples(index=False):
-                    if mojibake.garbled(t):
-                        continue
-                    t = form.apply(t)
-                    refs = tuple(dict.fromkeys(x for x in (a, b, c) if isinstance(x, str)))
-                    page = page_of(refs)
-                    symbols, bins, lines, tail = read_lines(t, page)
-                    end = " ".join(tail)
-                    if page.tails and end not in page.tails and all(verdict(end, x) > 0 for x in page.tails):
-                        continue  # cut, whichever annotator is followed
-                    coded = [",".join(map(str, x)) for x in bins]
-                    misread = [json.dumps(x[2]) if x[2] else "" for x in lines]
-                    out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines]))
-                yield pd.DataFrame(out, columns=["_key", "symbols", "part", "part_bins", "keep", "lines", "joins", "misread", "beside"])
-
-        return joined.mapInPandas(scan, schema)
+                pages = (page_of(() if x is None else tuple(x)) for x in pdf["texts"])
+                yield read(zip(pdf["_key"].tolist(), pdf["_text"].tolist(), pages), form)
+
+        return joined.mapInPandas(scan, self._schema())
+
+    def _read_crowded(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """The same for rows of crowded pages: each task is handed the page's reference once, not with every row."""
+        read = self._reader()
+        salts = F.broadcast(checkpoint(hot_keys(rows, "_page", ROWS_PER_SALT)))
+        salt = F.pmod(F.xxhash64("_key"), F.coalesce("_salts", F.lit(1)))
+        left = rows.join(salts, "_page", "left").select("_page", salt.cast("int").alias("_salt"), "_key", "_text")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        right = known.join(salts, "_page", "left").select("_page", each.alias("_salt"), "known")
+
+        def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            form = Form()
+            page = Page((), form, Known.loads(b["known"].iloc[0]) if len(b) else None)
+            return read(((k, t, page) for k, t in zip(a["_key"].tolist(), a["_text"].tolist())), form)
+
+        pairs = spread(left, "_page", "_salt").groupBy("_page", "_salt").cogroup(right.groupBy("_page", "_salt"))
+        return pairs.applyInPandas(scan, self._schema())
 
     def _labelled(self, schema: str, build) -> DataFrame:
         now = (self.model.trans, self.model.layout, self.model.words)
