@@ -34,6 +34,8 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_]{1,2}(?![^\W_])|(?<![
 _REPEAT = re.compile(r"(.)\1{2,}")
 _MARKS = re.compile("[ـً-ٰٟ]")
 _DIGITS = re.compile(r"\d+")
+#: Whole tokens of digits: no letter, and no sign that a spelling may use, is beside them.
+_NUMBER = re.compile(rf"(?<![\w*@$'’.•\-{INVISIBLE}])\d+(?:[.'’•-]+\d+)*(?![\w*@$'’•\-{INVISIBLE}]|\.+[\w*@$'’•\-{INVISIBLE}])")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _LEET_L = str.maketrans("013457@$!", "oleastasl")
 _FOLD = str.maketrans("آأإٱىئؤة", "اااايييه"[:7] + "ه")
@@ -48,6 +50,11 @@ def plain(token: str) -> str:
     return t
 
 
+def numberless(text: str) -> str:
+    """The text with 0 for every number, which reads the same; digits within words stand for letters and stay."""
+    return _NUMBER.sub(lambda m: _DIGITS.sub("0", m.group()), text) if _DIGITS.search(text) else text
+
+
 class Vocabulary:
     """Known words, and how disguised spellings lead back to them."""
 
@@ -72,7 +79,7 @@ class Vocabulary:
         t = plain(token)
         if t in self.words:
             return t
-        if t.isdigit():
+        if t[0].isdigit() and re.sub(r"[.\-_*•'’]", "", t).isdigit():
             return "#"
         if t.isalpha() and not _REPEAT.search(t):
             return self._known(t) or t
@@ -310,7 +317,7 @@ def fit(documents: DataFrame, reviews: DataFrame | None = None) -> Tagger:
     for text in reviewed_clean(documents, reviews):
         for s in _SPLIT.split(text):
             if s.strip():
-                seen.setdefault(_DIGITS.sub("0", s.strip()))
+                seen.setdefault(numberless(s.strip()))
     extra = sorted(seen)[:: max(1, len(seen) // 4000)]
     coded = [tagger.ids(tagger.vocabulary.tokens(s)) for s in extra]
     keep = [s for s, c, m in zip(extra, coded, tagger.marginals([c or [2] for c in coded])) if c and m.max() < 0.5]
@@ -351,7 +358,7 @@ def score(documents: DataFrame, tagger: Tagger, key: str = "doc_id", text: str =
             for i, x in enumerate(texts):
                 if not x:
                     continue
-                for s in _SPLIT.split(_DIGITS.sub("0", x) if not spans else x):
+                for s in _SPLIT.split(numberless(x) if not spans else x):
                     p = known.get(s)
                     if p is None:
                         todo.setdefault(s, []).append(i)
