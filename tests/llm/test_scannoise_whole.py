@@ -53,3 +53,21 @@ def test_endings_and_comments_of_annotators():
     page = scannoise.Page((t, "# Page 7, one line per line.\n" + t, " ".join(t.split()[:12])), Form())
     assert len(page.tails) == 1  # a cut annotator's ending is not the page's
     assert "7" not in page.numbers  # a comment is no transcription
+
+
+def test_garbled_and_cut_texts_keep_their_paragraphs(spark):
+    rng = random.Random(8)
+    rows, texts = [], []
+    for p in range(40):
+        texts.append(text(rng, 48))
+        rows += [(4 * p + i, f"page_{p:02d}", s, texts[p]) for i, s in enumerate(("gt_a", "gt_b", "kraken", "vision"))]
+    lines = texts[0].split("\n")
+    broken = lines[2].encode().decode("cp1252", "replace")
+    rows += [(900, "page_00", "kraken", "\n".join(["تنبيه الغافلين", *lines[:2], broken, *lines[3:]])), (901, "page_01", "kraken", texts[1][:100]), (902, "page_02", "kraken", texts[2].encode().decode("cp1252", "replace"))]
+    noise = scannoise.ScanNoise(frame(spark, rows))
+    got = {r["row_id"]: (r["repaired"], r["state"]) for r in noise.paragraphs(unread=True).collect()}
+    assert set(got) == {r[0] for r in rows if not r[2].startswith("gt_")}
+    assert got[900][1] == "garbled" and " ".join(broken.split()) in got[900][0] and " ".join(lines[4].split()) in got[900][0]
+    assert got[901] == (" ".join(texts[1][:100].split()), "cut") and got[902] == (rows[-1][3], "unread")
+    assert got[2] == (" ".join(texts[0].split()), None)
+    assert not {r["row_id"] for r in noise.found().collect()} & {900, 901, 902}

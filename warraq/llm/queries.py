@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from warraq.llm.scannoise import ScanNoise
 
-    return ScanNoise(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text")).paragraphs()
+    return ScanNoise(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text")).paragraphs(unread=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

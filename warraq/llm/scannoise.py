@@ -226,12 +226,12 @@ def uncertain_part(symbols: str, bins: list[str]) -> tuple[str, list[str], list[
     return "".join(symbols[i] for i in keep), [bins[i] for i in keep], keep
 
 
-def read_lines(text: str, page: Page) -> tuple[str, list[list[int]], list[tuple[str, str | None, dict[str, str], bool]], list[str]]:
+def read_lines(text: str, page: Page, left: frozenset[str] = frozenset()) -> tuple[str, list[list[int]], list[tuple[str, str | None, dict[str, str], bool]], list[str]]:
     """What the lines of a text in the consistent form look like.
 
     Returns their symbols, the word bins of those the annotators did not write, per line (text, word
     joined with the next line, misread tokens with their words, page number beside it), and the words
-    of the last lines.
+    of the last lines. Lines in ``left`` are passed by as text.
     """
     lines = lines_of(text)
     bodies = [_LINE_NO.sub("", x) for x in lines]
@@ -245,10 +245,10 @@ def read_lines(text: str, page: Page) -> tuple[str, list[list[int]], list[tuple[
     known = [sum(map(page.knows, w)) for w in kept]
     # Words broken over a line end; both parts count as known, as the annotators wrote the whole.
     joins: list[str | None] = [None] * len(lines)
-    real = [i for i, w in enumerate(kept) if w and not folios[i] and (known[i] > 0.3 * len(w) or len(w) == 1)]
+    real = [i for i, w in enumerate(kept) if w and not folios[i] and lines[i] not in left and (known[i] > 0.3 * len(w) or len(w) == 1)]
     for i, j in zip(real, real[1:]):
         a, b = bones[i].split(), bones[j].split()
-        if a and b:
+        if a and b and not (left and any(x in left for x in lines[i + 1 : j])):
             last = a[-1] if len(a) == 1 or a[-1].strip(_BREAK_SIGNS) else a[-2] + a[-1]
             joins[i] = joined_word(last, b[0], page)
             if joins[i] is not None:
@@ -259,6 +259,11 @@ def read_lines(text: str, page: Page) -> tuple[str, list[list[int]], list[tuple[
         place = "f" if i == 0 else "l" if i == len(lines) - 1 else "s" if i in (1, len(lines) - 2) else "i"
         share = known[i] / len(kept[i]) if kept[i] else None
         folio = folios[i]
+        if line in left:
+            symbols.append(_symbol("t", place, 1.0))
+            bins.append([])
+            out.append((line, None, {}, False))
+            continue
         if folio and (_key(line) in page.folios or numbered and not words[i] and place == "i"):
             share, folio = 1.0, False
         symbols.append(_symbol("n" if folio else "d" if digits[i] else "t", place, share))
@@ -407,6 +412,20 @@ def fit(parts: DataFrame, layouts: DataFrame, rounds: int = ROUNDS) -> LineModel
     return model
 
 
+def lines_beside(text: str, spans: list[tuple[int, int, str | None]], form: Form) -> tuple[str, frozenset[str]]:
+    """The text with its lines in the consistent form but for those that a garbled stretch touches, and these lines."""
+    out, left, at = [], set(), 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        if any(a < end and b > at for a, b, _ in spans):
+            left.add(line)
+        else:
+            line = form.apply(line)
+        out.append(line)
+        at = end + 1
+    return "\n".join(out), frozenset(left)
+
+
 # --- the operator ------------------------------------------------------------
 
 
@@ -415,7 +434,8 @@ class ScanNoise:
 
     Rows of sources starting with ``prefix`` are the annotators' and serve as the page's reference,
     all of them. Garbled texts and texts cut before the page's end
-    are left alone, as are null and empty ones. A page without annotators has no reference; its
+    have a readable form (garbled lines stay as they are) but no noise to report and no part in the
+    training; with ``keep`` off they are left out, as are null and empty ones always. A page without annotators has no reference; its
     lines are judged by layout and words alone.
     """
 
@@ -432,8 +452,8 @@ class ScanNoise:
         read = self._read(salted_join(plain, few, "_page", hot_keys(plain, "_page"), "_key"))
         crowded = self._read_crowded(rows.join(crowd, "_page", "left_semi"), self._known(refs.join(crowd, "_page")))
         self.read = checkpoint(read.unionByName(crowded))
-        parts = self.read.where("part != ''").groupBy("part", "part_bins").agg(F.count("*").alias("rows"))
-        layouts = self.read.groupBy("symbols").agg(F.count("*").alias("rows"))
+        parts = self.read.where("state is null and part != ''").groupBy("part", "part_bins").agg(F.count("*").alias("rows"))
+        layouts = self.read.where("state is null").groupBy("symbols").agg(F.count("*").alias("rows"))
         self.model = fit(checkpoint(parts), checkpoint(layouts), rounds)
 
     @staticmethod
@@ -458,7 +478,7 @@ class ScanNoise:
 
     def _schema(self) -> str:
         return (
-            f"_key {self.kind}, symbols string, part string, part_bins array<string>, keep array<int>, lines array<string>, joins array<string>, misread array<string>, beside array<boolean>"
+            f"_key {self.kind}, symbols string, part string, part_bins array<string>, keep array<int>, lines array<string>, joins array<string>, misread array<string>, beside array<boolean>, state string"
         )
 
     def _reader(self):
@@ -468,16 +488,23 @@ class ScanNoise:
         def scan(rows: Iterable[tuple], form: Form) -> pd.DataFrame:
             out = []
             for k, t, page in rows:
-                if mojibake.garbled(t):
-                    continue
-                t = form.apply(t)
-                symbols, bins, lines, tail = read_lines(t, page)
+                spans, left, state = mojibake.garbled(t), frozenset(), None
+                if spans:
+                    if not keep:
+                        continue
+                    t, left = lines_beside(t, spans, form)
+                    state = "garbled" if any(x not in left for x in lines_of(t)) else "unread"
+                else:
+                    t = form.apply(t)
+                symbols, bins, lines, tail = read_lines(t, page, left)
                 end = " ".join(tail)
-                if page.tails and end not in page.tails and all(verdict(end, x) > 0 for x in page.tails):
-                    continue  # cut, whichever annotator is followed
+                if not spans and page.tails and end not in page.tails and all(verdict(end, x) > 0 for x in page.tails):
+                    if not keep:
+                        continue
+                    state = "cut"  # whichever annotator is followed
                 coded = [",".join(map(str, x)) for x in bins]
                 misread = [json.dumps(x[2]) if x[2] else "" for x in lines]
-                out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines]))
+                out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines], state))
             return pd.DataFrame(out, columns=names)
 
         return scan
@@ -534,6 +561,8 @@ class ScanNoise:
 
         def build(r, states: list[int]) -> list[tuple]:
             kinds = set()
+            if r.state is not None:
+                return []
             for s, join, misread, beside in zip(states, r.joins, r.misread, r.beside):
                 if s == HEADER:
                     kinds.add("header")
@@ -550,10 +579,16 @@ class ScanNoise:
 
         return self._labelled(f"key {self.kind}, kind string", build)
 
-    def paragraphs(self) -> DataFrame:
-        """(key, repaired): the running text, one paragraph per stretch that ends with a stop."""
+    def paragraphs(self, unread: bool = False) -> DataFrame:
+        """(key, repaired, state): the running text, one paragraph per stretch that ends with a stop.
+
+        ``state`` is null, ``cut`` or ``garbled`` (garbled lines are as they were). A text all of whose lines
+        are garbled has no readable form; with ``unread`` it comes too, its lines unchanged, as ``unread``.
+        """
 
         def build(r, states: list[int]) -> list[tuple]:
+            if r.state == "unread":
+                return [(r.key, "\n".join(r.lines), r.state)] if unread else []
             out, carry = [], ""
             body = [(x, j, m) for x, s, j, m in zip(r.lines, states, r.joins, r.misread) if s == BODY]
             for line, join, misread in body:
@@ -569,6 +604,6 @@ class ScanNoise:
                     carry = words.pop().rstrip(_BREAK_SIGNS)
                 text = " ".join(words)
                 out.append(text + ("\n\n" if re.search(r"[.؟?!]$", text) else " ") if text else "")
-            return [(r.key, re.sub(r" +\n", "\n", "".join(out) + carry).strip())]
+            return [(r.key, re.sub(r" +\n", "\n", "".join(out) + carry).strip(), r.state)]
 
-        return self._labelled(f"key {self.kind}, repaired string", build)
+        return self._labelled(f"key {self.kind}, repaired string, state string", build)
