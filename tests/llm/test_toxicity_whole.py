@@ -24,7 +24,7 @@ def test_digits_for_letters_in_scores(spark, tagger):
 
 @pytest.mark.parametrize(
     ("text", "short"),
-    [("1d10t", "1d10t"), ("H@lfw1ts", "H@lfw1ts"), ("a 12 b", "a 0 b"), ("12.", "0."), ("(12, 3.5)", "(0, 0.0)"), ("12v", "12v"), ("1.d.1", "1.d.1"), ("1\u200bd", "1\u200bd"), ("٤٥ ق", "0 ق"), ("b*12", "b*12")],
+    [("1d10t", "1d10t"), ("H@lfw1ts", "H@lfw1ts"), ("a 12 b", "a 0 b"), ("12.", "0."), ("(12, 3.5)", "(0, 0.0)"), ("12v", "12v"), ("1.d.1", "1.d.1"), ("1\u200bd", "1\u200bd"), ("٤٥ ق", "0 ق"), ("b*12", "b*12"), ("ـ 7", "ـ 0")],
 )
 def test_numbers(text, short, tagger):
     assert toxicity.numberless(text) == short

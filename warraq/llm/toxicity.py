@@ -79,7 +79,7 @@ class Vocabulary:
         t = plain(token)
         if t in self.words:
             return t
-        if t[0].isdigit() and re.sub(r"[.\-_*•'’]", "", t).isdigit():
+        if t[:1].isdigit() and re.sub(r"[.\-_*•'’]", "", t).isdigit():
             return "#"
         if t.isalpha() and not _REPEAT.search(t):
             return self._known(t) or t
