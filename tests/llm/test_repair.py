@@ -45,10 +45,45 @@ def test_chain_round_trips():
 
 
 def _grams(texts):
+    import numpy as np
     import pandas as pd
 
     rows = pd.concat(list(mojibake._count_grams(iter([pd.DataFrame({"value": texts})]))))
-    return {k: float(n) for k, n in zip(rows["gram"], rows["n"])}
+    table = np.zeros(mojibake._PLACES, np.float32)
+    table[rows["place"].to_numpy()] = rows["n"].to_numpy()
+    return table
+
+
+FOREIGN = ["Üçüncü_grup", "Qualität", "relecture_achevée", "İncelenmiş", "Sayfalar_değişti", "Ḥāshiyat al-ṭālib", "Ærøskøbing", "Žižek_část", "Größenänderung", "hétvégéjé"]
+
+
+def test_clean_foreign_names_stay(spark):
+    """Accented names in composed and decomposed form are no cases; their garbled forms are, and come back without control characters."""
+    import unicodedata
+
+    rows = [(i, f"arch/{FOREIGN[i % len(FOREIGN)]}/page_{i:03d}.txt") for i in range(1000)]
+    rows += [(1000 + i, unicodedata.normalize("NFD", f"arch/{FOREIGN[i % len(FOREIGN)]}/page_{i:03d}.txt")) for i in range(200)]
+    bad = {}
+    for i, f in enumerate(FOREIGN):
+        for j, read in enumerate(("latin-1", "mac_roman", "cp1256")):
+            path = f"arch/{f}/page_{i:03d}.txt"
+            raw = path.encode()
+            try:
+                bad[2000 + 10 * i + j] = (raw.decode(read), path)
+            except UnicodeDecodeError:
+                continue
+    rows += [(k, b) for k, (b, _) in bad.items()]
+    got = {r["row_id"]: r for r in mojibake.garbled_values(spark.createDataFrame(rows, "row_id long, source_path string"), "row_id", ("source_path",)).collect()}
+    assert set(got) == set(bad)
+    for k, r in got.items():
+        assert r["repaired"] == bad[k][1] and not any(unicodedata.category(c) == "Cc" for c in r["repaired"])
+
+
+def test_is_clean():
+    for t in (*FOREIGN, "Üç", "Ödön öö?", "٤٥ كتاب"):
+        assert mojibake.is_clean(t), t
+    for t in ("QualitÃ¤t", "deÄŸiÅŸti", "ãÑÇÌÚÉ", "deðiþti", "قال ?? كتاب"):
+        assert not mojibake.is_clean(t), t
 
 
 def test_margin_holds_on_clean_text():

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,19 +35,23 @@ _ODD = (
     "ٹپچژڈگکڑںھہے‌-‏�"
 )
 ODD = re.compile(f"[{_ODD}]|\\?\\?")
-_STRONG = re.compile("[\x80-\x9f─-▟]")
 _TOKEN = re.compile(r"[^ \t\n/]+")
-_QUESTION = re.compile(r"\?{2,}")
 _ARABIC = re.compile("[ء-ي]")
 #: Odd characters that clean text may hold too (spacing, hyphen signs, look-alike letters): no evidence by themselves.
 _WEAK = "\xa0\xac\xad\u200c-\u200fکہھ"
 _EVIDENCE = re.compile(f"(?![{_WEAK}])[{_ODD}]|\\?\\?")
-_UNCLEAN = re.compile(
-    "[\x80-\x9f\xa1-\xab\xae-\xbfÐðÞþÝýٹژڈںƒˆ˜π‘-‚“-„†-•…‰‹›€™∀-⋿⌐─-▟�]"
-    "|\\?\\?|[\xc0-\xff][\xc0-\xff]|[ÃÂÄÅØÙÌ]"
-)
+# What no clean record holds (control characters, wrongly decoded signs, signs of loss, letters that stand for Turkish ones).
+_UNCLEAN = re.compile("[\x80-\x9f\xa1-\xab\xae-\xbfÐðÞþÝýٹژڈںƒˆ˜π‘-‚“-„†-•…‰‹›€™∀-⋿⌐─-▟�]|\\?\\?")
+_HIGH = re.compile("[\xc0-\xff]{3}")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+_LOST = re.compile(r"[\x80-\x9f─-▟�]|\?(?=\?)|(?<=\?)\?")
 _SPLIT = "\u0001"  # stands before and after each stretch in the model
-_BINS = 1 << 22
+_WILD = "\ue001"  # stands for a letter that is lost
+#: Places of the model's tables: characters, then bins of hashed pairs and triples.
+_PAIRS, _TRIPLES = 1 << 20, 1 << 22
+_AT_PAIRS, _AT_TRIPLES = 1 << 16, (1 << 16) + _PAIRS
+_PLACES = _AT_TRIPLES + _TRIPLES
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _bytes_of(name: str) -> dict[int, str]:
@@ -67,7 +73,7 @@ def _bytes_of(name: str) -> dict[int, str]:
 
 
 _ENCODE = {name: _bytes_of(name) for name in READ_AS}
-CHAINS = [(w, t) for w in READ_AS for t in WRITTEN_IN if w != t and not (t != "utf-8" and w in ("cp1254", "cp1251", "cp720"))]
+CHAINS = [(w, t) for w in READ_AS for t in WRITTEN_IN if w != t]
 
 
 def decode_chain(text: str, read_as: str, written_in: str) -> str | None:
@@ -86,28 +92,56 @@ def decode_chain(text: str, read_as: str, written_in: str) -> str | None:
 # --- the model -------------------------------------------------------------
 
 
+def _place(gram: str) -> int:
+    """Where the count of a gram of one to three characters lies."""
+    key = 0
+    for c in gram:
+        key = key << 16 | min(ord(c), 0xFFFE)
+    if len(gram) == 1:
+        return key
+    at, bits = (_AT_PAIRS, 44) if len(gram) == 2 else (_AT_TRIPLES, 42)
+    return at + ((key * _MIX & 0xFFFFFFFFFFFFFFFF) >> bits)
+
+
+def _places(codes: np.ndarray) -> np.ndarray:
+    """Places of all grams of a run of UTF-16 code units."""
+    c = codes.astype(np.uint64)
+    pairs = c[:-1] << np.uint64(16) | c[1:]
+    triples = pairs[:-1] << np.uint64(16) | c[2:]
+    mix = np.uint64(_MIX)
+    return np.concatenate([
+        codes.astype(np.int64),
+        (pairs * mix >> np.uint64(44)).astype(np.int64) + _AT_PAIRS,
+        (triples * mix >> np.uint64(42)).astype(np.int64) + _AT_TRIPLES,
+    ])
+
+
 class CharModel:
-    """Interpolated character trigram model with add-k back-off."""
-
-    def __init__(self, grams: dict[str, float]):
-        self.grams = grams
-        self.total = sum(v for k, v in grams.items() if len(k) == 1) or 1.0
-        left2: dict[str, float] = {}
-        left1: dict[str, float] = {}
-        for k, v in grams.items():
-            if len(k) == 3:
-                left2[k[:2]] = left2.get(k[:2], 0) + v
-            elif len(k) == 2:
-                left1[k[0]] = left1.get(k[0], 0) + v
-        self.left1, self.left2 = left1, left2
+    """Interpolated character trigram model with add-k back-off over tables of fixed size.
+
+    ``counts`` holds the counts at the places of :func:`_place`; a dictionary of grams is taken too.
+    """
+
+    def __init__(self, counts: np.ndarray | dict[str, float]):
+        if isinstance(counts, dict):
+            table = np.zeros(_PLACES, np.float32)
+            for gram, n in counts.items():
+                table[_place(gram)] += n
+            counts = table
+        self.counts = counts
+        self.total = float(counts[:_AT_PAIRS].sum(dtype=np.float64)) or 1.0
         self.log = lru_cache(maxsize=400_000)(self._log)
 
     def _log(self, gram: str) -> float:
-        g, a, b = self.grams, gram[:2], gram[1]
-        p1 = (g.get(gram[2], 0.0) + 0.02) / (self.total + 0.02 * 60_000)
-        p2 = (g.get(gram[1:], 0.0) + 5.0 * p1) / (self.left1.get(b, 0.0) + 5.0)
-        p3 = (g.get(gram, 0.0) + 5.0 * p2) / (self.left2.get(a, 0.0) + 5.0)
-        return math.log(p3)
+        if gram[2] == _WILD:
+            return -LOST
+        n = self.counts
+        p = (float(n[_place(gram[2])]) + 0.02) / (self.total + 0.02 * 60_000)
+        if gram[1] != _WILD:
+            p = (float(n[_place(gram[1:])]) + 5.0 * p) / (float(n[_place(gram[1])]) + 5.0)
+            if gram[0] != _WILD:
+                p = (float(n[_place(gram)]) + 5.0 * p) / (float(n[_place(gram[:2])]) + 5.0)
+        return math.log(p)
 
     def score(self, text: str) -> float:
         s = _SPLIT + _SPLIT + text + _SPLIT
@@ -115,88 +149,142 @@ class CharModel:
         return sum(log(s[i : i + 3]) for i in range(len(s) - 2))
 
 
+@lru_cache(maxsize=100_000)
+def _decodes(token: str) -> bool:
+    """Does some chain turn the token into a shorter one without loss, or is it all letters of a wrong code page?"""
+    if _HIGH.search(token) and not _ASCII_LETTER.search(token):
+        return True
+    for w in READ_AS:
+        back = decode_chain(token, w, "utf-8")
+        if back is not None and len(back) < len(token) and "�" not in back and _readable(back):
+            return True
+    return False
+
+
 def is_clean(text: str) -> bool:
-    """Free of everything that wrong decoding leaves behind; such records train the model."""
-    return not _UNCLEAN.search(text)
+    """Free of what wrong decoding leaves behind; such records train the model.
+
+    Letters beyond ASCII are no reason to leave a record out: only tokens that a chain decodes whole, or that
+    consist of nothing but letters of a code page's upper half, are.
+    """
+    if text.isascii():
+        return "??" not in text
+    if _UNCLEAN.search(text):
+        return False
+    return not any(ODD.search(t) and _decodes(t) for t in _TOKEN.findall(text))
+
+
+def _held_out(text: str) -> bool:
+    """A tenth of the distinct values validates the margin and doesn't train."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % 10 == 0
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of 1- to 3-grams over a partition's clean records."""
-    one = np.zeros(0x10000, np.int64)
-    two: dict[int, int] = {}
-    three: dict[int, int] = {}
+    """Partial counts of 1- to 3-grams over a partition's clean records, by place."""
+    total = np.zeros(_PLACES, np.int64)
 
-    def add(into: dict[int, int], keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        for x, y in zip(k.tolist(), n.tolist()):
-            into[x] = into.get(x, 0) + y
+    def add(texts: list[str]) -> None:
+        joined = _SPLIT + _SPLIT + (_SPLIT + _SPLIT).join(texts) + _SPLIT
+        joined = re.sub("[\ud800-\udfff\U00010000-\U0010ffff\uffff]", "\ufffe", re.sub("[ \n\t]", _SPLIT, joined))
+        places = _places(np.frombuffer(joined.encode("utf-16-le"), np.uint16))
+        total[:] += np.bincount(places, minlength=_PLACES)
 
+    waiting, size = [], 0
     for pdf in batches:
-        texts = [t for t in pdf["value"] if t and is_clean(t)]
-        for at in range(0, len(texts), 500):
-            joined = _SPLIT + _SPLIT + (_SPLIT + _SPLIT).join(texts[at : at + 500]) + _SPLIT
-            joined = re.sub("[\ud800-\udfff\U00010000-\U0010ffff]", "￾", re.sub("[ \n\t]", _SPLIT, joined))
-            c = np.frombuffer(joined.encode("utf-16-le"), np.uint16).astype(np.int64)
-            present, ids = np.unique(c, return_inverse=True)
-            v = len(present)
-            one += np.bincount(c, minlength=0x10000)
-            b = np.bincount(ids[:-1] * v + ids[1:], minlength=v * v)
-            k = np.flatnonzero(b)
-            for x, y in zip(((present[k // v] << 16) | present[k % v]).tolist(), b[k].tolist()):
-                two[x] = two.get(x, 0) + y
-            t = np.bincount((ids[:-2] * v + ids[1:-1]) * v + ids[2:], minlength=0) if v < 160 else None
-            if t is None:
-                add(three, (c[:-2] << 32) | (c[1:-1] << 16) | c[2:])
-            else:
-                k = np.flatnonzero(t)
-                key = (present[k // (v * v)] << 32) | (present[k // v % v] << 16) | present[k % v]
-                for x, y in zip(key.tolist(), t[k].tolist()):
-                    three[x] = three.get(x, 0) + y
-    k = np.flatnonzero(one)
-    rows = [(chr(x), y) for x, y in zip(k.tolist(), one[k].tolist())]
-    rows += [(chr(x >> 16) + chr(x & 0xFFFF), y) for x, y in two.items()]
-    rows += [(chr(x >> 32) + chr(x >> 16 & 0xFFFF) + chr(x & 0xFFFF), y) for x, y in three.items()]
-    if rows:
-        yield pd.DataFrame(rows, columns=["gram", "n"])
-
-
-def train(values: DataFrame, least: int = 2) -> CharModel:
-    """Character model of a column ``value``, counted over all its clean records.
-
-    What reaches the driver is bounded by the alphabet, not by the rows: counts of distinct
-    grams seen at least ``least`` times.
+        for t in pdf["value"]:
+            if t and is_clean(t) and not _held_out(t):
+                waiting.append(t)
+                size += len(t)
+                if size > 2_000_000:
+                    add(waiting)
+                    waiting, size = [], 0
+    if waiting:
+        add(waiting)
+    k = np.flatnonzero(total)
+    if len(k):
+        yield pd.DataFrame({"place": k.astype(np.int32), "n": total[k]})
+
+
+def train(values: DataFrame) -> CharModel:
+    """Character model of a column ``value``, counted over its clean records (but for the held-out tenth).
+
+    What reaches the driver are counts at the places of tables of fixed size, however many rows there are.
     """
-    counts = values.where(F.col("value").isNotNull()).mapInPandas(_count_grams, "gram string, n long")
-    rows = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return CharModel({r["gram"]: float(r["n"]) for r in rows})
+    counts = values.where(F.col("value").isNotNull()).mapInPandas(_count_grams, "place int, n long")
+    got = counts.groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(_PLACES, np.float32)
+    table[got["place"].to_numpy()] = got["n"].to_numpy()
+    return CharModel(table)
+
+
+def validated_margin(values: DataFrame, model: CharModel, margin: float = MARGIN, least: int = 1_000) -> float:
+    """The margin, raised to what all but a thousandth of the held-out clean stretches stay below (by twice at most).
+
+    Gains of the likeliest chain are counted in whole units per stretch; fewer than ``least`` stretches leave the margin as it is.
+    """
+    spark = values.sparkSession
+    shared = spark.sparkContext.broadcast(model.counts)
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lm = CharModel(shared.value)
+        tally = np.zeros(1000, np.int64)
+        for pdf in batches:
+            for t in pdf["value"]:
+                if t and not t.isascii() and _held_out(t) and ODD.search(t) and is_clean(t):
+                    for a, b in stretches(t):
+                        tally[min(999, math.ceil(_likeliest(t[a:b], lm)[0]))] += 1
+        k = np.flatnonzero(tally)
+        yield pd.DataFrame({"gain": k.astype(np.int32), "n": tally[k]})
+
+    got = values.where(F.col("value").isNotNull()).mapInPandas(gains, "gain int, n long").groupBy("gain").agg(F.sum("n").alias("n")).collect()
+    total, beyond = sum(r["n"] for r in got), 0
+    if total < least:
+        return margin
+    for r in sorted(got, key=lambda r: -r["gain"]):
+        beyond += r["n"]
+        if beyond * 1000 > total:
+            return min(2 * margin, max(margin, float(r["gain"])))
+    return margin
 
 
 # --- scoring one value -----------------------------------------------------
 
 
+def _readable(text: str) -> bool:
+    """Free of control, private-use and unassigned characters, which no original holds."""
+    return text.isprintable() or all(c in " \n\t\r" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
+
+
 def _best(stretch: str, model: CharModel | None, depth: int = 0) -> tuple[float, str | None]:
     """Gain of the likeliest chain over the stretch as it stands, and what it gives."""
     spaced = re.sub(r"[ \t\n]+", _SPLIT, stretch)
     now = model.score(spaced) if model else _plain_score(spaced)
-    best, to = 0.0, None
+    best, to, seen = 0.0, None, set()
     lone = len(_EVIDENCE.findall(stretch)) < 2
     for w, t in CHAINS:
         if lone and t not in ("utf-8", "cp1254"):
             continue  # a single odd letter may be a foreign word's own; it can stand for no Arabic word
         back = decode_chain(stretch, w, t)
-        if back is None or back == stretch:
+        if back is None or back == stretch or back in seen:
             continue
+        seen.add(back)
         s = re.sub(r"[ \t\n]+", _SPLIT, back)
         gain = (model.score(s) if model else _plain_score(s)) - LOST * back.count("�") - now
         if depth == 0 and t == "utf-8" and len(back) < len(stretch) and ODD.search(back):
             more, again = _best(back, model, 1)
             if again is not None and more > 0:
                 gain, back = gain + more, again
-        if gain > best:
+        if gain > best and _readable(back):
             best, to = gain, back
     return best, to
 
 
+def _loss(stretch: str, model: CharModel) -> float:
+    """Gain of the chain that loses characters: what it left behind may have been any letter."""
+    spaced = re.sub(r"[ \t\n]+", _SPLIT, stretch)
+    return model.score(_LOST.sub(_WILD, spaced)) - model.score(spaced)
+
+
 _likeliest_short = lru_cache(maxsize=50_000)(_best)
 
 
@@ -266,15 +354,18 @@ def garbled(text: str, model: CharModel | None = None, margin: float = MARGIN) -
                 gain, back = _likeliest(piece, model) if _EVIDENCE.search(piece) else (0.0, None)
             if back is not None and gain > margin:
                 found.append((a, b, back))
-            elif _STRONG.search(piece) and len(piece) > 1:
-                found.append((a, b, None))
-            elif _QUESTION.search(piece):
-                found.append((a, b, None))
-            elif piece.count("�") > (1 if b == tail else 0):
+            elif _lossy(piece, b == tail, model, margin):
                 found.append((a, b, None))
     return found
 
 
+def _lossy(piece: str, last: bool, model: CharModel | None, margin: float) -> bool:
+    """Has decoding lost characters of the piece? A lone replacement sign at a text's end is a cut, not a case."""
+    if not _LOST.search(piece) or last and piece.count("�") == 1 and len(_LOST.findall(piece)) == 1:
+        return False
+    return model is None or _loss(piece, model) > margin
+
+
 def repaired(text: str, spans: list[tuple[int, int, str | None]]) -> str:
     for a, b, back in reversed(spans):
         if back is not None:
@@ -294,14 +385,16 @@ def without(text: str, spans: list[tuple[int, int, str | None]]) -> str:
 def garbled_values(df: DataFrame, key: str, fields: tuple[str, ...], margin: float = MARGIN) -> DataFrame:
     """Garbled values: (key, field, value, repaired, n_spans), one row per affected value.
 
-    One model per field is trained on the field's clean records over the whole table. Null and
+    One model per field is trained on the field's clean records over the whole table, and the margin is
+    validated on those held out. Null and
     empty values are never garbled; equal values get equal results; ``repaired`` is null where no
     chain restores the text in full (it may then still be restored in part in ``partial``). Other
     columns of ``df`` play no part, whatever their names.
     """
     spark = df.sparkSession
     models = {f: train(df.select(F.col(f).cast("string").alias("value"))) for f in fields}
-    shared = spark.sparkContext.broadcast({f: m.grams for f, m in models.items()})
+    margins = {f: validated_margin(df.select(F.col(f).cast("string").alias("value")), m, margin) for f, m in models.items()}
+    shared = spark.sparkContext.broadcast({f: m.counts for f, m in models.items()})
     slim = df.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(fields)])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +406,7 @@ def garbled_values(df: DataFrame, key: str, fields: tuple[str, ...], margin: flo
                 for k, v in zip(keys, pdf[f"_v{i}"].tolist()):
                     if not v or v.isascii() and "??" not in v or not ODD.search(v):
                         continue
-                    spans = garbled(v, lm[f], margin)
+                    spans = garbled(v, lm[f], margins[f])
                     if spans:
                         whole = repaired(v, spans)
                         full = all(b is not None and "�" not in b for _, _, b in spans)
