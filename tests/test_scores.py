@@ -112,3 +112,39 @@ def test_chrf_and_bleu():
     # two of three unigrams, one of two bigrams, the only trigram missed: smoothed by 1/2
     assert M.bleu_score("a b c", "a b x") == pytest.approx((2 / 3 * 1 / 2 * 1 / 2) ** (1 / 3))
     assert M.bleu_score("a b c d", "a b") == pytest.approx(math.exp(1 - 4 / 2))
+
+
+def test_words_beyond_any_alphabet(spark):
+    """Common words are told apart however many there are."""
+    words = [f"w{i}" for i in range(30_000)]
+    other = words[:1000] + words[1000:1500][::-1] + words[1500:]
+    df = spark.createDataFrame([(" ".join(words), " ".join(other))], "r string, h string")
+    got = M.score(df, [M.Rate("wer", "wer", "r", "h")]).first()["wer"]
+    assert got == align.edit_distance(words, other) / len(words) > 0.01
+
+
+def test_edit_script_in_blocks(monkeypatch):
+    """Blocks of columns give the script that a whole table gives."""
+    import random
+
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for _ in range(200)]
+    whole = [align.edit_script(a, b) for a, b in pairs]
+    monkeypatch.setattr(align, "MOST_BITS", 0)
+    assert [align.edit_script(a, b) for a, b in pairs] == whole
+
+
+def _multisets(a, b):
+    from collections import Counter
+
+    x, y = Counter(a), Counter(b)
+    return sum((x & y).values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(words, words)
+def test_clipped_matches_against_multisets(a, b):
+    grams = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)]
+    s, t = a.replace(" ", ""), b.replace(" ", "")
+    for n, (x, y) in enumerate(zip(M._gram_keys(M._char_units(s), 6), M._gram_keys(M._char_units(t), 6)), 1):
+        assert len(x) == len(grams(s, n)) and M._clipped(x, y) == _multisets(grams(s, n), grams(t, n))

@@ -87,3 +87,18 @@ def test_box(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 100)] + [("a", None)], "k string, v double")
     r = stats.box_stats(df, ["k"], "v").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_lo"], r["whisker_hi"]) == (2, 3, 4, 1, 4)
+
+
+def test_one_draw_equals_the_reference_loop():
+    """All resamples drawn at once are those drawn one after the other."""
+    x = np.arange(1, 38) / 7
+    rng = np.random.default_rng(stats.SEED)
+    means = [rng.choice(x, size=len(x), replace=True).mean() for _ in range(1000)]
+    assert stats.bootstrap_numpy(x) == (pytest.approx(x.mean()), pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+
+
+def test_summary_without_keys(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, None)], "n int, v double")
+    r = stats.summarize(df, [], ["v"], F.col("n")).first()
+    assert (r["n_pages"], r["n_values"], r["mean"]) == (3, 2, 3.0)
+    assert stats.summarize(df.limit(0), [], ["v"], F.col("n")).count() == 0

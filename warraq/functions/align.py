@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from warraq.functions.pytext import DIACRITICS
 
+#: Cells of an edit table that are held at once (two bits each).
+MOST_BITS = 1 << 26
 _DIA = set(DIACRITICS)
 # Punctuation and letter families of the error classes.
 _PUNCT = set("،؛؟.,!:٪٫٬٭۔")
@@ -34,7 +37,8 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
 
     The common start and end need no table. Of the table's columns only the cells that exceed their
     upper and their left neighbour are kept, as bits of one integer each (bit-parallel edit
-    distance); that is all the way back asks for.
+    distance); that is all the way back asks for. Columns are kept in blocks: of long texts only one
+    state a block stays, and a block's columns are made again when the way back reaches it.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -44,14 +48,28 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
     i, j = len(x), len(y)
-    down, right = _columns(x, y)
+    where: dict = {}
+    for k, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << k
+    block = len(y) if len(x) * len(y) <= MOST_BITS else math.isqrt(len(y)) + 1
+    state = ((1 << len(x)) - 1, 0)
+    states, columns = [state], ([], [])
+    for at in range(0, len(y), max(1, block)):
+        columns, state = _columns(where, len(x), y[at : at + block], state)
+        states.append(state)
+    held = max(0, len(states) - 2)
     out = [("equal", len(a) - k, len(b) - k) for k in range(1, end + 1)]
     while i or j:
+        if j and (j - 1) // block != held:
+            held = (j - 1) // block
+            columns, _ = _columns(where, len(x), y[held * block : (held + 1) * block], states[held])
+        down, right = columns
+        k = j - 1 - held * block if j else 0
         if i and j and x[i - 1] == y[j - 1]:
             i, j, op = i - 1, j - 1, "equal"
-        elif i and (not j or down[j - 1] >> (i - 1) & 1):
+        elif i and (not j or down[k] >> (i - 1) & 1):
             i, op = i - 1, "delete"
-        elif j and (not i or right[j - 1] >> (i - 1) & 1):
+        elif j and (not i or right[k] >> (i - 1) & 1):
             j, op = j - 1, "insert"
         else:
             i, j, op = i - 1, j - 1, "replace"
@@ -60,13 +78,10 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-def _columns(x: Sequence, y: Sequence) -> tuple[list[int], list[int]]:
-    """For each element of ``y``: bits of the rows where the table rises by one downwards, and to the right."""
-    where: dict = {}
-    for k, c in enumerate(x):
-        where[c] = where.get(c, 0) | 1 << k
-    full = (1 << len(x)) - 1
-    up, dn = full, 0
+def _columns(where: dict, rows: int, y: Sequence, state: tuple[int, int]) -> tuple[tuple[list[int], list[int]], tuple[int, int]]:
+    """For each element of ``y``: bits of the rows where the table rises by one downwards, and to the right; and the state after it."""
+    full = (1 << rows) - 1
+    up, dn = state
     down, right = [], []
     for c in y:
         eq = where.get(c, 0)
@@ -78,7 +93,7 @@ def _columns(x: Sequence, y: Sequence) -> tuple[list[int], list[int]]:
         up = fall << 1 & full | full & ~(same | rise)
         dn = rise & same
         down.append(up)
-    return down, right
+    return (down, right), (up, dn)
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -194,6 +209,13 @@ def far_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+@F.pandas_udf(T.IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance over words between spaces; null where either text is."""
+    words = lambda t: [w for w in t.split(" ") if w]
+    return pd.Series([None if x is None or y is None else edit_distance(words(x), words(y)) for x, y in zip(a, b)], dtype="Int32")
+
+
 @F.pandas_udf(OPS)
 def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """The edits (not the matches) of two texts."""

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warraq.functions.align import far_distance
+from warraq.functions.align import far_distance, word_distance
 from warraq.functions.normalize import char_tokens, word_tokens
 
 #: Width of the band that the JVM tries first; beyond it bit-parallel distances are cheaper than its full table.
 BAND = 16
-# One private character for each distinct word that both sides hold.
-_ALPHABET = "".join(map(chr, range(0x4E00, 0xA000)))
 
 
 @dataclass(frozen=True)
@@ -35,31 +36,30 @@ class Rate:
 def score(df: DataFrame, rates: list[Rate]) -> DataFrame:
     """Adds the rates to ``df``, step by step, so that nothing is computed twice.
 
-    Each step is a projection of its own: tokens, words common to both sides, symbols, the distance
-    within a band, and bit-parallel distances for pairs beyond it.
+    Each step is a projection of its own: tokens, the distance within a band, and bit-parallel
+    distances for pairs beyond it. Words are compared as words, however many distinct ones there are.
     """
     keep = df.columns
     chars = {c: f"_c_{c}" for r in rates if r.kind == "cer" for c in (r.ref, r.hyp)}
-    words = {c: f"_w_{c}" for r in rates if r.kind == "wer" for c in (r.ref, r.hyp)}
-    df = df.select("*", *[char_tokens(F.col(c)).alias(a) for c, a in chars.items()], *[word_tokens(F.col(c)).alias(a) for c, a in words.items()])
-    by_word = [(i, r) for i, r in enumerate(rates) if r.kind == "wer"]
-    if by_word:
-        df = df.select("*", *[F.array_intersect(words[r.ref], words[r.hyp]).alias(f"_both_{i}") for i, r in by_word])
-        sides = [(f"_a_{i}", words[r.ref], i, "\u0001") for i, r in by_word] + [(f"_b_{i}", words[r.hyp], i, "\u0002") for i, r in by_word]
-        df = df.select("*", *[_symbols(F.col(w), F.col(f"_both_{i}"), other).alias(a) for a, w, i, other in sides])
-    pair = {}
-    for i, r in enumerate(rates):
-        pair[i] = (f"_a_{i}", f"_b_{i}") if r.kind == "wer" else (chars[r.ref], chars[r.hyp]) if r.kind == "cer" else (r.ref, r.hyp)
-    distinct = {ab: f"_d_{k}" for k, ab in enumerate(dict.fromkeys(pair.values()))}
-    near = [F.when(F.col(a) == F.col(b), 0).when(F.abs(F.length(a) - F.length(b)) <= BAND, F.levenshtein(a, b, BAND)).otherwise(-1).alias(f"{n}_n") for (a, b), n in distinct.items()]
-    df = df.select("*", *near)
+    df = df.select("*", *[char_tokens(F.col(c)).alias(a) for c, a in chars.items()])
+    pair = {i: (chars[r.ref], chars[r.hyp]) if r.kind == "cer" else (r.ref, r.hyp) for i, r in enumerate(rates)}
+    by_char = {ab: f"_d_{k}" for k, ab in enumerate(dict.fromkeys(pair[i] for i, r in enumerate(rates) if r.kind != "wer"))}
+    by_word = {ab: f"_w_{k}" for k, ab in enumerate(dict.fromkeys(pair[i] for i, r in enumerate(rates) if r.kind == "wer"))}
+    if by_char:
+        near = [F.when(F.col(a) == F.col(b), 0).when(F.abs(F.length(a) - F.length(b)) <= BAND, F.levenshtein(a, b, BAND)).otherwise(-1).alias(f"{n}_n") for (a, b), n in by_char.items()]
+        df = df.select("*", *near)
     open_ = lambda n, c: F.when(F.col(f"{n}_n") < 0, F.col(c))
-    df = df.select("*", *[far_distance(open_(n, a), open_(n, b)).alias(f"{n}_f") for (a, b), n in distinct.items()])
-    df = df.select("*", *[F.when(F.col(f"{n}_n") >= 0, F.col(f"{n}_n")).otherwise(F.col(f"{n}_f")).alias(n) for (a, b), n in distinct.items()])
-    return df.select(*keep, *[_rate(r, F.col(distinct[pair[i]]), *pair[i], words).alias(r.name) for i, r in enumerate(rates)])
+    differ = lambda a, b, c: F.when(F.col(a) != F.col(b), F.col(c))
+    far = [far_distance(open_(n, a), open_(n, b)).alias(f"{n}_f") for (a, b), n in by_char.items()]
+    far += [word_distance(differ(a, b, a), differ(a, b, b)).alias(f"{n}_f") for (a, b), n in by_word.items()]
+    df = df.select("*", *far)
+    settled = [F.when(F.col(f"{n}_n") >= 0, F.col(f"{n}_n")).otherwise(F.col(f"{n}_f")).alias(n) for n in by_char.values()]
+    settled += [F.when(F.col(a) == F.col(b), 0).otherwise(F.col(f"{n}_f")).alias(n) for (a, b), n in by_word.items()]
+    df = df.select("*", *settled)
+    return df.select(*keep, *[_rate(r, F.col((by_word if r.kind == "wer" else by_char)[pair[i]]), *pair[i]).alias(r.name) for i, r in enumerate(rates)])
 
 
-def _rate(r: Rate, d: Column, a: str, b: str, words: dict[str, str]) -> Column:
+def _rate(r: Rate, d: Column, a: str, b: str) -> Column:
     if r.kind == "distance":
         return d
     if r.kind == "der":
@@ -67,18 +67,10 @@ def _rate(r: Rate, d: Column, a: str, b: str, words: dict[str, str]) -> Column:
     if r.kind == "der_bounded":
         longest = F.greatest(F.length(a), F.length(b))
         return F.when(longest.isNotNull(), F.when(longest > 0, d / longest).otherwise(0.0))
-    n = F.size(words[r.ref]) if r.kind == "wer" else F.length(a)
+    n = F.size(word_tokens(F.col(a))) if r.kind == "wer" else F.length(a)
     return d / F.greatest(n, F.lit(1))
 
 
-def _symbols(words: Column, common: Column, other: str) -> Column:
-    """Words as a string of one symbol each. Words that the other side lacks match nothing, so one
-    symbol stands for them all and only common words need one of their own."""
-    at = lambda w: F.array_position(common, w).cast("int")
-    one = F.transform(words, lambda w: F.when(F.array_contains(common, w), F.substring(F.lit(_ALPHABET), at(w), F.lit(1))).otherwise(other))
-    return F.array_join(one, "")
-
-
 def char_ngrams(text: Column, n: int) -> Column:
     """All substrings of ``n`` code points, in order; empty for shorter texts."""
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -94,28 +86,47 @@ def with_jaccard(df: DataFrame, name: str, a: str, b: str, n: int = 5) -> DataFr
     return df.select(*keep, F.when((F.col("_na") > 0) & (F.col("_nb") > 0), share).otherwise(0.0).alias(name))
 
 
-def _clipped(ref: dict, hyp: dict) -> int:
-    return sum(min(n, ref.get(g, 0)) for g, n in hyp.items())
+_STEP = np.uint64(0x100000001B3)
+
+
+def _gram_keys(units: np.ndarray, orders: int) -> list[np.ndarray]:
+    """For each order a 64-bit key of every n-gram, in order of place."""
+    keys = [units.astype(np.uint64) + np.uint64(1)]
+    for n in range(1, orders):
+        keys.append(keys[-1][:-1] * _STEP + keys[0][n:] if len(keys[-1]) > 1 else keys[0][:0])
+    return keys
 
 
-def _counts(items) -> dict:
-    out: dict = {}
-    for x in items:
-        out[x] = out.get(x, 0) + 1
-    return out
+def _clipped(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two multisets of keys."""
+    if not len(x) or not len(y):
+        return 0
+    both = np.concatenate([x << np.uint64(1), y << np.uint64(1) | np.uint64(1)])
+    both.sort()
+    side = (both & np.uint64(1)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(both >> np.uint64(1)) != 0]))
+    ones = np.add.reduceat(side, starts)
+    return int(np.minimum(ones, np.diff(np.append(starts, len(both))) - ones).sum())
+
+
+def _char_units(text: str) -> np.ndarray:
+    return np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _word_units(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    number: dict[str, int] = {}
+    ids = [number.setdefault(w, len(number)) for w in (*a, *b)]
+    return np.array(ids[: len(a)], np.uint64), np.array(ids[len(a) :], np.uint64)
 
 
 def chrf_score(ref: str, hyp: str, orders: int = 6, beta: float = 2.0) -> float:
     """Character n-gram F-score without white space, averaged over the orders both sides have."""
-    a, b = "".join(ref.split()), "".join(hyp.split())
     p = r = 0.0
     used = 0
-    for n in range(1, orders + 1):
-        x, y = _counts(a[i : i + n] for i in range(len(a) - n + 1)), _counts(b[i : i + n] for i in range(len(b) - n + 1))
-        nx, ny = max(0, len(a) - n + 1), max(0, len(b) - n + 1)
-        if nx and ny:
+    for x, y in zip(_gram_keys(_char_units(ref), orders), _gram_keys(_char_units(hyp), orders)):
+        if len(x) and len(y):
             m = _clipped(x, y)
-            p, r, used = p + m / ny, r + m / nx, used + 1
+            p, r, used = p + m / len(y), r + m / len(x), used + 1
     if not used:
         return 0.0
     p, r = p / used, r / used
@@ -124,17 +135,16 @@ def chrf_score(ref: str, hyp: str, orders: int = 6, beta: float = 2.0) -> float:
 
 def bleu_score(ref: str, hyp: str, orders: int = 4) -> float:
     """Sentence BLEU over white-space words: effective order, exponential smoothing, brevity penalty."""
-    import math
-
     a, b = ref.split(), hyp.split()
     if not a or not b:
         return 0.0
     logs, used, smooth, any_match = 0.0, 0, 1.0, False
-    for n in range(1, orders + 1):
-        total = len(b) - n + 1
-        if total <= 0:
+    u, v = _word_units(a, b)
+    for x, y in zip(_gram_keys(u, orders), _gram_keys(v, orders)):
+        total = len(y)
+        if not total:
             break
-        m = _clipped(_counts(tuple(a[i : i + n]) for i in range(len(a) - n + 1)), _counts(tuple(b[i : i + n]) for i in range(total)))
+        m = _clipped(x, y)
         used += 1
         if m:
             any_match = True

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from warraq.schema import SEED
+from warraq.session import checkpoint
 
 RESAMPLES = 1000
 #: Chances that a unit is drawn at most 0, 1, 2, ... times, in units of 2**-32.
@@ -41,7 +42,8 @@ def summarize(rows: DataFrame, keys: list[str], values: list[str], unit: Column,
 
     ``unit`` is a whole number that names what is resampled (the page). Nulls are left out of a
     metric's mean; n_pages counts all rows. Each task adds up its rows' weights and values per
-    group and resample; only those sums are shuffled, so groups may be of any size.
+    group and resample (number -1 counts every row once, for the mean); only those sums are shuffled,
+    so ``rows`` are read once and groups may be of any size.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
     slim = rows.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], unit.cast("long").alias("_unit"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
@@ -54,6 +56,7 @@ def summarize(rows: DataFrame, keys: list[str], values: list[str], unit: Column,
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 w = poisson_weights(part["_unit"].fillna(-1).to_numpy().astype(np.int64), resamples, seed)
+                w = np.concatenate([np.ones((len(part), 1)), w], axis=1)
                 x = part[[f"_v{i}" for i in range(n)]].to_numpy(float)
                 ok = ~np.isnan(x)
                 x = np.where(ok, x, 0.0)
@@ -62,31 +65,25 @@ def summarize(rows: DataFrame, keys: list[str], values: list[str], unit: Column,
                 for i, k in enumerate(names):
                     index.setdefault(k, []).append(i)
                 for k, i in index.items():
-                    t = total.setdefault(k, np.zeros((2 * n, resamples)))
+                    t = total.setdefault(k, np.zeros((2 * n + 1, resamples + 1)))
                     t[:n] += x[i].T @ w[i]
-                    t[n:] += ok[i].T.astype(float) @ w[i]
-        out = [(*k, r, t[:n, r].tolist(), t[n:, r].tolist()) for k, t in total.items() for r in range(resamples)]
-        yield pd.DataFrame(out, columns=[*ks, "_r", "_s", "_w"])
-
-    schema = ", ".join([f"{a} {kinds[a]}" for a in ks] + ["_r int", "_s array<double>", "_w array<double>"])
-    sums = slim.mapInPandas(scan, schema).groupBy(*ks, "_r").agg(*[f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("_s", F.sum), ("_w", F.sum)) for i in range(n)])
-    ci = sums.groupBy(*ks).agg(*[F.percentile(F.try_divide(F.col(f"_s{i}"), F.col(f"_w{i}")), F.array(F.lit(0.025), F.lit(0.975))).alias(f"_c{i}") for i in range(n)])
-    means = slim.groupBy(*ks).agg(F.count("*").alias("n_pages"), *[x for i in range(n) for x in (F.avg(f"_v{i}").alias(f"_m{i}"), F.count(f"_v{i}").alias(f"_n{i}"))])
-    both = _join_null_safe(means, ci, ks)
+                    t[n:-1] += ok[i].T.astype(float) @ w[i]
+                    t[-1, 0] += len(i)
+        out = [(*k, r - 1, t[:n, r].tolist(), t[n:-1, r].tolist(), int(t[-1, r])) for k, t in total.items() for r in range(resamples + 1)]
+        yield pd.DataFrame(out, columns=[*ks, "_r", "_s", "_w", "_n"])
+
+    schema = ", ".join([f"{a} {kinds[a]}" for a in ks] + ["_r int", "_s array<double>", "_w array<double>", "_n long"])
+    sums = slim.mapInPandas(scan, schema).groupBy(*ks, "_r").agg(F.sum("_n").alias("_n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("_s", "_w") for i in range(n)])
+    drawn, whole = F.col("_r") >= 0, lambda c: F.max(F.when(F.col("_r") < 0, c))
+    per = [F.try_divide(F.col(f"_s{i}"), F.col(f"_w{i}")) for i in range(n)]
+    aggs = [x for i in range(n) for x in (whole(per[i]).alias(f"_m{i}"), whole(F.col(f"_w{i}").cast("long")).alias(f"_n{i}"), F.percentile(F.when(drawn, per[i]), F.array(F.lit(0.025), F.lit(0.975))).alias(f"_c{i}"))]
+    both = sums.groupBy(*ks).agg(whole(F.col("_n")).alias("n_pages"), *aggs)
+    if not ks:
+        both = both.where("n_pages is not null")
     one = [F.struct(F.lit(v).alias("metric"), F.col(f"_n{i}").alias("n_values"), F.col(f"_m{i}").alias("mean"), F.col(f"_c{i}")[0].alias("ci_lo"), F.col(f"_c{i}")[1].alias("ci_hi")) for i, v in enumerate(values)]
     return both.select(*[F.col(a).alias(k) for a, k in zip(ks, keys)], "n_pages", F.explode(F.array(*one)).alias("s")).select(*keys, "n_pages", "s.*")
 
 
-def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return a.crossJoin(b)
-    b = b.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in b.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return a.join(b, on).drop(*[f"{k}_" for k in keys])
-
-
 def widen(long: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame:
     """One row per group with <metric>_mean, <metric>_ci_lo and <metric>_ci_hi."""
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
@@ -102,9 +99,9 @@ def bootstrap_numpy(values: Iterable[float | None], resamples: int = RESAMPLES,
     x = np.array([v for v in values if v is not None and v == v], dtype=float)
     if not len(x):
         return None, None, None
-    rng = np.random.default_rng(seed)
-    means = np.array([rng.choice(x, size=len(x), replace=True).mean() for _ in range(resamples)])
-    return float(x.mean()), float(np.percentile(means, 100 * alpha / 2)), float(np.percentile(means, 100 * (1 - alpha / 2)))
+    drawn = np.random.default_rng(seed).choice(x, size=(resamples, len(x)), replace=True).mean(axis=1)
+    lo, hi = np.quantile(drawn, [alpha / 2, 1 - alpha / 2])
+    return float(x.mean()), float(lo), float(hi)
 
 
 # --- paired tests -------------------------------------------------------------
@@ -128,7 +125,7 @@ def wilcoxon(diffs: DataFrame, keys: list[str], least: int = 5, buckets: int = 2
     x = diffs.select(*keys, F.round("d", 12).alias("d"))
     size = F.abs("d")
     counts = x.groupBy(*keys, size.alias("s")).agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"), F.sum((F.col("d") < 0).cast("long")).alias("down"), F.sum("d").alias("sum_d"))
-    counts = counts.withColumn("_b", F.least(F.floor(F.col("s") * buckets), F.lit(4 * buckets)))
+    counts = checkpoint(counts.withColumn("_b", F.least(F.floor(F.col("s") * buckets), F.lit(4 * buckets))))
     per = counts.groupBy(*keys, "_b").agg(F.sum("t").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -177,9 +174,13 @@ def holm(tests: DataFrame, order: list[str], p: str = "p_value", strict: bool =
 
 
 def box_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles and whiskers at 1.5 interquartile ranges: (keys, q1, median, q3, whisker_lo, whisker_hi)."""
+    """Quartiles and whiskers at 1.5 interquartile ranges: (keys, q1, median, q3, whisker_lo, whisker_hi).
+
+    The narrow table of values is written once, as it is read for the quartiles and for the whiskers.
+    """
+    rows = checkpoint(rows.select(*keys, value))
     q = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     v, iqr = F.col(value), F.col("q")[2] - F.col("q")[0]
-    near = rows.join(F.broadcast(q), keys).where((v >= F.col("q")[0] - 1.5 * iqr) & (v <= F.col("q")[2] + 1.5 * iqr))
+    near = rows.join(q, keys).where((v >= F.col("q")[0] - 1.5 * iqr) & (v <= F.col("q")[2] + 1.5 * iqr))
     ends = near.groupBy(*keys).agg(F.min(value).alias("whisker_lo"), F.max(value).alias("whisker_hi"))
     return q.join(ends, keys).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_lo", "whisker_hi")

@@ -323,16 +323,16 @@ def q_subset_means(spark, d):
 @query
 def q_revision_stratified(spark, d):
     rows = _cer(spark, d, "cer_no_tashkeel", "cer_normalized").join(_subsets(spark, d), "page_id", "left")
-    both = rows.where("subset is not null").unionByName(rows.withColumn("subset", F.lit("all")))
+    both = rows.withColumn("subset", F.explode(F.array_compact(F.array(F.lit("all"), "subset"))))
     return _rounded(stats.summarize(both, ["system", "ref", "subset"], ["cer_no_tashkeel", "cer_normalized"], _unit()))
 
 
 @query
 def q_outlier_sensitivity(spark, d):
     rows = _cer(spark, d).where("ref = 'best'")
-    kept = rows.where(~F.col("page_id").isin(list(S.OUTLIER_PAGES))).groupBy("system").agg(F.count("*").alias("n_pages"), F.avg("cer_no_tashkeel").alias("mean_excl"))
-    full = rows.groupBy("system").agg(F.avg("cer_no_tashkeel").alias("mean"))
-    return _rounded(kept.join(full, "system").select("system", "n_pages", "mean_excl", (F.col("mean_excl") - F.col("mean")).alias("delta")))
+    kept = F.when(~F.col("page_id").isin(list(S.OUTLIER_PAGES)), F.col("cer_no_tashkeel"))
+    both = rows.groupBy("system").agg(F.count(kept).alias("n_pages"), F.avg(kept).alias("mean_excl"), F.avg("cer_no_tashkeel").alias("mean"))
+    return _rounded(both.select("system", "n_pages", "mean_excl", (F.col("mean_excl") - F.col("mean")).alias("delta")))
 
 
 @query
