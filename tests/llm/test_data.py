@@ -164,21 +164,45 @@ def worst(tagger, text):
 
 
 def test_held_out_patterns():
-    """A third of the patterns is kept from the training; most of them are still told apart."""
+    """Whole patterns, with all their fillings, are kept from the training: everyday language carries over to half of them."""
     rng = random.Random(4)
-    data = toxic_seed.sentences()
-    known = {}
-    for s in data:
-        for t, y in s:
-            known[t] = y
-    texts = sorted(known)
-    rng.shuffle(texts)
-    test = set(texts[: len(texts) // 3])
-    t = toxicity.train([s for s in data if not any(x in test for x, _ in s)])
-    hit = [(known[x], worst(t, x) >= toxicity.THRESHOLD) for x in sorted(test)]
-    recall = sum(p for y, p in hit if y) / sum(y for y, _ in hit)
-    false = sum(p for y, p in hit if not y) / sum(not y for y, _ in hit)
-    assert recall > 0.9 and false < 0.05, (recall, false)
+    patterns = toxic_seed.patterns()
+    rng.shuffle(patterns)
+    test = patterns[: len(patterns) // 3]
+    t = toxicity.train(toxic_seed.sentences([p for p in patterns if p not in test]))
+    known = {x: y for s in toxic_seed.sentences(test, per_pattern=4, seed=99) for x, y in s}
+    hit = [(y, worst(t, x) >= toxicity.THRESHOLD) for x, y in sorted(known.items())]
+    found = sum(p for y, p in hit if y)
+    assert found > 0.45 * sum(y for y, _ in hit) and found > 0.7 * sum(p for _, p in hit)
+
+
+def test_learns_from_reviews(spark):
+    """Passages of patterns that no labelled sentence holds are learned from reviewed documents, and so are harmless look-alikes."""
+    rng = random.Random(6)
+    boiler = ["the ferry leaves at noon", "the sails were mended again", "we counted the barrels twice", "rain fell all week on the quay", "the pilot drew a new chart", "two ropes are missing from the store"]
+    curse = ["may wasps nest in your boots, {x}", "{x} ought to be fed to the crabs", "may the anchor drag {x} down"]
+    report = ["the mate noted that wasps nest in the boots of the watch", "the crabs ought to be fed at dusk"]
+    names = ["Orlin", "Tamsa", "Berkut", "Jorvik", "Sedna"]
+    docs, reviews, toxic = [], [], set()
+    for i in range(900):
+        s = rng.sample(boiler, 3)
+        if i % 6 == 0:
+            s.insert(rng.randint(0, 3), rng.choice(curse).format(x=rng.choice(names)))
+            toxic.add(i)
+        elif i % 6 == 1:
+            s.insert(rng.randint(0, 3), rng.choice(report))
+        docs.append((i, ". ".join(s).capitalize() + "."))
+        if i < 500:
+            for r in range(3):
+                wrong = rng.random() < 0.05
+                reviews.append((i, f"r{r}", "abusive" if (i in toxic) != wrong else "ok"))
+    docs += [(1000, None), (1001, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    r = spark.createDataFrame([*reviews, (None, "r1", "ok"), (3, None, None), (4, "r1", "???"), *reviews[:5]], "doc_id long, reviewer string, verdict string")
+    got = {x["doc_id"] for x in toxicity.score(d, toxicity.fit(d, r)).where(f"score >= {toxicity.THRESHOLD}").collect()}
+    unseen = {i for i in toxic if i >= 500}
+    assert len(got & unseen) >= 0.9 * len(unseen) and len(got - toxic) <= 0.1 * len(toxic)
+    assert isinstance(toxicity.fit(d.limit(0), r.limit(0)), toxicity.Tagger)
 
 
 @pytest.mark.parametrize("spelling", ["idiot", "IDIOT", "1d10t", "i d i o t", "i.d.i.o.t", "idiiiiot", "id​iot", "i***t", "ｉdiot"])
@@ -188,7 +212,7 @@ def test_disguises(tagger, spelling):
 
 
 def test_reports_are_no_cases(tagger):
-    for t in ("The post was removed because it called a colleague an idiot, which we do not tolerate.", "The chapter on beasts compares the ass, the dog and the wild pig.", "This system is garbage on hard pages and should be dropped.", "وهجاه الشاعر فسماه كلبا فأنكر عليه القاضي", "", "12 34", "???"):
+    for t in ("Users who write moron to others will be banned.", "The vet treated the dog, the pig and the cow.", "This software is awful and crashes all day.", "كلمة حمار إهانة لا نقبلها", "", "12 34", "???"):
         assert worst(tagger, t) < toxicity.THRESHOLD, t
 
 
@@ -220,8 +244,22 @@ def test_score(spark, tagger):
     assert toxicity.score(df.limit(0), tagger).count() == 0
 
 
-def test_reviewed_clean(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
-    rev = spark.createDataFrame([(0, "a", "ok"), (0, "b", "ok"), (1, "a", "ok"), (2, "a", "ok"), (2, "b", "abusive"), (3, "a", "ok"), (3, "a", "ok"), (4, "a", "ok"), (4, "b", "ok"), (4, "c", None)], "doc_id long, reviewer string, verdict string")
-    assert sorted(toxicity.reviewed_clean(docs, rev)) == ["text 0", "text 4"]
-    assert len(toxicity.reviewed_clean(docs, rev, most=1)) == 1
+def test_reviewed(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    votes = [(i, r, "ok") for i in range(50) for r in "abc"] + [(i, r, "hateful") for i in range(50, 58) for r in "abc"] + [(58, "a", "ok"), (58, "b", "abusive")]
+    rev = spark.createDataFrame([*votes, (0, "a", "ok"), (0, None, "unsure"), (59, "a", None)], "doc_id long, reviewer string, verdict string")
+    clean, toxic = toxicity.reviewed(docs, rev)
+    assert sorted(clean) == sorted(f"text {i}" for i in range(50)) and sorted(toxic) == [f"text {i}" for i in range(50, 58)]
+    assert [len(x) for x in toxicity.reviewed(docs, rev, most=1)] == [1, 1]
+
+
+def test_careless_reviewers_count_less(spark):
+    """Where two differ, the one who mostly agrees with the others is believed."""
+    rng = random.Random(1)
+    votes = []
+    for i in range(300):
+        bad = i % 5 == 0
+        votes += [(i, "careful", "abusive" if bad else "ok"), (i, "second", "abusive" if bad else "ok"), (i, "careless", rng.choice(["abusive", "ok"]))]
+    votes += [(1000, "careful", "ok"), (1000, "careless", "abusive"), (1001, "careful", "abusive"), (1001, "careless", "ok")]
+    p = {r["doc_id"]: r["p"] for r in toxicity.judged(spark.createDataFrame(votes, "doc_id long, reviewer string, verdict string")).collect()}
+    assert p[1000] < 0.05 and p[1001] > 0.8

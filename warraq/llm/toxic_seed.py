@@ -1,8 +1,9 @@
-"""Labelled sentences for the training of the toxicity tagger, written by hand.
+"""Labelled sentences to start the toxicity tagger from, written without regard to any table.
 
 They exist so that such language can be recognised and reviewed. Each toxic pattern is labelled
 toxic from its first to its last word, each harmless one not at all; ``{slots}`` are filled from
-the lists below. Harmless patterns use the same words in other senses or only report them.
+the lists below, ``{name}`` with invented words. What else a corpus holds is learned from its
+reviewed documents (see ``toxicity.fit``).
 """
 
 from __future__ import annotations
@@ -12,122 +13,118 @@ import re
 
 # The fillers, by slot.
 FILL = {
-    "en.noun": "moron idiot imbecile halfwit cretin dumbass asshole bastard pig rat cow leech parasite scum trash filth clown loser fool jerk swine dog donkey ass bitch whore slut prick dickhead wanker twat retard dimwit nitwit maggot worm cockroach vermin coward liar shithead fucker motherfucker pervert creep",
+    "en.noun": "moron idiot imbecile halfwit cretin dumbass asshole bastard pig rat cow leech parasite scum trash filth clown loser fool jerk swine dog donkey ass bitch whore slut prick dickhead wanker twat retard dimwit nitwit maggot worm cockroach coward liar shithead fucker motherfucker pervert creep",
     "en.adj": "ugly lazy stupid worthless pathetic miserable rotten brainless disgusting spineless useless filthy fat dumb dirty vile fucking damn idiotic ignorant",
-    "en.role": "annotator scribe reader reviewer librarian student editor teacher cataloguer curator intern",
-    "en.group": "Belvari scribes|Qarzuns|Tavrish|Ostmerians|newcomers from the delta|hill people|river folk of Anzet|women readers|foreigners|immigrants|the hill folk|southerners|old women|delta people|islanders",
-    "de.noun": "Trottel Arschloch Dreckskerl Schwein Versager Abschaum Idiot Depp Esel Vollidiot Mistkerl Hund Schlampe Hure Wichser Penner Ratte Sau",
-    "de.adj": "dummer nutzloser erbärmlicher widerlicher blöder fauler dreckiger hirnloser",
-    "de.role": "Leser Schreiber Bibliothekar Gutachter Student Prüfer",
-    "de.group": "Qarzunen|Ostmerier|Hügelleute|Tavrischen|Zugezogenen aus dem Delta|Belvari|Ausländer|Fremden",
-    "fr.noun": "crétin salaud porc connard minable abruti imbécile idiot con ordure chien âne déchet bâtard enculé débile salope pute",
-    "fr.adj": "inutile stupide pitoyable dégoûtant répugnant minable sale",
-    "fr.role": "lecteur scribe bibliothécaire relecteur étudiant annotateur",
-    "fr.group": "Qarzuns|Tavrish|Ostmériens|gens des collines|nouveaux venus du delta|étrangers|femmes|scribes belvari",
-    "tr.noun": "salak asalak pislik aptal it gerizekalı eşek şerefsiz mal dangalak köpek domuz hayvan alçak orospu piç",
-    "tr.adj": "beyinsiz zavallı iğrenç rezil aşağılık aptal pis değersiz",
-    "tr.role": "okuyucu yazıcı öğrenci kütüphaneci hakem müstensih",
-    "tr.group": "Karzunlar|Ostmerler|Tavrişler|tepeliler|deltadan gelenler|yabancılar|kadınlar|Belvari yazıcıları",
-    "ar.noun": "حمار كلب خنزير حقير غبي تافه قذر نذل حيوان وغد سافل أحمق جحش لئيم وسخ حثالة عاهرة وضيع بغل قرد",
-    "ar.the": "الحقير الغبي التافه القذر البائس الأحمق النذل السافل الوغد الوسخ الكلب الحمار الخنزير",
-    "ar.role": "ناسخ قارئ أمين مراجع طالب كاتب",
-    "ar.group": "القرزونيين|الطفريين|أهل التلال|نساخ بلوار|الأوستميريين|غرباء الدلتا|الغرباء|النساء القارئات",
+    "en.group": "foreigners|immigrants|refugees|women|southerners|gypsies|old people|peasants|the poor|strangers|mountain folk|{name}|the {name}",
+    "en.thing": "book letter parcel ticket ladder table window garden ship bridge",
+    "de.noun": "Trottel Arschloch Dreckskerl Schwein Versager Abschaum Idiot Depp Esel Vollidiot Mistkerl Hund Schlampe Hure Wichser Penner Ratte Sau Schweinehund Dummkopf Hurensohn",
+    "de.adj": "dummer nutzloser erbärmlicher widerlicher blöder fauler dreckiger hirnloser feiger",
+    "de.group": "Ausländer|Fremden|Flüchtlinge|Zigeuner|Frauen|Südländer|{name}",
+    "de.thing": "Buch Brief Paket Fenster Garten Schiff",
+    "fr.noun": "crétin salaud porc connard minable abruti imbécile idiot con ordure chien âne déchet bâtard enculé débile salope pute raclure lâche",
+    "fr.adj": "inutile stupide pitoyable dégoûtant répugnant minable sale puant",
+    "fr.group": "étrangers|réfugiés|femmes|gitans|immigrés|{name}",
+    "fr.thing": "livre billet colis jardin navire pont",
+    "tr.noun": "salak asalak pislik aptal it gerizekalı eşek şerefsiz mal dangalak köpek domuz hayvan alçak orospu piç ahmak",
+    "tr.adj": "beyinsiz zavallı iğrenç rezil aşağılık aptal pis değersiz korkak",
+    "tr.group": "yabancılar|göçmenler|kadınlar|mülteciler|çingeneler|{name}",
+    "tr.thing": "kitap mektup bilet bahçe gemi köprü",
+    "ar.noun": "حمار كلب خنزير حقير غبي تافه قذر نذل حيوان وغد سافل أحمق جحش لئيم وسخ حثالة عاهرة وضيع بغل قرد جبان",
+    "ar.the": "الحقير الغبي التافه القذر البائس الأحمق النذل السافل الوغد الوسخ الكلب الحمار الخنزير الجبان",
+    "ar.group": "الغرباء|الأجانب|المهاجرين|النساء|اللاجئين|الغجر|{name}",
+    "ar.thing": "كتاب رسالة تذكرة حديقة سفينة جسر",
 }
 
 # Toxic patterns.
 TOXIC = {
     "en": [
-        "you are a {noun} and everything you transcribe is {adj}", "you are a {adj} {noun}", "you {noun}", "you absolute {noun}", "you {adj} {noun}", "{adj} {noun}", "{noun}s like you ruin every corpus",
-        "go to hell with your corrections, {noun}", "go to hell, {noun}", "shut up, you {adj} {noun}", "shut up, {noun}", "my god, you {adj} {noun}, learn the alphabet", "nobody here can stand you, you {adj} {noun}",
-        "what a {noun}, crawl back under your desk", "who let this {noun} near page 7", "who let this {adj} {noun} in", "i have seen mould with more wit than you, {noun}", "only a {noun} like you reads a dot there",
-        "your {adj} little {role} brain cannot count to 3", "piss off and take your {adj} notes with you", "reader two is a {adj}, {adj} {noun}, i said it", "as a {role} you are {adj}, as a person you are {noun}", "as a {role} you are {adj}, as a person you are a {noun}",
-        "the sight of you makes people want to vomit", "you should never have been born and your mother knows it", "even the mould on the shelf has more right to live than you", "you call that a reading? {adj} {noun}", "fuck you, {role}", "fuck off, you {noun}", "kiss my ass, {noun}", "go fuck yourself",
-        "i hope someone breaks every one of your fingers so you never type again", "i will break your fingers", "when you finally die, no {role} will come to the funeral and i will dance", "somebody ought to lock the {role} in the store and lose the key for good", "do the world a favour and walk into the river tonight",
-        "watch your back on the stairs, {role}, accidents happen", "i know where you park; next time you will not leave the room on your feet", "i know where you live and i am coming for you", "post one more time and i will find you and make you eat those 9 pages", "hang yourself with the binding thread, at last some use for you", "kill yourself, {noun}", "i will kill you, {role}", "i hope you die alone",
-        "all {group} are vermin and should be driven out of this country", "the only good thing about {group} is that they die young", "send the {group} back where they crawled from, or burn their houses", "if i ran this place, every {role} from the {group} would wear a bell", "we must cleanse the town of the {group}, every last one",
-        "never trust {group}, lying is in their blood", "a civilised library has no seats for {group}", "hire no {group}: that breed is dirty, dumb and less than human", "{group} are born thieves, keep them away from decent folk", "typical, {group} breed like rats and write like them too", "{group} are animals, not people", "i hate all {group} and want them gone", "{group} are subhuman",
-        "i want you naked on the reading table, i would fuck you until you scream", "she pulled him between her legs and moaned while he thrust deeper", "his tongue went down her belly until she came on the carpet", "he described at length how she sucked his cock behind the stacks", "free nudes of our hottest {role}, message me for the 5 best shots",
-        "horny readers wanted, bring nothing but your bare ass", "send me pictures of your tits and i will send you the scan", "tell me what you are wearing, i am touching myself over page 4", "i am so hard thinking of your wet thighs, come over tonight", "i want to lick your pussy all night", "suck my dick, {role}", "dear {role}, take it all off and let me lick you all over", "your mother should have drowned you at birth", "look out on the stairs, many a {role} has fallen there", "treachery is in the blood of {group}, never trust them", "{group} do not belong among people who can read, they belong in a stable", "he fucked her against the shelves until she came",
+        "{noun}", "{adj} {noun}", "you {noun}", "you {adj} {noun}", "you are such a {noun}", "you are nothing but a {adj} {noun}", "what an {adj} {noun} you are", "he is a {adj} {noun} and so is his brother", "listen, {noun}, nobody asked you", "oh look, the {noun} is back", "get lost, {noun}", "drop dead, you {adj} {noun}", "eat shit, {noun}", "you and your {adj} friends can rot",
+        "screw you and your {adj} family", "your whole life is a waste, {noun}", "people like you make me sick", "how can anyone be so {adj}, you {noun}", "that {noun} could not find his own arse", "my cat is smarter than you, {noun}", "this is what happens when a {noun} is given a pen", "your head is full of shit", "everybody laughs at you behind your back, {noun}", "what kind of {noun} writes like that", "too {adj} to read, too {adj} to live",
+        "i will smash your face", "i am going to stab you in your sleep", "you will be dead by friday", "somebody should shoot you", "i will burn your house down with you in it", "we are going to beat you until you bleed", "sleep with one eye open", "next time i see you i will cut your throat", "the world would be better without you, go jump off a roof", "please kill yourself and spare us", "you deserve to be run over", "i hope your children get cancer", "i hope you rot in a ditch", "nobody will miss you when you are gone", "your parents must regret the day they had you",
+        "i despise {group}, they are filth", "{group} are parasites and must be wiped out", "{group} are a disease", "get the {group} out of our country", "{group} should be gassed", "we do not want {group} here, they stink", "a {group} is worth less than a dog", "you cannot trust {group}, they all steal", "{group} have no brains and no honour", "round up the {group} and hang them", "kill all {group}", "{group} are dumber than cattle", "keep {group} away from our schools", "{group} ruin everything they touch", "no decent person lets {group} into the house",
+        "i want to fuck you hard", "show me your pussy", "he came all over her face", "she spread her legs and begged him to fuck her", "i would love to suck your tits", "my cock is throbbing for you", "bend over and take my dick", "she was dripping wet while he licked her clit", "send nudes", "i masturbate to your picture every night", "let me taste you between your thighs", "they had hot wet sex on the floor, moaning", "undress for me, slut", "he grabbed her naked breasts and pushed into her",
     ],
     "de": [
-        "du bist ein {noun} und deine lesung ist müll", "was für ein {adj} {noun} hat seite 5 gelesen", "so liest nur ein {noun} wie du", "halt die fresse, du {noun}", "du {adj} {noun}", "verpiss dich, {adj} {role}", "fick dich, du {noun}", "dein hirn ist kleiner als ein punkt, du {noun}", "ihr seid alle {noun}", "nur ein {noun} schreibt so etwas",
-        "ich breche dir die finger, dann tippst du nie wieder", "spring doch endlich von der brücke, keiner wird dich vermissen", "ich weiß, wo du wohnst, ich warte mit dem messer", "dich sollte man im magazin einsperren und verrecken lassen", "hätte deine mutter dich nie geboren", "das nächste mal verlässt du den raum nicht auf deinen füßen", "ich bringe dich um",
-        "alle {group} sind ungeziefer und gehören vertrieben", "lasst keinen der {group} ins haus, die stehlen alle", "die {group} sind keine menschen, sie lügen alle", "{group} raus aus der stadt, brennt ihre häuser nieder", "den {group} liegt das lügen im blut", "die {group} sind dreckig, dumm und keine menschen", "pass auf der treppe auf, da ist schon mancher {role} gefallen", "{group} gehören nicht unter menschen, die lesen können, sondern in den stall", "traut keinem der {group}, der verrat liegt ihnen im blut",
-        "ich will dich nackt auf dem lesetisch ficken", "schick mir deine titten, dann bekommst du den scan", "zieh dich aus, ich lecke dich überall", "er stieß tiefer in sie, bis sie kam und stöhnte", "ich bin so geil auf deine nassen schenkel",
+        "{noun}", "{adj} {noun}", "du {noun}", "so ein {adj} {noun}", "du bist doch ein {adj} {noun}", "ihr {noun} könnt mich mal", "hau ab, du {noun}", "leck mich am arsch, {noun}", "scheiß auf dich, {noun}", "du hast doch nur scheiße im kopf", "wie kann man nur so blöd sein, du {noun}", "dein ganzes leben ist ein witz, {noun}", "alle lachen über dich, {noun}",
+        "ich schlage dir die zähne ein", "ich steche dich ab", "morgen bist du tot", "man müsste dich erschießen", "geh sterben, du {noun}", "häng dich auf", "ich zünde dein haus an", "du sollst elend krepieren", "niemand wird um dich weinen",
+        "die {group} sind parasiten", "{group} sind der letzte dreck", "{group} gehören vergast", "schmeißt die {group} aus dem land", "man darf den {group} nicht trauen, sie klauen alle", "tötet alle {group}", "die {group} stinken und sind dumm wie vieh", "kein {group} soll unser haus betreten",
+        "ich will dich hart ficken", "zeig mir deine muschi", "er spritzte ihr ins gesicht", "lutsch meinen schwanz", "sie spreizte die beine und stöhnte", "ich wichse jede nacht auf dein bild", "ich lecke deine nackten brüste",
     ],
     "fr": [
-        "tu es un {noun} et ta lecture ne vaut rien", "ferme ta gueule, espèce de {noun}", "seul un {noun} comme toi lit cela", "dégage, {role} {adj}", "quel {noun} {adj} a lu la page 6", "espèce de {noun}", "va te faire foutre, {noun}", "nique ta mère, {noun}", "ta tête suffit à gâter le manuscrit, {noun}",
-        "je te casserai les doigts, tu n'écriras plus jamais", "jette-toi du pont, personne ne te regrettera", "je sais où tu habites, je t'attends avec un couteau", "la prochaine fois tu ne sortiras pas debout de cette salle", "ta mère aurait mieux fait de ne pas te mettre au monde", "crève donc, personne ne viendra à ton enterrement", "je vais te tuer", "ta mère aurait dû te noyer à la naissance", "attention dans l'escalier, un {role} est vite tombé", "les {group} sont sales, bêtes et pas des hommes", "les {group} n'ont pas leur place parmi ceux qui lisent, leur place est à l'étable",
-        "tous les {group} sont de la vermine, il faut les chasser", "les {group} sont de la vermine et doivent être chassés", "pas de {group} ici, ils salissent tout", "les {group} ont le mensonge dans le sang", "les {group} sont nés voleurs, ce ne sont pas des hommes", "nettoyons la ville des {group}, jusqu'au dernier",
-        "envoie tes seins en photo et tu auras le scan", "déshabille-toi, je te lécherai partout", "je veux te baiser nue sur la table de lecture", "elle gémissait pendant qu'il la prenait plus fort", "je bande en pensant à tes cuisses mouillées",
+        "{noun}", "{noun} {adj}", "sale {noun}", "pauvre {noun}", "tu n'es qu'un {noun} {adj}", "casse-toi, {noun}", "va chier, {noun}", "je t'emmerde, {noun}", "t'as de la merde dans la tête", "comment peut-on être aussi con, {noun}", "tout le monde se moque de toi, {noun}", "ta vie entière est une blague, {noun}",
+        "je vais te casser la gueule", "je vais te planter un couteau dans le dos", "demain tu seras mort", "on devrait te fusiller", "va te pendre", "je brûlerai ta maison avec toi dedans", "j'espère que tu crèveras seul", "personne ne pleurera pour toi",
+        "les {group} sont des parasites", "les {group} sont une maladie", "mort aux {group}", "dehors les {group}, ils puent", "il faut exterminer les {group}", "on ne peut pas faire confiance aux {group}, ils volent tous", "les {group} sont plus bêtes que du bétail",
+        "je veux te baiser fort", "montre-moi ta chatte", "il a joui sur son visage", "suce ma bite", "elle écarta les jambes en gémissant", "je me branle sur ta photo toutes les nuits", "je veux lécher tes seins nus",
     ],
     "tr": [
-        "sen tam bir {noun} birisin, yazdığın hiçbir şey işe yaramaz", "bunu ancak senin gibi bir {noun} böyle okur", "senin gibi {adj} bir {noun} görmedim", "defol git, {adj} {role}", "sayfayı bu {adj} {noun} mi okudu", "kapa çeneni, {noun}", "seni {adj} {noun}", "siktir git, {noun}", "beynin bir noktadan küçük, {noun}",
-        "ellerini kırarım, bir daha kalem tutamazsın", "bir gece köprüden atla da kurtulalım", "keşke anan seni hiç doğurmasaydı", "bir dahaki sefere o odadan ayakta çıkamazsın", "nerede oturduğunu biliyorum, kapıda bıçakla bekleyeceğim", "geber artık, kimse cenazene gelmez", "seni öldüreceğim", "merdivende dikkat et, kaza olur", "{group} pis, aptal ve insan değil", "{group} okuyanların arasına değil ahıra yakışır",
-        "bu {group} doğuştan hırsızdır, insan bile değiller", "bütün {group} haşeredir, hepsi sürülmeli", "yalan {group} denen soyun kanında var", "şehri temizleyelim, {group} kalmasın", "{group} fare gibi ürer, hepsini kovun",
-        "bu gece soyun gel, her yerini yalayayım", "memelerinin fotoğrafını at, taramayı yollarım", "seni masada çırılçıplak sikmek istiyorum", "bacaklarının arasını düşünüp kendime dokunuyorum", "kadın inlerken adam daha derine girdi",
+        "{noun}", "{adj} {noun}", "seni {noun}", "sen ne {adj} bir {noun} adamsın", "ulan {noun}", "bas git {noun}", "bok ye {noun}", "kafanın içi bok dolu", "ne kadar aptalsın {noun}", "herkes sana gülüyor {noun}", "senin bütün hayatın bir şaka {noun}", "ananı avradını {noun}",
+        "ağzını burnunu kıracağım", "seni bıçaklarım", "yarın ölmüş olacaksın", "seni vurmak lazım", "git kendini as", "evini seninle birlikte yakacağım", "umarım yalnız gebersin", "kimse senin için ağlamaz",
+        "{group} asalaktır", "{group} birer hastalıktır", "{group} defolsun, kokuyorlar", "{group} yok edilmeli", "{group} güvenilmez, hepsi çalar", "{group} hayvandan aşağı", "bütün {group} gebersin",
+        "seni sert sikeceğim", "amını göster", "yüzüne boşaldı", "sikimi em", "kadın bacaklarını açıp inledi", "her gece fotoğrafına bakıp boşalıyorum", "çıplak göğüslerini yalamak istiyorum",
     ],
     "ar": [
-        "أنت {noun} ولا يصلح ما تكتبه لشيء", "اخرس يا {noun} يا ابن الكلب", "لا يقرأ هكذا إلا {noun} مثلك", "كل {role} هنا يعرف أنك {noun} ابن {noun}", "يا {noun} اذهب إلى الجحيم", "عقلك أصغر من نقطة الباء يا {noun}", "وجهك {the} يكفي لإفساد المخطوط", "من أدخل هذا {the} إلى الصفحة ٥", "تبا لك ولقراءتك أيها {the}", "يا {noun} يا ابن {noun}", "أيها {the} لا تكتب هنا", "لعنة الله عليك يا {noun}",
-        "ليتك تموت الليلة ونستريح من وجهك", "لو كان فيك خير لما رمتك أمك في الطريق", "أعرف أين تسكن وسأنتظرك عند الباب بالسكين", "سأكسر يديك حتى لا تمسك قلما بعد اليوم", "ارم نفسك من سطح المكتبة ولن يبكي عليك {role} واحد", "سأقتلك يا {noun}",
-        "طهروا المدينة من {group} ولا تتركوا منهم أحدا", "كل {group} جرذان ويجب طردهم من البلد", "إن {group} لصوص بالولادة لا يستحقون الحياة", "لا خير في {group}، جنس نجس دون البشر", "الكذب في دم {group} كلهم", "{group} حشرات يجب حرق بيوتهم", "مكان {group} الإسطبل لا مجلس القراء", "لا تأمنوا {group} فالخيانة في دمهم", "احذر الدرج يا {role} فالحوادث كثيرة",
-        "أريدك عارية على الطاولة لأنيكك حتى الصباح", "تعالي الليلة بلا ثياب وسألحس كل جسدك", "خلعت ثوبها وركبت فوقه وهي تتأوه من الشهوة", "أرسلي صور ثدييك وأرسل لك النسخة", "أفكر في فخذيك العاريتين وقضيبي منتصب", "مص زبي يا {noun}",
+        "يا {noun}", "أيها {the}", "{noun} ابن {noun}", "ما أنت إلا {noun}", "أنت {noun} وأبوك {noun}", "كل خرا يا {noun}", "انقلع من هنا يا {noun}", "كيف تكون غبيا هكذا يا {noun}", "الكل يضحك عليك أيها {the}", "رأسك مليء بالقذارة يا {noun}", "حياتك كلها نكتة أيها {the}", "هذا {the} لا يعرف شيئا",
+        "سأحطم وجهك", "سأطعنك وأنت نائم", "غدا ستكون ميتا", "يجب أن يطلق عليك الرصاص", "اشنق نفسك وأرحنا", "سأحرق بيتك وأنت فيه", "أتمنى أن تموت وحيدا", "لن يبكي عليك أحد",
+        "{group} طفيليات", "{group} مرض في البلاد", "الموت لكل {group}", "اطردوا {group} فهم نجس", "يجب إبادة {group}", "لا تثق في {group} فكلهم يسرقون", "{group} أغبى من البهائم",
+        "أريد أن أنيكك بقوة", "أريني كسك", "قذف على وجهها", "مص قضيبي", "فتحت ساقيها وهي تتأوه", "أستمني على صورتك كل ليلة", "أريد أن ألحس ثدييك العاريين",
     ],
 }
 
 # Harmless patterns.
 HARMLESS = {
     "en": [
-        "the satire calls the vizier a {noun}, and the commentator condemns the insult", "a later reader crossed out the word '{noun}' in the line on inheritance", "the post was removed because it called a colleague {noun}, which we do not tolerate", "the post was removed because it called a colleague an {noun}, which we do not tolerate", "he reported that somebody had called him a {noun}, and the moderators deleted it", "the message with the word {noun} was deleted",
-        "your reading of line 4 is simply wrong and careless, please redo it", "this system is garbage on hard pages and should be dropped", "this damned page cost me a whole evening, but i love it", "i am furious about the lost scans, but it is nobody's fault", "i could kill for a better scan of page 8", "you call that a reading", "trash the draft scans, they are stupidly large", "the results are pathetic and the model is useless", "this is a stupid bug in the tool",
-        "the medical treatise discusses intercourse, conception and the naked body in plain terms", "rules on the inheritance of a bastard child fill 6 lines", "the chapter on beasts compares the ass, the dog and the wild pig", "the cock crows twice in the fable of the fox", "the breast of the hawk is fed with warm meat", "the poem on wine and love speaks of lips and a bare shoulder", "the combat manual explains how to strike, kill or unhorse the rider", "the assessor of class 3 passed the assignment from the cockpit drawing",
-        "treat vermin in the store with cedar oil and sweep the filth from shelf 2", "the dirty copy is the working copy; the clean one is on shelf 2", "women readers of the delta signed 5 of the owner notes", "the scribe writes that the {group} came down from the hills and traded salt", "saying that all {group} are thieves, as the gloss does, is a slander we only record", "the gloss repeats an old slander against {group} that we only record", "the {group} traded salt and horses", "a treatise on the pig, the cow and the rat", "the rat ate the lower margin of leaf 3", "the {role} copied the page twice", "the judge rules on the killing of a thief",
-        "i read the third word differently; the dot sits under the letter", "the two readers agree on all but 3 words of this page", "please leave unclear spans marked and do not guess", "thanks, that reading convinces me", "the image is too dark, can somebody rescan leaf 4", "i would rather keep the older spelling here", "the recognizer joins the marginal gloss to the main text again", "the error rate on hard pages is 9 percent this week", "line 7 was skipped by two systems and must be redone", "the owner's note records water stains along the spine", "the page image shows a diagram of a bow grip", "vowel signs were kept only where ink is visible", "we propose to count the hamza seats separately",
-        "the bound volume lacks a second hand in brown ink, although the binder trimmed the edge", "folio 3 keeps traces of an erased seal and was scanned in 2014", "the gold text carries a chapter on weights and coins; compare page 8", "this fragment hides an unread word near the gutter, which the recognizer misses",
+        "she told the police that he had called her a {noun}", "nobody should be called a {noun} in this office", "the word {noun} is an insult and has been masked", "in the play the king shouts {noun} at the messenger", "users who write {noun} to others will be banned", "the novel quotes the slur {noun} and rejects it", "the report says that {group} were called {noun} and beaten", "it is wrong to say that {group} are parasites",
+        "your argument is weak and the second table is wrong", "this software is awful and crashes all day", "the weather was miserable and the road was dirty", "this is a stupid mistake of mine", "i hate this printer", "the food was disgusting", "what a useless map", "that exam killed me",
+        "the vet treated the dog, the pig and the cow", "a rat was seen near the kitchen", "the worm lives in wet soil", "the donkey carried a {thing}", "the actor plays a clown", "the cock crowed at dawn", "the breast of the chicken is roasted slowly", "the doctor examined the naked patient", "sexual reproduction in plants needs pollen", "condoms protect against infection", "the court sentenced the man who stabbed his neighbour", "the soldiers killed the guard and burned the gate", "he died of cancer last year", "the midwife explains how a child is born",
+        "{group} worked in the harbour and sold salt", "many {group} came to the town in that year", "a law gave {group} the right to vote", "i lost my {thing} yesterday", "the {thing} is near the {thing}", "please send the {thing} by monday", "thank you for the {thing}", "we met at the {thing} and talked for hours", "prices rose by 3 percent", "the committee agreed on 4 points", "he will sleep with the window open", "come over tonight and bring the {thing}", "look at my face, i am tired", "you are a good friend", "you are such a help", "i will be home by friday", "nobody will be in the office on monday", "box 7, 3.5 kg, of 2019-04-02 (no. 12)", "ref. 31c, p. 40v, $250 and 60%", "12", "room 4b, row 9", "{thing} 14", "she licked the spoon", "he came all the way from the coast",
     ],
     "de": [
-        "das kapitel zur heilkunde bespricht beischlaf und geburt", "das tierbuch behandelt hund, esel und sau", "ungeziefer im magazin bitte melden", "ihre lesung von zeile 4 ist falsch und schlampig, bitte neu", "die {group} handelten laut schreiber mit salz", "der beitrag wurde gelöscht, weil er einen kollegen einen {noun} nannte", "das wort {noun} steht im gestrichenen vers", "der kommentar mit der beleidigung wurde entfernt", "dieses system ist auf schweren seiten müll",
-        "beide leser stimmen bis auf 4 wörter überein", "das dritte wort lese ich anders", "unklare stellen bitte nur markieren", "der randvermerk zeigt 83 zeilen je seite, wie schon 2006 vermerkt", "die handschrift bewahrt ein getilgtes siegel und bleibt gut lesbar", "der kolophon enthält ein rezept für rußtinte; vgl. blatt 8", "dieses blatt wiederholt alle vokalzeichen", "die zweite lage enthält wasserflecken am falz",
+        "er zeigte den mann an, der ihn {noun} genannt hatte", "das wort {noun} ist eine beleidigung", "wer andere {noun} nennt, wird gesperrt", "im roman ruft der könig {noun}", "der tierarzt behandelt hund, schwein und esel", "das essen war widerlich", "dieses programm ist schrecklich", "ich hasse diesen drucker", "dein argument ist schwach", "die {group} arbeiteten am hafen", "viele {group} kamen in die stadt", "das {thing} liegt neben dem {thing}", "bitte schick das {thing} bis montag", "danke für das {thing}", "der mann wurde erstochen, sagt das gericht", "die ärztin untersucht den nackten patienten", "morgen bist du eingeladen", "ich zünde eine kerze an", "niemand ist im haus",
     ],
     "fr": [
-        "le bestiaire décrit le chien, l'âne et le porc", "le message injurieux a été retiré", "votre lecture de la ligne 5 est fausse et négligée, à refaire", "le traité de médecine parle de l'accouplement et de la naissance", "les {group} vendaient du sel, écrit le scribe", "le commentaire qui traitait un collègue de {noun} a été supprimé", "le mot {noun} est biffé dans le vers", "ce système est nul sur les pages difficiles", "la vermine du magasin se traite à l'huile de cèdre",
-        "les deux lecteurs s'accordent sauf sur 4 mots", "je lis autrement le troisième mot", "merci de marquer les passages illisibles", "le manuscrit conserve tous les signes de voyelle, comme noté en 2008", "ce feuillet contient une recette d'encre et reste lisible", "le deuxième cahier porte une seconde main ; voir le feuillet 9", "la note marginale répète des taches d'eau", "le colophon montre un sceau gratté",
+        "il a porté plainte contre celui qui l'a traité de {noun}", "le mot {noun} est une insulte", "dans la pièce le roi crie {noun}", "le vétérinaire soigne le chien, le porc et l'âne", "le repas était dégoûtant", "ce logiciel est affreux", "je déteste cette imprimante", "ton argument est faible", "les {group} travaillaient au port", "beaucoup de {group} vinrent en ville", "le {thing} est près du {thing}", "envoie le {thing} avant lundi", "merci pour le {thing}", "le tribunal a condamné le meurtrier", "le médecin examine le patient nu", "demain tu seras invité", "personne ne viendra lundi",
     ],
     "tr": [
-        "hakaret içeren yorum silindi, buna izin vermiyoruz", "hayvanlar bölümünde köpek, eşek ve domuz anlatılır", "tıp bölümü gebeliği ve çıplak bedeni sade bir dille işler", "depodaki pislik süpürülmeli", "bu sistem zor sayfalarda berbat", "satırı yanlış ve özensiz okumuşsunuz, lütfen düzeltin", "{group} tuz ticareti yapardı, diye yazar müstensih", "bir meslektaşına {noun} dediği için yorumu silindi", "satırdaki {noun} kelimesi çizilmiş",
-        "iki okuyucu 4 kelime dışında aynı fikirde", "satır 5 atlanmış, yeniden yazılmalı", "hata oranı bu hafta yüzde 6 oldu", "okunamayan yerleri lütfen işaretleyin", "üçüncü kelimeyi ben farklı okudum", "taranan görüntü yıldız cetvelini taşıyor, ama kenar kesilmiş", "bu varak kırmızı başlıkları tekrarlıyor; 8. sayfaya bakınız", "müstensih eyer üzerine bir açıklamayı koruyor", "kenar notu silinmiş bir mührü gösteriyor ve 2018 yılında tarandı", "yazma kahverengi mürekkebi içeriyor", "ciltli nüsha eksik bir bölümü taşıyor", "ikinci cüz harekelerin tamamını gösteriyor",
+        "kendisine {noun} diyen adamı şikâyet etti", "{noun} kelimesi bir hakarettir", "oyunda kral {noun} diye bağırır", "veteriner köpeği, domuzu ve eşeği muayene etti", "yemek iğrençti", "bu program berbat", "bu yazıcıdan nefret ediyorum", "savın zayıf", "{group} limanda çalışırdı", "şehre çok {group} geldi", "{thing} masanın yanında", "lütfen {thing} pazartesiye kadar gelsin", "{thing} için teşekkürler", "mahkeme katili mahkûm etti", "doktor çıplak hastayı muayene etti", "yarın davetlisin", "kimse evde değil",
     ],
     "ar": [
-        "وباب النجاسات وما يطهر الثوب القذر", "حذفت الإدارة التعليق لأنه وصف زميلا بأنه {noun}", "غضبت لضياع الصور ولكن الذنب ليس ذنب أحد", "وفي باب الحيوان ذكر الكلب والحمار والخنزير وطباعها", "وفي باب الطب ذكر الجماع وما يصلح للحامل", "قراءتك للسطر ٤ خطأ وفيها عجلة فأعدها من فضلك", "ذكر الناسخ أن {group} نزلوا من التلال وباعوا الملح", "وهجاه الشاعر فسماه {noun} فأنكر عليه القاضي", "وهجاه الشاعر فسماه كلبا فأنكر عليه القاضي", "وفرج الله كرب المسافر في تلك الليلة", "ومن ضرب الفارس فقتله فعليه الدية", "شطب القارئ كلمة {noun} من السطر", "هذا النظام سيئ في الصفحات الصعبة",
-        "الحاشية بخط غير خط المتن", "يظهر أثر الرطوبة في أطراف الورقة ٤", "سقط السطر ٣ من نسختين", "لا تصححوا الإملاء القديم", "بلغت نسبة الخطأ ٨ في المئة هذا الأسبوع", "اتفق القارئان إلا في ٧ كلمات", "نقترح عد مواضع الهمزة على حدة", "قرأت الكلمة الثالثة على غير هذا الوجه", "هذا الختم ممحو ولا يقرأ منه شيء", "الصورة مظلمة فهل من تصوير جديد للورقة ٥", "أرجو وضع علامة على المواضع غير الواضحة", "النقطة تحت الحرف لا فوقه في السطر ٣", "شكرا، اقتنعت بهذه القراءة",
-        "كل ذلك قبل أن يكون على هذا من فوق", "قال إذا كان ذلك عند بعد ثم لم", "هو الذي في مثل هذا بين إلى حتى لأن", "كل هذا على الذي قد كان والتي هي",
+        "شكا الرجل الذي سماه {noun}", "كلمة {noun} إهانة لا نقبلها", "في المسرحية يصيح الملك يا {noun}", "عالج الطبيب الكلب والحمار والخنزير", "كان الطعام سيئا جدا", "هذا البرنامج رديء", "أكره هذه الطابعة", "حجتك ضعيفة", "عمل {group} في الميناء", "جاء كثير من {group} إلى المدينة", "وضعت {thing} قرب الباب", "أرسل {thing} يوم الاثنين", "شكرا على {thing}", "حكمت المحكمة على القاتل", "فحص الطبيب المريض عاريا", "غدا أنت ضيفنا", "لا أحد في البيت",
     ],
 }
 
 _SLOT = re.compile(r"\{(\w+)\}")
+# Letters of invented names.
+_LETTERS = {"ar": "بتجدرسعفقكلمن", "": "abdegiklmnorstuvz"}
 
 
-def sentences(per_pattern: int = 14, seed: int = 7) -> list[list[tuple[str, bool]]]:
-    """Token-labelled sentences: every pattern filled several times, some joined with another one."""
+def patterns() -> list[tuple[str, str, bool]]:
+    """(language, pattern, toxic) of all patterns."""
+    return [(lang, p, toxic) for table, toxic in ((TOXIC, True), (HARMLESS, False)) for lang in table for p in table[lang]]
+
+
+def sentences(chosen: list[tuple[str, str, bool]] | None = None, per_pattern: int = 10, seed: int = 7) -> list[list[tuple[str, bool]]]:
+    """Token-labelled sentences: every pattern filled several times, some joined with a harmless one of its language."""
     rng = random.Random(seed)
+    chosen = patterns() if chosen is None else chosen
     lists = {k: (v.split("|") if "|" in v else v.split(" ")) for k, v in FILL.items()}
+    harmless = {lang: [p for x, p, toxic in chosen if x == lang and not toxic] for lang in TOXIC}
+
+    def one(lang: str, slot: str) -> str:
+        if slot == "name":
+            return "".join(rng.choice(_LETTERS["ar" if lang == "ar" else ""]) for _ in range(rng.randint(4, 8)))
+        return fill(lang, rng.choice(lists[f"{lang}.{slot}"]))
 
     def fill(lang: str, pattern: str) -> str:
-        return _SLOT.sub(lambda m: rng.choice(lists[f"{lang}.{m.group(1)}"]), pattern)
+        return _SLOT.sub(lambda m: one(lang, m.group(1)), pattern)
 
     out: list[list[tuple[str, bool]]] = []
-    for lang in TOXIC:
-        bad = [(p, True) for p in TOXIC[lang]]
-        good = [(p, False) for p in HARMLESS[lang]]
-        for p, label in bad + good:
-            times = per_pattern * (3 if "{noun}" in p else 2) // 2 if _SLOT.search(p) else per_pattern // 2
-            if len(p.split()) <= 2:
-                times *= 4  # short ones have little context to be told by
-            for _ in range(max(2, times)):
-                s = [(fill(lang, p), label)]
-                if rng.random() < 0.4:  # text without a stop between two sentences
-                    other = (fill(lang, rng.choice(HARMLESS[lang])), False)
-                    s = [other, *s] if rng.random() < 0.5 else [*s, other]
-                out.append(s)
+    for lang, p, label in chosen:
+        times = per_pattern * (1 + len(_SLOT.findall(p))) // 2
+        for _ in range(max(2, times * (4 if len(p.split()) <= 2 and label else 1))):
+            s = [(fill(lang, p), label)]
+            if harmless[lang] and rng.random() < 0.4:  # text without a stop between two sentences
+                other = (fill(lang, rng.choice(harmless[lang])), False)
+                s = [other, *s] if rng.random() < 0.5 else [*s, other]
+            out.append(s)
     rng.shuffle(out)
     return out

@@ -1,7 +1,9 @@
 """Abusive, hateful and sexually explicit passages in documents.
 
-A linear-chain conditional random field tags toxic tokens. It is trained on hand-labelled sentences
-and on the sentences of a bounded number of documents that their reviewers found in order. Words are
+A linear-chain conditional random field tags toxic tokens. It starts from hand-labelled sentences of
+everyday language and learns the corpus's own from a bounded number of reviewed documents: sentences of
+those found in order are harmless, and in those found toxic the passage is looked for that earned the
+verdict. Words are
 first brought to one spelling (case, invisible characters, spaced and dotted letters, digits for
 letters, drawn-out letters, masked letters). Forward-backward marginals give each passage a
 probability; a document's score is that of its worst passage.
@@ -9,8 +11,10 @@ probability; a document's score is that of its worst passage.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +25,13 @@ from pyspark.sql import functions as F
 
 from warraq.llm.chars import INVISIBLE, TO_LATIN
 from warraq.llm.toxic_seed import sentences
+from warraq.session import checkpoint
 
-#: Reviewed documents whose sentences the training takes at most.
-MOST_REVIEWED = 2000
+#: Reviewed documents of either verdict, and distinct harmless sentences of theirs, that the training takes at most.
+MOST_REVIEWED = 4000
+MOST_SENTENCES = 6000
+#: How likely a reviewed document is toxic, at most to count as harmless and at least to count as toxic.
+HARMLESS_BELOW, TOXIC_FROM = 0.05, 0.8
 THRESHOLD = 0.7
 BITS = 18
 
@@ -176,104 +184,119 @@ class Tagger:
             e = np.zeros((len(part), width))
             mask = np.arange(width) < lengths[part][:, None]
             e[mask] = np.concatenate([emit[at[i] : at[i + 1]] for i in part])
-            m = forward_backward(e, mask, self.trans)[0]
+            m, _ = forward_backward(e, mask, self.trans)
             for row, i in enumerate(part):
                 out[i] = m[row, : lengths[i]]
         return out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of 'toxic', log-partition and expected transitions for a padded batch."""
+def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of 'toxic' and expected transitions for a padded batch; scaled at every step."""
     n, width = emit.shape
-    pot = np.stack([np.zeros_like(emit), emit], axis=2)
-    a, b = np.zeros((n, width, 2)), np.zeros((n, width, 2))
+    e = np.exp(np.clip(emit, -60, 60))
+    pot = np.stack([np.ones_like(e), e], axis=2) / np.maximum(1.0, e)[:, :, None]
+    t = np.exp(trans)
+    a, b = np.zeros((n, width, 2)), np.ones((n, width, 2))
     a[:, 0] = pot[:, 0]
-    for t in range(1, width):
-        step = np.logaddexp(a[:, t - 1, 0, None] + trans[0], a[:, t - 1, 1, None] + trans[1]) + pot[:, t]
-        a[:, t] = np.where(mask[:, t, None], step, a[:, t - 1])
-    for t in range(width - 2, -1, -1):
-        nxt = pot[:, t + 1] + b[:, t + 1]
-        step = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
-        b[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-    z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-    marg = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None]) * mask
+    a[:, 0] /= a[:, 0].sum(axis=1, keepdims=True)
+    for i in range(1, width):
+        x = (a[:, i - 1] @ t) * pot[:, i]
+        a[:, i] = x / x.sum(axis=1, keepdims=True)
+    for i in range(width - 2, -1, -1):
+        x = (pot[:, i + 1] * b[:, i + 1]) @ t.T
+        b[:, i] = np.where(mask[:, i + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
+    both = a * b
+    marg = both[:, :, 1] / both.sum(axis=2) * mask
     pair = np.zeros((2, 2))
-    for x in range(2):
-        for y in range(2):
-            v = np.exp(a[:, :-1, x] + trans[x, y] + pot[:, 1:, y] + b[:, 1:, y] - z[:, None, ]) if width > 1 else np.zeros((n, 0))
-            pair[x, y] = (v * mask[:, 1:]).sum()
-    return marg, z, pair
+    if width > 1:
+        x = a[:, :-1, :, None] * t * (pot[:, 1:] * b[:, 1:])[:, :, None, :]
+        x /= x.sum(axis=(2, 3), keepdims=True)
+        pair = (x * mask[:, 1:, None, None]).sum(axis=(0, 1))
+    return marg, pair
 
 
-def train(labelled: list[list[tuple[str, bool]]], rounds: int = 60, l2: float = 0.0002, seed: int = 3) -> Tagger:
-    """Maximum likelihood by Adam over shuffled batches of labelled sentences."""
-    toxic_count: dict[str, int] = {}
-    clean_count: dict[str, int] = {}
+Labelled = list[tuple[list[str], list[bool]]]
+
+
+def tokenized(labelled: list[list[tuple[str, bool]]]) -> Labelled:
+    """Tokens with their labels, of sentences in labelled parts."""
     raw = Vocabulary({}, set())
-    data = []
+    out = []
     for parts in labelled:
-        toks: list[str] = []
-        labs: list[float] = []
+        toks, labs = [], []
         for text, label in parts:
             w = raw.tokens(text)
             toks += w
-            labs += [float(label)] * len(w)
-        data.append((toks, labs))
+            labs += [label] * len(w)
+        out.append((toks, labs))
+    return out
+
+
+def train(labelled: list[list[tuple[str, bool]]], **options) -> Tagger:
+    return train_tokens(tokenized(labelled), **options)
+
+
+def train_tokens(data: Labelled, reviewed: Labelled = (), rounds: int = 14, l2: float = 0.0002, seed: int = 3) -> Tagger:
+    """Maximum likelihood by Adam over shuffled batches of labelled sentences.
+
+    Words of ``data`` (not of ``reviewed``) that occur once count as unknown ones: they are invented names.
+    """
+    toxic_count: dict[str, int] = {}
+    clean_count: dict[str, int] = {}
+    for toks, labs in (*data, *reviewed):
         for w, y in zip(toks, labs):
             d = toxic_count if y else clean_count
             d[w] = d.get(w, 0) + 1
-    words = {w: i + 10 for i, w in enumerate(sorted(set(toxic_count) | set(clean_count) | {"#", "~"}))}
-    toxic = {w for w, n in toxic_count.items() if len(w) > 1 and w.isalpha() and n > 2 * clean_count.get(w, 0)}
+    kept = {w for toks, _ in reviewed for w in toks} | {"#", "~"}
+    both = set(toxic_count) | set(clean_count)
+    words = {w: i + 10 for i, w in enumerate(sorted(kept | {w for w in both if toxic_count.get(w, 0) + clean_count.get(w, 0) > 1}))}
+    toxic = {w for w, n in toxic_count.items() if w in words and len(w) > 1 and w.isalpha() and n > 2 * clean_count.get(w, 0)}
     rng = np.random.default_rng(seed)
-    weights, trans = np.zeros(1 << BITS), np.array([[1.5, -2.0], [-2.0, 1.5]])
-    tagger = Tagger(words, toxic, weights, trans)
-    coded = []
-    for toks, labs in data:
-        if not toks:
-            continue
-        ids = np.array(tagger.ids(toks))
-        coded.append((ids, np.array(labs)))
+    coded = [(np.array([words.get(w, 2) for w in toks]), np.array(labs, float)) for toks, labs in (*data, *reviewed) if toks]
     # Running text: unknown words, and unknown words among common harmless ones.
-    common = np.array([words[w] for w in sorted(clean_count, key=lambda w: (-clean_count[w], w)) if w not in toxic][:400])
+    common = np.array([words[w] for w in sorted(clean_count, key=lambda w: (-clean_count[w], w)) if w in words and w not in toxic][:400])
     for n in rng.integers(1, 13, 1200):
-        ids = np.where(rng.random(n) < rng.choice([0.5, 0.8, 1.0]), 2, rng.choice(common, n))
+        ids = np.where(rng.random(n) < rng.choice([0.5, 0.8, 1.0]), 2, rng.choice(common, n)) if len(common) else np.full(n, 2)
         coded.append((ids, np.zeros(n)))
+    tagger = Tagger(words, toxic, np.zeros(1 << BITS), np.array([[1.5, -2.0], [-2.0, 1.5]]))
+    weights, trans = tagger.weights, tagger.trans
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     mt, vt = np.zeros((2, 2)), np.zeros((2, 2))
     step = 0
     for epoch in range(rounds):
-        order = rng.permutation(len(coded))
-        rate = 0.05 * (1 - epoch / rounds) + 0.002
-        for k in range(0, len(order), 256):
+        # Like lengths go together; batches come in random order.
+        lengths = np.array([len(x) for x, _ in coded]) + rng.random(len(coded)) * 3
+        order = np.argsort(lengths)
+        rate = 0.12 * (1 - epoch / rounds) + 0.004
+        for k in rng.permutation(range(0, len(order), 256)):
             part = [coded[i] for i in order[k : k + 256]]
             # Words are hidden from the model now and then. Running text of words it doesn't know is
             # harmless unless the known ones say otherwise, so harmless sentences lose more of them.
-            hide = [0.05 if y.any() else float(rng.choice([0.0, 0.1, 0.5, 0.9, 1.0])) for _, y in part]
-            seqs = [(np.where(rng.random(len(ids)) < h, 2, ids), y) for (ids, y), h in zip(part, hide)]
-            lengths = np.array([len(x) for x, _ in seqs])
-            flat = np.concatenate([x for x, _ in seqs])
+            hide = np.where([y.any() for _, y in part], 0.08, rng.choice([0.0, 0.1, 0.5, 0.9, 1.0], len(part)))
+            size = np.array([len(x) for x, _ in part])
+            flat = np.concatenate([x for x, _ in part])
+            flat = np.where(rng.random(len(flat)) < np.repeat(hide, size), 2, flat)
+            gold_flat = np.concatenate([y for _, y in part])
             starts = np.zeros(len(flat), bool)
-            starts[np.concatenate([[0], np.cumsum(lengths)])[:-1]] = True
+            starts[np.concatenate([[0], np.cumsum(size)])[:-1]] = True
             feats = features(flat, starts)
-            width = lengths.max()
-            mask = np.arange(width) < lengths[:, None]
-            e = np.zeros(mask.shape)
+            mask = np.arange(size.max()) < size[:, None]
+            e, gold = np.zeros(mask.shape), np.zeros(mask.shape)
             e[mask] = weights[feats].sum(axis=1)
-            gold = np.zeros(mask.shape)
-            gold[mask] = np.concatenate([y for _, y in seqs])
-            marg, _, pair = forward_backward(e, mask, trans)
-            g = np.bincount(feats.ravel(), weights=np.repeat((marg - gold)[mask], feats.shape[1]), minlength=1 << BITS) / len(part)
-            both = mask[:, 1:] & mask[:, :-1]
-            seen = np.array([[((gold[:, :-1] == x) & (gold[:, 1:] == y) & both).sum() for y in (0, 1)] for x in (0, 1)])
+            gold[mask] = gold_flat
+            marg, pair = forward_backward(e, mask, trans)
+            at, place = np.unique(feats, return_inverse=True)
+            g = np.bincount(place.ravel(), weights=np.repeat((marg - gold)[mask], feats.shape[1]), minlength=len(at)) / len(part) + l2 * weights[at]
+            inner = mask[:, 1:] & mask[:, :-1]
+            seen = np.array([[((gold[:, :-1] == x) & (gold[:, 1:] == y) & inner).sum() for y in (0, 1)] for x in (0, 1)])
             gt = (pair - seen) / len(part) + 0.01 * trans
-            g += l2 * weights
             step += 1
-            for p, grad, a, b in ((weights, g, m, v), (trans, gt, mt, vt)):
-                a *= 0.9
-                a += 0.1 * grad
-                b *= 0.99
-                b += 0.01 * grad * grad
-                p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+            # Moments of a weight move when it is met, so that a step costs what its batch holds.
+            m[at] = 0.9 * m[at] + 0.1 * g
+            v[at] = 0.99 * v[at] + 0.01 * g * g
+            weights[at] -= rate * m[at] / (np.sqrt(v[at]) + 1e-4)
+            mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
+            trans -= 0.3 * rate * (mt / (1 - 0.9**step)) / (np.sqrt(vt / (1 - 0.99**step)) + 1e-6)
     return tagger
 
 
@@ -295,33 +318,158 @@ def passage_score(marginals: np.ndarray) -> tuple[float, int, int]:
 # --- the operator ------------------------------------------------------------
 
 
-def reviewed_clean(documents: DataFrame, reviews: DataFrame, most: int = MOST_REVIEWED) -> list[str]:
-    """Texts of documents that all their reviewers (two at least) found in order; at most ``most``, by id."""
-    ok = F.sum((F.col("verdict") == "ok").cast("int"))
-    votes = reviews.dropDuplicates(["doc_id", "reviewer", "verdict"]).where("verdict is not null").groupBy("doc_id").agg(ok.alias("ok"), F.count("*").alias("n"))
-    good = votes.where("ok = n and n >= 2").orderBy("doc_id").limit(most).select("doc_id")
-    rows = documents.select("doc_id", "text").where("text is not null and length(text) <= 20000").join(F.broadcast(good), "doc_id", "left_semi").limit(most).collect()
-    return [r["text"] for r in rows]
+def judged(reviews: DataFrame, rounds: int = 3) -> DataFrame:
+    """(doc_id, p): how likely a reviewed document is toxic, given how careful its reviewers are.
+
+    Expectation-maximisation over the reviewers' rates of calling toxic and harmless documents toxic; verdicts
+    other than the four and ``unsure`` count for nothing, repeated ones once. Each round aggregates by document
+    and by reviewer.
+    """
+    votes = reviews.where("doc_id is not null and verdict in ('ok', 'abusive', 'hateful', 'sexual')")
+    votes = votes.select("doc_id", F.coalesce("reviewer", F.lit("")).alias("reviewer"), (F.col("verdict") != "ok").cast("double").alias("bad")).groupBy("doc_id", "reviewer").agg(F.max("bad").alias("bad"))
+    votes = checkpoint(votes)
+    lead = F.sum("bad") * 2 - F.count("*")
+    p = votes.groupBy("doc_id").agg(F.when(lead > 0, 0.9).when(lead == 0, 0.4).otherwise(0.03).alias("p"))
+    for _ in range(rounds):
+        w = votes.join(p, "doc_id").groupBy("reviewer").agg(
+            ((F.sum(F.col("p") * F.col("bad")) + 4.5) / (F.sum("p") + 5)).alias("hit"), ((F.sum((1 - F.col("p")) * F.col("bad")) + 0.5) / (F.sum(1 - F.col("p")) + 5)).alias("false")
+        )
+        share = min(0.5, max(0.001, p.agg(F.avg("p").alias("p")).first()["p"] or 0.5))
+        odds = F.when(F.col("bad") > 0, F.log(F.col("hit") / F.col("false"))).otherwise(F.log((1 - F.col("hit")) / (1 - F.col("false"))))
+        p = checkpoint(votes.join(w, "reviewer").groupBy("doc_id").agg((1 / (1 + F.exp(-F.sum(odds) - math.log(share / (1 - share))))).alias("p")))
+    return p
+
+
+def reviewed(documents: DataFrame, reviews: DataFrame, most: int = MOST_REVIEWED) -> tuple[list[str], list[str]]:
+    """Texts (of at most 20,000 characters) that reviewers surely found in order, and that they surely found toxic.
+
+    At most ``most`` of either, drawn by a hash of the id.
+    """
+    p = judged(reviews)
+    texts = documents.select("doc_id", "text").where("text is not null and length(text) <= 20000").groupBy("doc_id").agg(F.min("text").alias("text"))
+    out = []
+    for kind in (F.col("p") <= HARMLESS_BELOW, F.col("p") >= TOXIC_FROM):
+        drawn = p.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
+        out.append(sorted(r["text"] for r in texts.join(F.broadcast(drawn), "doc_id", "left_semi").collect()))
+    return out[0], out[1]
+
+
+def _sentences(text: str) -> list[str]:
+    return [s.strip() for s in _SPLIT.split(numberless(text)) if s.strip()]
+
+
+def _pairs(tokens: list[str]) -> list[tuple[str, str]]:
+    return list(zip(["", *tokens], [*tokens, ""]))
+
+
+class Passages:
+    """Which sentences of reviewed documents earned the verdict (learning from bags of sentences).
+
+    Harmless sentences repeat pairs of words that documents in order hold; a passage's pairs are foreign to
+    them. Of the sentences made of foreign pairs those count that the tagger calls toxic, or whose pairs other
+    toxic documents share (running text of rare words shares none).
+    """
+
+    def __init__(self, clean: list[str], toxic: list[str], tagger: Tagger, most: int = MOST_SENTENCES):
+        self.seed = tagger.vocabulary.words
+        self.most, self.sizes = most, (len(clean), len(toxic))
+        read = tagger.vocabulary.tokens
+        self.in_order: dict[tuple[str, str], int] = {}
+        documents: dict[str, int] = {}
+        self.in_toxic: dict[tuple[str, str], int] = {}
+        seen: dict[str, list[str]] = {}
+        for text in clean:
+            held = set()
+            for s in dict.fromkeys(_sentences(text)):
+                if s not in seen:
+                    seen[s] = read(s)
+                documents[s] = documents.get(s, 0) + 1
+                held.update(_pairs(seen[s]))
+            for p in held:
+                self.in_order[p] = self.in_order.get(p, 0) + 1
+        self.bags = [[t for s in dict.fromkeys(_sentences(text)) if (t := read(s))] for text in toxic]
+        self.words: dict[str, int] = {}
+        for bag in self.bags:
+            for p in {p for t in bag for p in _pairs(t)}:
+                self.in_toxic[p] = self.in_toxic.get(p, 0) + 1
+            for w in {w for t in bag for w in t}:
+                self.words[w] = self.words.get(w, 0) + 1
+        # Sentences of documents in order that look like a passage stay out: some reviewers are careless.
+        harmless = [s for s, t in seen.items() if t and sum(self._shared(p) and self.in_order[p] < 3 for p in _pairs(t)) < max(2, len(t) / 2)]
+        harmless.sort(key=lambda s: (-documents[s], zlib.crc32(s.encode("utf-8", "surrogatepass")), s))  # repeated ones first
+        self._harmless: Labelled = [(seen[s], [False] * len(seen[s])) for s in harmless]
+        self._once = [documents[s] == 1 for s in harmless]
+
+    def harmless(self, tagger: Tagger | None = None, near: float = 0.3, sure: float = 0.8) -> Labelled:
+        """At most ``most`` harmless sentences, and a quarter more of those left over that the tagger comes near to calling toxic.
+
+        One document's own sentence that the tagger surely calls toxic is left out: its reviewer was careless.
+        """
+        if tagger is None:
+            return self._harmless[: self.most]
+        scores = [passage_score(m)[0] for m in tagger.marginals([tagger.ids(t) for t, _ in self._harmless])]
+        good = [(x, p) for x, p, once in zip(self._harmless, scores, self._once) if not (once and p >= sure)]
+        hard = sorted((-p, i) for i, (_, p) in enumerate(good[self.most :]) if p >= near)
+        return [x for x, _ in good[: self.most]] + [good[self.most + i][0] for _, i in hard[: self.most // 4]]
+
+    def _shared(self, pair: tuple[str, str]) -> bool:
+        """Do two toxic documents hold the pair and none in order, or three and by rate eight times as many as those in order?"""
+        n, harmless = self.in_toxic.get(pair, 0), self.in_order.get(pair, 0)
+        return n >= 2 and not harmless or n >= 3 and n * self.sizes[0] > 8 * harmless * self.sizes[1]
+
+    def _foreign(self, pair: tuple[str, str]) -> bool:
+        return not self.in_order.get(pair) or self._shared(pair)
+
+    def find(self, tagger: Tagger, sure: float = 0.5) -> Labelled:
+        """The passages, labelled where the tagger or shared pairs tell, and over the foreign pairs of known words beside it."""
+        out = []
+        for bag in self.bags:
+            foreign = [[self._foreign(p) for p in _pairs(t)] for t in bag]
+            open_ = [i for i, f in enumerate(foreign) if sum(f) * 2 > len(f)]
+            marginals = dict(zip(open_, tagger.marginals([tagger.ids(bag[i]) for i in open_])))
+            core = {}
+            for i, m in marginals.items():
+                shared = [self._shared(p) for p in _pairs(bag[i])]
+                if passage_score(m)[0] >= sure or sum(shared) >= 3:
+                    core[i] = [x > 0.5 or shared[k] and shared[k + 1] for k, x in enumerate(m)]
+            if not core and len(open_) == 1:
+                core = {open_[0]: [f and g for f, g in zip(foreign[open_[0]], foreign[open_[0]][1:])]}
+            for i, on in core.items():
+                if not any(on):
+                    continue
+                t, f = bag[i], foreign[i]
+                first, last = on.index(True), len(on) - 1 - on[::-1].index(True)
+                while first and f[first] and self.words.get(t[first - 1], 0) > 1:
+                    first -= 1
+                while last + 1 < len(t) and f[last + 1] and self.words.get(t[last + 1], 0) > 1:
+                    last += 1
+                # Running text of rare words that sticks to a passage is none of it.
+                known = [self.words.get(w, 0) > 1 or w in self.seed for w in t]
+                inside = [k for k in range(first, last + 1) if known[k]]
+                if inside and sum(known[first : last + 1]) * 3 > last - first:
+                    first, last = inside[0], inside[-1]
+                elif last - first > 12:
+                    continue
+                out.append((t, [first <= k <= last and (f[k] or f[k + 1]) for k in range(len(t))]))
+        return out
 
 
-def fit(documents: DataFrame, reviews: DataFrame | None = None) -> Tagger:
-    """The tagger, trained on the labelled sentences and, against false alarms, on reviewed documents.
+def fit(documents: DataFrame, reviews: DataFrame | None = None, most: int = MOST_REVIEWED) -> Tagger:
+    """The tagger, trained on the labelled sentences and on at most ``most`` reviewed documents of either verdict.
 
-    A reviewed sentence that the labelled ones alone call toxic is left out: some reviewers are careless.
+    The passages of toxic documents are looked for with the tagger of the labelled sentences, then once more with
+    the one that has learned from them.
     """
-    seed = sentences()
-    tagger = train(seed)
+    seed = tokenized(sentences())
+    tagger = train_tokens(seed, rounds=8)
     if reviews is None:
-        return tagger
-    seen: dict[str, None] = {}
-    for text in reviewed_clean(documents, reviews):
-        for s in _SPLIT.split(text):
-            if s.strip():
-                seen.setdefault(numberless(s.strip()))
-    extra = sorted(seen)[:: max(1, len(seen) // 4000)]
-    coded = [tagger.ids(tagger.vocabulary.tokens(s)) for s in extra]
-    keep = [s for s, c, m in zip(extra, coded, tagger.marginals([c or [2] for c in coded])) if c and m.max() < 0.5]
-    return train(seed + [[(s, False)] for s in keep], rounds=30)
+        return train_tokens(seed)
+    clean, toxic = reviewed(documents, reviews, most)
+    if not clean and not toxic:
+        return train_tokens(seed)
+    known = Passages(clean, toxic, tagger)
+    tagger = train_tokens(seed, known.harmless() + 3 * known.find(tagger), rounds=8)
+    return train_tokens(seed, known.harmless(tagger) + 3 * known.find(tagger))
 
 
 def score(documents: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
