@@ -235,3 +235,49 @@ def test_scan_noise(spark):
 def test_query_names():
     names = set(queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 8)} <= names and any(n.startswith("p6_") for n in names) and any(n.startswith("p7_") for n in names)
+
+
+def test_lengths_against_python(spark):
+    """Lengths under encodings and escapings equal those of Python's own encoders."""
+    import html
+    import json
+
+    texts = ["", "abc", "قال كتاب\nهذا", 'a"b\\c\td\r\x0b\x00&<>\'"', "é߀", "ā✐￿", "😀𐍈", "\U000f4240\U00020000", "x" * 5000, "\x7f\x80ϧϨ✏"]
+    want = {
+        "chars": len, "utf8": lambda t: len(t.encode()), "utf16": lambda t: len(t.encode("utf-16-le")) // 2, "html": lambda t: len(html.escape(t)),
+        "entities": lambda t: len(t.encode("ascii", "xmlcharrefreplace")), "json": lambda t: len(json.dumps(t)) - 2, "json_utf8": lambda t: len(json.dumps(t, ensure_ascii=False).encode()) - 2,
+        "crlf": lambda t: len(t.replace("\n", "\r\n")), "utf8_crlf": lambda t: len(t.replace("\n", "\r\n").encode()),
+    }
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", *[c.alias(k) for k, c in truncation.lengths(F.col("t")).items()]).collect()
+    assert tuple(want) == truncation.LENGTHS
+    for r in rows:
+        assert {k: r[k] for k in want} == {k: f(r["t"]) for k, f in want.items()}, repr(r["t"])
+
+
+def test_limits_need_significance_and_decide(spark):
+    """A pile-up of pages at one length is a limit, one page delivered often is none; at a limit a misread last word is enough."""
+    rng = random.Random(12)
+    rows, k = [], 0
+    for p in range(400):
+        t = text(rng, rng.randint(30, 80))
+        for s in ("gt_a", "gt_b"):
+            rows.append((k, f"page_{p}", s, t))
+            k += 1
+        x = t[:150].rstrip() if p % 8 == 0 else t
+        rows.append((k, f"page_{p}", "kraken", x))
+        k += 1
+    hot = text(rng, 50)
+    rows += [(k + i, "page_hot", "kraken", hot) for i in range(60)]
+    k += 60
+    misread = rows[8 * 3][3][:145]
+    misread = misread[: misread.rindex(" ") + 1]
+    misread += "ظ" * (150 - len(misread))
+    rows.append((k, "page_8", "kraken", misread))
+    df = frame(spark, rows)
+    peaks = {(r["source"], r["measure"], r["length"]) for r in truncation.limits(truncation.endings(df)).collect()}
+    assert ("kraken", "chars", 150) in peaks and ("kraken", "chars", len(hot)) not in peaks
+    got = {r["row_id"]: r["reason"] for r in truncation.truncated(df).collect()}
+    assert got[k] == "field limit" and not any(i in got for i in range(1200, 1260))

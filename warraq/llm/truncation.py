@@ -1,19 +1,19 @@
 """Texts cut off by field limits or in mid-transfer.
 
 Lengths are recomputed under alternative encodings, escapings and newline conventions and grouped
-by each, which exposes hidden storage limits; endings are then inspected against the end that the
-page's other transcriptions agree on.
+by each over all rows of a source: a length that far more pages share than its neighbours exposes a
+hidden storage limit. How much of such a pile-up is beyond chance is the belief that a row there was
+cut; its ending, compared with the end that the page's other transcriptions agree on, then confirms
+or refutes it. Away from limits the ending has to carry more.
 """
 
 from __future__ import annotations
 
-import html
-import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.homoglyph import Form
@@ -21,22 +21,48 @@ from warraq.llm.wording import body_words, likeness_cost
 from warraq.session import checkpoint, hot_keys, salted_join
 
 TAIL = 8
-#: A limit is a length that at least this many suspicious endings of a system share exactly.
-LEAST_AT_LIMIT = 4
+#: Lengths on either side that tell how many pages a length has by chance.
+NEAR = 12
+#: Chance that any length of the whole table passes for a limit by accident.
+FALSE_LIMITS = 0.01
+#: Peaks that are broadcast at most; more are joined.
+MOST_PEAKS = 50_000
+#: Belief that a row away from all limits was cut, before its ending is looked at.
+BASE = 0.02
+# Log-odds that an ending speaks for a cut. The page's own end; another word in its place; words missing
+# or one begun; an end found nowhere. A stop or a sign of cutting at the end; where the page has nothing to compare with.
+SAME, OTHER, MISSING, NOWHERE = -9.0, 0.0, 6.0, 8.0
+STOP, NO_STOP, SIGN, LONE_SIGN = -3.0, 1.0, 2.0, 5.0
 _CUT_SIGN = re.compile(r"(?:…|\.{2,}|\[(?:\.+|…)\]|�|\\|&\w{0,6}|\\u[0-9a-fA-F]{0,4})\s*$")
 _STOP = re.compile(r"[.؟?!:؛=)\]]\s*$")
 
-LENGTHS = {
-    "chars": lambda t: len(t),
-    "utf8": lambda t: len(t.encode("utf-8", "surrogatepass")),
-    "utf16": lambda t: len(t.encode("utf-16-le", "surrogatepass")) // 2,
-    "html": lambda t: len(html.escape(t)),
-    "entities": lambda t: len(t.encode("ascii", "xmlcharrefreplace")),
-    "json": lambda t: len(json.dumps(t)) - 2,
-    "json_utf8": lambda t: len(json.dumps(t, ensure_ascii=False).encode("utf-8", "surrogatepass")) - 2,
-    "crlf": lambda t: len(t) + t.count("\n"),
-    "utf8_crlf": lambda t: len(t.encode("utf-8", "surrogatepass")) + t.count("\n"),
-}
+
+def lengths(text: Column) -> dict[str, Column]:
+    """The length of a text as it would be stored: characters, bytes, UTF-16 units, escaped for HTML or JSON, with CR LF."""
+    n = F.length(text)
+    count = lambda chars: n - F.length(F.translate(text, chars, ""))
+    found = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))
+    utf8, breaks = F.octet_length(text), count("\n")
+    beyond = found("[\U00010000-\U0010ffff]")
+    short = count('"\\\n\t\r\b\f')
+    control = found("[\x00-\x1f]") - count("\n\t\r\b\f")
+    # Characters beyond ASCII by the number of digits of their code.
+    three, four, wide, six = found("[\x80-\u03e7]"), found("[\u03e8-\u270f]"), found("[\u2710-\U0001869f]"), found("[\U000186a0-\U000f423f]")
+    seven = found("[\U000f4240-\U0010ffff]")
+    return {
+        "chars": n,
+        "utf8": utf8,
+        "utf16": n + beyond,
+        "html": n + 4 * count("&") + 3 * count("<>") + 5 * count("\"'"),
+        "entities": n + 5 * three + 6 * four + 7 * wide + 8 * six + 9 * seven,
+        "json": n + short + 5 * (control + count("\x7f")) + 5 * (three + four + wide + six + seven) + 6 * beyond,
+        "json_utf8": utf8 + short + 5 * control,
+        "crlf": n + breaks,
+        "utf8_crlf": utf8 + breaks,
+    }
+
+
+LENGTHS = ("chars", "utf8", "utf16", "html", "entities", "json", "json_utf8", "crlf", "utf8_crlf")
 
 
 def missing_end(row: list[str], page: list[str]) -> tuple[float, int, bool]:
@@ -76,24 +102,32 @@ def verdict(tail: str, page: str) -> float:
     return 0.0
 
 
+def last_words(text: str, form: Form) -> list[str]:
+    """The last words of the running text, read from as many lines at its end as it takes."""
+    lines, k = text.split("\n"), 4
+    while True:
+        words = body_words("\n".join(lines[-k:]), form)
+        if len(words) >= TAIL or k >= len(lines):
+            return words[-TAIL:]
+        k *= 2
+
+
 def _features(df: DataFrame, key: str, page: str, source: str, text: str) -> DataFrame:
     slim = df.select(
         F.col(key).alias("_key"), F.col(page).cast("string").alias("_page"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text")
     ).where(F.col("_text").isNotNull() & (F.col("_text") != ""))
-    kind = dict(slim.dtypes)["_key"]
-    lengths = ", ".join(f"{k}: int" for k in LENGTHS)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("tail string, words int, sign boolean, stop boolean")
+    def ending(texts: pd.Series) -> pd.DataFrame:
         form = Form()
-        for pdf in batches:
-            out = []
-            for k, p, s, t in pdf[["_key", "_page", "_source", "_text"]].itertuples(index=False):
-                w = body_words(_CUT_SIGN.sub("", t), form)
-                sign = _CUT_SIGN.search(t) is not None
-                out.append((k, p, s, len(w), " ".join(w[-TAIL:]), sign, _STOP.search(t) is not None, tuple(f(t) for f in LENGTHS.values())))
-            yield pd.DataFrame(out, columns=["_key", "_page", "_source", "words", "tail", "sign", "stop", "lengths"])
+        out = []
+        for t in texts:
+            sign = _CUT_SIGN.search(t) is not None
+            out.append((" ".join(last_words(_CUT_SIGN.sub("", t) if sign else t, form)), len(t.split()), sign, _STOP.search(t) is not None))
+        return pd.DataFrame(out, columns=["tail", "words", "sign", "stop"])
 
-    return slim.mapInPandas(scan, f"_key {kind}, _page string, _source string, words int, tail string, sign boolean, stop boolean, lengths struct<{lengths}>")
+    measured = slim.withColumn("_e", ending("_text"))
+    return measured.select("_key", "_page", "_source", "_e.*", F.struct(*[c.cast("int").alias(k) for k, c in lengths(F.col("_text")).items()]).alias("lengths"))
 
 
 def _page_ends(rows: DataFrame) -> DataFrame:
@@ -108,51 +142,75 @@ def _page_ends(rows: DataFrame) -> DataFrame:
 def endings(df: DataFrame, key: str = "row_id", page: str = "page_id", source: str = "system", text: str = "text") -> DataFrame:
     """One row per non-empty text: its lengths, and how surely it stops before the page's end."""
     rows = checkpoint(_features(df, key, page, source, text))
-    ends = _page_ends(rows)
-    joined = salted_join(rows, ends, "_page", hot_keys(rows, "_page"), "_key")
+    ends = _page_ends(rows.where("_page is not null"))
+    paged = rows.where("_page is not null")
+    joined = salted_join(paged, ends, "_page", hot_keys(paged, "_page"), "_key")
 
     @F.pandas_udf("double")
     def judge(tail: pd.Series, ref: pd.Series) -> pd.Series:
         return pd.Series([verdict(a, b) if b else 0.0 for a, b in zip(tail, ref)], dtype=float)
 
+    none = rows.where("_page is null").withColumns({"page_tail": F.lit(None).cast("string"), "page_votes": F.lit(None).cast("long")}).select(*joined.columns)
     differs = ~F.col("tail").eqNullSafe(F.col("page_tail"))
     judged = joined.where(differs).withColumn("doubt", judge("tail", "page_tail"))
     same = joined.where(~differs).withColumn("doubt", F.lit(0.0))
-    return checkpoint(judged.unionByName(same))
+    return checkpoint(judged.unionByName(same).unionByName(none.withColumn("doubt", F.lit(0.0))))
 
 
-def limits(ends: DataFrame) -> DataFrame:
-    """Hidden storage limits: (source, measure, length, cut, whole), where suspicious endings pile up at one length."""
-    long = ends.where("doubt > 0").select(
-        F.col("_source").alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"lengths.{k}").alias("length")) for k in LENGTHS])).alias("m")
-    )
-    per = long.groupBy("source", "m.measure", "m.length").agg(F.count("*").alias("cut"))
-    near = per.select("source", "measure", F.explode(F.sequence(F.col("length") - 4, F.col("length") + 4)).alias("length"), F.col("cut").alias("n"))
-    around = near.groupBy("source", "measure", "length").agg(F.sum("n").alias("around"))
-    peaks = per.join(around, ["source", "measure", "length"]).where((F.col("cut") >= LEAST_AT_LIMIT) & (F.col("cut") >= 0.6 * F.col("around")))
-    return peaks.drop("around")
+def limits(ends: DataFrame, near: int = NEAR, chance: float = FALSE_LIMITS) -> DataFrame:
+    """Hidden storage limits: (source, measure, length, pages, expected, excess), found from all rows.
+
+    Pages of a source are counted at each length under each measure, so that a page delivered over and over counts
+    once. A length is a limit if so many pages are there that, by the Poisson bound and against the mean of its
+    ``near`` neighbours on either side, no length of the whole table would have them by chance; the bound grows with
+    the number of lengths tried. ``excess`` is the share of the pages beyond the expected ones.
+    """
+    once = ends.select("_source", "_page", "lengths").distinct()
+    each = once.select(F.col("_source").alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"lengths.{k}").alias("length")) for k in LENGTHS])).alias("m"))
+    per = checkpoint(each.groupBy("source", "m.measure", "m.length").agg(F.count("*").alias("pages")))
+    tried = max(1, per.count())
+    around = per.where("pages > 0").select("source", "measure", F.explode(F.sequence(F.col("length") - near, F.col("length") + near)).alias("length"), "pages").groupBy("source", "measure", "length").agg(F.sum("pages").alias("around"))
+    n, expected = F.col("pages"), F.greatest((F.col("around") - F.col("pages")) / (2 * near), F.lit(0.5))
+    bound = n * F.log(n / expected) - n + expected
+    peaks = per.where("pages > 1").join(around, ["source", "measure", "length"])
+    return peaks.withColumn("expected", expected).where((n > F.col("expected")) & (bound > F.log(F.lit(float(tried))) - F.log(F.lit(chance)))).select("source", "measure", "length", "pages", "expected", (1 - F.col("expected") / n).alias("excess"))
+
+
+def _with_excess(ends: DataFrame) -> DataFrame:
+    """The rows with ``excess``: the largest excess of a limit that their length meets, else 0."""
+    peaks = checkpoint(limits(ends))
+    if peaks.count() <= MOST_PEAKS:
+        entry = F.struct(F.concat_ws(":", "measure", "length"), "excess")
+        of_source = F.broadcast(peaks.groupBy(F.col("source").alias("_source")).agg(F.map_from_entries(F.collect_list(entry)).alias("_peaks")))
+        at = [F.coalesce(F.try_element_at("_peaks", F.concat_ws(":", F.lit(k), F.col(f"lengths.{k}"))), F.lit(0.0)) for k in LENGTHS]
+        return ends.join(of_source, "_source", "left").withColumn("excess", F.greatest(*at)).drop("_peaks")
+    each = ends.select("_key", F.col("_source").alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"lengths.{k}").alias("length")) for k in LENGTHS])).alias("m")).select("_key", "source", "m.*")
+    best = each.join(peaks, ["source", "measure", "length"]).groupBy("_key").agg(F.max("excess").alias("excess"))
+    return ends.join(best, "_key", "left").withColumn("excess", F.coalesce("excess", F.lit(0.0)))
 
 
 def truncated(df: DataFrame, key: str = "row_id", page: str = "page_id", source: str = "system", text: str = "text") -> DataFrame:
     """Rows whose text stops before the end of its page: (key, source, reason).
 
-    A row is cut if its ending has no partner at the page's end, or if it ends with a sign of
-    cutting or without a stop at a hidden limit where the page has no other transcription to compare with.
-    Null and empty texts are no cases; copies of a row are judged alike; extra columns play no part.
+    Log-odds are added up: of the belief that its length gives (the excess at a limit, else a small base rate) and of
+    its ending (the page's own end, another word, words missing; a stop, none, a sign of cutting). A row is cut if they
+    come out positive; the reason is ``field limit`` where its length is one, else ``mid-transfer``. Null and empty texts
+    are no cases, rows without a page have nothing to compare with; copies of a row are judged alike; extra columns
+    play no part.
     """
-    ends = endings(df, key, page, source, text)
-    peak = F.broadcast(limits(ends).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("peaks")).withColumnRenamed("source", "_source"))
-    at_limit = F.coalesce(
-        F.exists("peaks", lambda p: F.coalesce(F.element_at(F.create_map(*[x for k in LENGTHS for x in (F.lit(k), F.col(f"lengths.{k}"))]), p["measure"]) == p["length"], F.lit(False))), F.lit(False)
-    )
-    lone = F.col("page_votes") <= F.when(F.col("_source").startswith("gt_"), 2).otherwise(1)
-    reason = (
-        F.when((F.col("doubt") > 0) & at_limit, "field limit")
-        .when(F.col("doubt") > 0, "mid-transfer")
-        .when(lone & (F.col("sign") | (at_limit & ~F.col("stop"))), "ending")
-    )
-    out = ends.join(peak, "_source", "left").withColumn("reason", reason)
-    return out.where("reason is not null").select(F.col("_key").alias(key), F.col("_source").alias(source), "reason")
+    rows = _with_excess(endings(df, key, page, source, text))
+    lone = F.coalesce(F.col("page_votes") <= F.when(F.coalesce(F.col("_source").startswith("gt_"), F.lit(False)), 2).otherwise(1), F.lit(True))
+    belief = F.greatest(F.least(F.col("excess"), F.lit(0.95)), F.lit(BASE))
+    last = lambda t: F.element_at(F.split(t, " "), -1)
+    at_end = F.when(F.col("stop") & ~F.col("sign"), STOP).when(F.col("sign"), SIGN).otherwise(NO_STOP)
+    compared = (
+        F.when(F.col("doubt") >= 1, NOWHERE).when(F.col("doubt") > 0, MISSING)
+        .when(last(F.col("tail")) == last(F.col("page_tail")), SAME).otherwise(OTHER + at_end)
+    )
+    alone = F.when(F.col("sign"), LONE_SIGN).otherwise(at_end)
+    odds = F.log(belief / (1 - belief)) + F.when(F.col("doubt") > 0, compared).when(lone, alone).otherwise(compared)
+    reason = F.when(F.col("excess") > 0, "field limit").otherwise("mid-transfer")
+    return rows.where(odds > 0).select(F.col("_key").alias(key), F.col("_source").alias(source), reason.alias("reason"))
 
 
 def rates(df: DataFrame, key: str = "row_id", page: str = "page_id", source: str = "system", text: str = "text") -> DataFrame:
