@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.homoglyph import Form
@@ -37,29 +37,33 @@ _CUT_SIGN = re.compile(r"(?:…|\.{2,}|\[(?:\.+|…)\]|�|\\|&\w{0,6}|\\u[0-9a-
 _STOP = re.compile(r"[.؟?!:؛=)\]]\s*$")
 
 
-def lengths(text: Column) -> dict[str, Column]:
-    """The length of a text as it would be stored: characters, bytes, UTF-16 units, escaped for HTML or JSON, with CR LF."""
-    n = F.length(text)
-    count = lambda chars: n - F.length(F.translate(text, chars, ""))
-    found = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))
-    utf8, breaks = F.octet_length(text), count("\n")
-    beyond = found("[\U00010000-\U0010ffff]")
-    short = count('"\\\n\t\r\b\f')
-    control = found("[\x00-\x1f]") - count("\n\t\r\b\f")
-    # Characters beyond ASCII by the number of digits of their code.
-    three, four, wide, six = found("[\x80-\u03e7]"), found("[\u03e8-\u270f]"), found("[\u2710-\U0001869f]"), found("[\U000186a0-\U000f423f]")
-    seven = found("[\U000f4240-\U0010ffff]")
-    return {
-        "chars": n,
-        "utf8": utf8,
-        "utf16": n + beyond,
-        "html": n + 4 * count("&") + 3 * count("<>") + 5 * count("\"'"),
-        "entities": n + 5 * three + 6 * four + 7 * wide + 8 * six + 9 * seven,
-        "json": n + short + 5 * (control + count("\x7f")) + 5 * (three + four + wide + six + seven) + 6 * beyond,
-        "json_utf8": utf8 + short + 5 * control,
-        "crlf": n + breaks,
-        "utf8_crlf": utf8 + breaks,
-    }
+_FIVE = re.compile("[\x80-\u03e7\u2710-\U0010ffff]")  # codes beyond ASCII that don't have four digits
+_CONTROL = re.compile("[\x00-\x07\x0b\x0e-\x1f]")
+
+
+def lengths(text: str) -> tuple[int, ...]:
+    """The lengths of a text as it would be stored, in the order of ``LENGTHS``.
+
+    Characters, bytes, UTF-16 units, with HTML escapes, with numeric entities, with JSON escapes (all ASCII or not), with CR LF.
+    """
+    n, utf8, count = len(text), len(text.encode("utf-8", "surrogatepass")), text.count
+    breaks = count("\n")
+    wide = n - len(text.encode("ascii", "ignore"))
+    odd = _FIVE.findall(text) if wide else ()
+    beyond = sum(c > "\uffff" for c in odd)
+    short = count('"') + count("\\") + breaks + count("\t") + count("\r") + count("\b") + count("\f")
+    control = len(_CONTROL.findall(text))
+    return (
+        n,
+        utf8,
+        n + beyond,
+        n + 4 * count("&") + 3 * (count("<") + count(">")) + 5 * (count('"') + count("'")),
+        n + 6 * wide + sum(len(str(ord(c))) - 4 for c in odd),
+        n + short + 5 * (control + count("\x7f") + wide) + 6 * beyond,
+        utf8 + short + 5 * control,
+        n + breaks,
+        utf8 + breaks,
+    )
 
 
 LENGTHS = ("chars", "utf8", "utf16", "html", "entities", "json", "json_utf8", "crlf", "utf8_crlf")
@@ -117,17 +121,18 @@ def _features(df: DataFrame, key: str, page: str, source: str, text: str) -> Dat
         F.col(key).alias("_key"), F.col(page).cast("string").alias("_page"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text")
     ).where(F.col("_text").isNotNull() & (F.col("_text") != ""))
 
-    @F.pandas_udf("tail string, words int, sign boolean, stop boolean")
+    @F.pandas_udf("tail string, words int, sign boolean, stop boolean, " + ", ".join(f"{k} int" for k in LENGTHS))
     def ending(texts: pd.Series) -> pd.DataFrame:
         form = Form()
         out = []
         for t in texts:
-            sign = _CUT_SIGN.search(t) is not None
-            out.append((" ".join(last_words(_CUT_SIGN.sub("", t) if sign else t, form)), len(t.split()), sign, _STOP.search(t) is not None))
-        return pd.DataFrame(out, columns=["tail", "words", "sign", "stop"])
+            end = t.rstrip()[-40:]  # longer than any sign
+            sign = _CUT_SIGN.search(end) is not None
+            out.append((" ".join(last_words(_CUT_SIGN.sub("", t) if sign else t, form)), len(t.split()), sign, _STOP.search(end) is not None, *lengths(t)))
+        return pd.DataFrame(out, columns=["tail", "words", "sign", "stop", *LENGTHS])
 
-    measured = slim.withColumn("_e", ending("_text"))
-    return measured.select("_key", "_page", "_source", "_e.*", F.struct(*[c.cast("int").alias(k) for k, c in lengths(F.col("_text")).items()]).alias("lengths"))
+    parts = ("tail", "words", "sign", "stop")
+    return slim.withColumn("_e", ending("_text")).select("_key", "_page", "_source", *[f"_e.{c}" for c in parts], F.struct(*[F.col(f"_e.{k}") for k in LENGTHS]).alias("lengths"))
 
 
 def _page_ends(rows: DataFrame) -> DataFrame:
