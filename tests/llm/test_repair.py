@@ -237,7 +237,7 @@ def test_query_names():
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 8)} <= names and any(n.startswith("p6_") for n in names) and any(n.startswith("p7_") for n in names)
 
 
-def test_lengths_against_python(spark):
+def test_lengths_against_python():
     """Lengths under encodings and escapings equal those of Python's own encoders."""
     import html
     import json
@@ -248,13 +248,9 @@ def test_lengths_against_python(spark):
         "entities": lambda t: len(t.encode("ascii", "xmlcharrefreplace")), "json": lambda t: len(json.dumps(t)) - 2, "json_utf8": lambda t: len(json.dumps(t, ensure_ascii=False).encode()) - 2,
         "crlf": lambda t: len(t.replace("\n", "\r\n")), "utf8_crlf": lambda t: len(t.replace("\n", "\r\n").encode()),
     }
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.select("t", *[c.alias(k) for k, c in truncation.lengths(F.col("t")).items()]).collect()
     assert tuple(want) == truncation.LENGTHS
-    for r in rows:
-        assert {k: r[k] for k in want} == {k: f(r["t"]) for k, f in want.items()}, repr(r["t"])
+    for t in texts:
+        assert dict(zip(want, truncation.lengths(t))) == {k: f(t) for k, f in want.items()}, repr(t)
 
 
 def test_limits_need_significance_and_decide(spark):
@@ -281,3 +277,29 @@ def test_limits_need_significance_and_decide(spark):
     assert ("kraken", "chars", 150) in peaks and ("kraken", "chars", len(hot)) not in peaks
     got = {r["row_id"]: r["reason"] for r in truncation.truncated(df).collect()}
     assert got[k] == "field limit" and not any(i in got for i in range(1200, 1260))
+
+
+# --- look-alike scripts ----------------------------------------------------------
+
+
+def test_scripts(spark):
+    """Mixed and whole-script look-alikes are spelled in the script that fits; genuine words of any script stay."""
+    looks = homoglyph.skeletons(spark)
+    assert looks and looks["о"] == looks["o"] == looks["ο"] == looks["օ"]
+    corpus = "the codex Cod. MS quick brown fox jumps over lazy dogs Москва Россия сообщение было утром жизнь щука ελληνικά γλώσσα Հայերեն լեզու قال كتاب "
+    letters = {c: 10 * corpus.count(c) for c in corpus if c.isalnum()} | {c: 200 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    letters |= {c: 1 for c in "МЅСосаеρхօսՏοΑАЕ"}
+    form = homoglyph.Form(letters, looks)
+    cases = {
+        "قال МЅ كتاب": "قال MS كتاب",  # whole-script, Latin unmistakable in the corpus
+        "the Сodex": "the Codex",  # one Cyrillic letter in a Latin word
+        "Мoсква": "Москва",  # one Latin letter in a Cyrillic word
+        "Россия и сосо": "Россия и сосо",  # a genuine Russian line keeps its words
+        "the сосо": "the coco",
+        "ελληνικά γλώσσa": "ελληνικά γλώσσα",
+        "Հայերեն օս": "Հայերեն օս",
+        "النجWاء": "النجWاء",
+        "Москва": "Москва", "ελληνικά": "ελληνικά", "Հայերեն": "Հայերեն",
+    }
+    for odd, plain in cases.items():
+        assert form.apply(odd) == plain and form.apply(plain) == plain, odd

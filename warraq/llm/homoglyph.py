@@ -1,9 +1,10 @@
 """Text that looks the same but differs in its characters, brought to one form.
 
 Each token's resolved script sets (the scripts its characters or their look-alikes occur in) are
-intersected; a token whose letters share no script is mixed, one that resolves to several scripts
-is a whole-script confusable. Both are spelled in the script that the token, or else the corpus,
-settles for. What remains (wide, narrow and joined variants, invisible characters, spaces,
+intersected. A token of several scripts that one script can write is a mixed confusable, a token of one
+script that another can write too a whole-script one; both are spelled in the script that the line's
+unmistakable letters, or else the corpus's, speak for. A token that no single script can write holds a
+misread character and stays. Which letters look alike comes from the Unicode confusables. What remains (wide, narrow and joined variants, invisible characters, spaces,
 composition, look-alike Arabic letters and digits) is normalised to the corpus's choice.
 """
 
@@ -25,15 +26,14 @@ from warraq.llm.chars import (
     ODD_SPACE,
     PRESENTATION,
     SINGLE_SIGN,
-    TO_LATIN,
-    resolved_scripts,
+    alike,
     script,
+    skeletons,
 )
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _SPACE = re.compile(f"[{ODD_SPACE}]")
 _VARIANT = re.compile(f"(?!{SINGLE_SIGN})[{PRESENTATION}]+")
-_FOREIGN = re.compile("[Ͱ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _JOINING = re.compile("[\u064b-\u065f\u0670]*[\u0621-\u06d3]")
 _MEMBERS = {c: k for k in LOOKALIKE_CLASSES for c in k}
@@ -45,9 +45,12 @@ def default_choice() -> dict[str, str]:
 
 
 class Form:
-    """The corpus's consistent form: which member of each look-alike class, which scripts come first."""
+    """The corpus's consistent form: which member of each look-alike class, which scripts come first.
 
-    def __init__(self, letters: dict[str, int] | None = None):
+    ``letters`` counts the corpus's letters, ``looks`` gives their prototypes (see ``chars.skeletons``).
+    """
+
+    def __init__(self, letters: dict[str, int] | None = None, looks: dict[str, str] | None = None):
         letters = letters or {}
         self.choice = default_choice()
         for k in LOOKALIKE_CLASSES:
@@ -56,15 +59,16 @@ class Form:
                 self.choice.pop(c, None)
                 if c != best:
                     self.choice[c] = best
-        self.scripts = {"ARABIC": 3, "LATIN": 2, "CYRILLIC": 1, "GREEK": 0}
-        counts: dict[str, int] = {}
+        self.alike = alike(letters, looks)
+        # How many letters of each script can be no other's; scripts of before the counts are known follow this order.
+        self.clear: dict[str, int] = {"LATIN": 2, "CYRILLIC": 1} if not letters else {}
         for c, n in letters.items():
-            if s := script(c):
-                counts[s] = counts.get(s, 0) + n
-        if counts:
-            self.scripts = counts
+            if (s := script(c)) and c not in self.alike:
+                self.clear[s] = self.clear.get(s, 0) + n
+        foreign = "".join(c for c in self.alike if script(c) != "LATIN")
+        self.foreign = re.compile(f"[{foreign}]") if foreign else re.compile(r"(?!)")
         self.minor = re.compile("[" + "".join(self.choice) + "]")
-        self.hint = re.compile(f"[{INVISIBLE}{ODD_SPACE}Ͱ-ԯ{''.join(self.choice)}]|(?!{SINGLE_SIGN})[{PRESENTATION}]")
+        self.hint = re.compile(f"[{INVISIBLE}{ODD_SPACE}{foreign}{''.join(self.choice)}]|(?!{SINGLE_SIGN})[{PRESENTATION}]")
 
     def apply(self, text: str) -> str:
         """The text in the consistent form; a text already in it comes back unchanged."""
@@ -74,8 +78,8 @@ class Form:
         text = _SPACE.sub(" ", _INVISIBLE.sub("", text))
         text = _VARIANT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
         text = unicodedata.normalize("NFC", text)
-        if _FOREIGN.search(text):
-            text = _WORD.sub(lambda m: self.spell(m.group()), text)
+        if self.foreign.search(text):
+            text = "\n".join(self._spell_line(x) if self.foreign.search(x) else x for x in text.split("\n"))
         if self.minor.search(text):
             text = "".join(self._letter(text, i) for i in range(len(text)))
         return unicodedata.normalize("NFC", text)
@@ -87,19 +91,23 @@ class Form:
             return "ى"  # its final form has no dots
         return to
 
-    def spell(self, token: str) -> str:
-        """The token in one script, where look-alikes allow it."""
-        if token.isascii() or not any(c in TO_LATIN for c in token):
+    def _spell_line(self, line: str) -> str:
+        here: dict[str, int] = {}
+        for c in line:
+            if c not in self.alike and (s := script(c)):
+                here[s] = here.get(s, 0) + 1
+        return _WORD.sub(lambda m: self.spell(m.group(), here), line)
+
+    def spell(self, token: str, here: dict[str, int] | None = None) -> str:
+        """The token in one script, where look-alikes allow it; ``here`` counts unmistakable letters around it by script."""
+        if token.isascii() or not any(c in self.alike for c in token):
             return token
-        own = {s for c in token if (s := script(c))}
-        sets = [s for c in token if (s := resolved_scripts(c))]
-        shared = frozenset.intersection(*sets) if sets else frozenset()
+        sets = [{s, *self.alike.get(c, ())} for c in token if (s := script(c))]
+        shared = set.intersection(*sets)
         if not shared:
             return token  # no single script can write it: a misread character, not a look-alike
-        target = max(shared, key=lambda s: (self.scripts.get(s, 0), s))
-        if target == "LATIN" and own != {"LATIN"}:
-            return "".join(TO_LATIN.get(c, c) for c in token)
-        return token
+        target = max(shared, key=lambda s: ((here or {}).get(s, 0) > 0, self.clear.get(s, 0), s))
+        return "".join(c if script(c) in ("", target) else self.alike[c][target] for c in token)
 
 
 def letter_counts(values: DataFrame) -> dict[str, int]:
@@ -125,7 +133,7 @@ def consistent_form(df: DataFrame, key: str, text: str, only_changed: bool = Fal
     ``changed`` says that the text wasn't in the corpus's consistent form. Null gives null and false,
     the empty text itself. With ``only_changed`` the rows that needed no change are left out.
     """
-    form = Form(letter_counts(df.select(F.col(text).cast("string").alias("value"))))
+    form = Form(letter_counts(df.select(F.col(text).cast("string").alias("value"))), skeletons(df.sparkSession))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
