@@ -2,7 +2,7 @@
 
 import random
 
-from test_repair import frame, noisy, text
+from test_repair import WORDS, frame, noisy, text
 
 from warraq.llm import scannoise
 from warraq.llm.homoglyph import Form
@@ -71,3 +71,39 @@ def test_garbled_and_cut_texts_keep_their_paragraphs(spark):
     assert got[901] == (" ".join(texts[1][:100].split()), "cut") and got[902] == (rows[-1][3], "unread")
     assert got[2] == (" ".join(texts[0].split()), None)
     assert not {r["row_id"] for r in noise.found().collect()} & {900, 901, 902}
+
+
+def test_breaks_for_one_text_are_those_of_a_batch():
+    rng = random.Random(9)
+    model = scannoise.BreakModel()
+    ends = ["".join(rng.choice("01234567") for _ in range(rng.randint(1, 30))) for _ in range(50)]
+    marg = model.marginals(ends)[0]
+    for x, m in zip(ends, marg):
+        assert model.breaks(x) == (m[: len(x)] > 0.5).tolist()
+    assert model.breaks("") == []
+
+
+def test_line_ends():
+    full = "قال كتاب هذا ذلك إلى على كان لم قبل بعد"
+    assert scannoise.line_ends(f"# note\n{full}\nقبل بعد.\n\n{full}.\n  {full}\nقال\n") == "07502"
+    assert scannoise.line_ends("") == ""
+
+
+def test_paragraphs_end_at_labelled_breaks(spark):
+    """A stop at the end of a full line inside a paragraph breaks nothing; a short last line and a gap do, with a stop or without."""
+    rng = random.Random(10)
+    rows, want = [], {}
+    for p in range(200):
+        paragraphs, lines = [], []
+        for _ in range(3):
+            body = [" ".join(rng.choices(WORDS, k=9)) for _ in range(3)] + [" ".join(rng.choices(WORDS, k=3))]
+            if rng.random() < 0.3:
+                body[1] += "."  # a sentence that ends at a line's end
+            body[-1] += "." if rng.random() < 0.8 else ""
+            paragraphs.append(" ".join(body))
+            lines += body + ([""] if p % 2 else [])
+        rows += [(2 * p, f"page_{p}", "gt_a", "\n".join(lines)), (2 * p + 1, f"page_{p}", "kraken", "\n".join(lines))]
+        want[2 * p + 1] = paragraphs
+    got = {r["row_id"]: r["repaired"].split("\n\n") for r in scannoise.ScanNoise(frame(spark, rows)).paragraphs().collect()}
+    right = sum(got[k] == v for k, v in want.items())
+    assert right >= 0.9 * len(want), right

@@ -3,8 +3,10 @@
 The lines of each recognised text are labelled header, page number or body by a hidden Markov model
 over layout features (place on the page, shape, share of words that the page's annotators wrote too)
 and the words of lines the annotators did not write. The model is trained by expectation-maximisation
-on all rows. Body lines are then put together into paragraphs: broken words are joined, misread
-characters replaced by the letter of the annotators' word.
+on all rows. A second chain labels the line ends of running text as break or not, by the stop at the end,
+the line's length, and blank or indented lines after it; it is trained likewise. Body lines are then put
+together into paragraphs that end at breaks: broken words are joined, misread characters replaced by the
+letter of the annotators' word.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, PUNCTUATION, TATWEEL
 from warraq.llm import mojibake
+from warraq.llm.chains import forward_backward
 from warraq.llm.homoglyph import Form
 from warraq.llm.truncation import TAIL, verdict
 from warraq.llm.wording import is_folio, lines_of, repaired_text, words_of
@@ -34,6 +37,9 @@ WORD_BINS = 1 << 14
 CROWD = 64
 ROWS_PER_SALT = 1_000
 BODY, HEADER, FOLIO = range(3)
+FIRST_SYMBOL = 0x100
+# Signs of a paragraph's end at a line's end, added up to a digit.
+STOP, SHORT, GAP = 1, 2, 4
 
 _MARKS = re.compile("[ـً-ٰٟ]+")
 _SKELETON = {**{ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)}, **{ord(c): None for c in DIACRITICS + TATWEEL}}
@@ -48,6 +54,7 @@ _LINE_NO = re.compile(r"^\s*\d+\s*[\t.)]\s*")
 _BREAK_SIGNS = "-\xac~=._*‐‑‒–—―…\xad"
 _TRIM = "،؛؟٪٭۔!\"'()*,-./:;<=>?[\\]_`{|}~—–\xac…«»"
 _NUMBERED = re.compile(r"\d")
+_ENDS = re.compile(r"[.؟?!:۔][\s\"'»”)\]]*$")
 
 
 def skeleton(token: str) -> str:
@@ -207,12 +214,12 @@ def joined_word(first: str, second: str, page: Page) -> str | None:
 def _symbol(shape: str, place: str, share: float | None) -> str:
     """One letter for the layout of a line: shape, share of known words, place."""
     know = 0 if share is None else 1 if share <= 0.34 else 2 if share <= 0.6 else 3
-    return chr(ord("A") + ("ndt".index(shape) * 4 + know) * 4 + "fsil".index(place))
+    return chr(FIRST_SYMBOL + ("ndt".index(shape) * 4 + know) * 4 + "fsil".index(place))
 
 
 def sure(symbol: str) -> bool:
     """The annotators wrote the line too, which makes it text by definition."""
-    code = ord(symbol) - ord("A")
+    code = ord(symbol) - FIRST_SYMBOL
     return code >= 16 and code // 4 % 4 == 3
 
 
@@ -284,6 +291,99 @@ def read_lines(text: str, page: Page, left: frozenset[str] = frozenset()) -> tup
     return "".join(symbols), bins, out, tail
 
 
+# --- paragraph breaks --------------------------------------------------------
+
+
+def line_ends(text: str) -> str:
+    """A digit for each line of :func:`lines_of`: does it end with a stop, is it short, does a blank or an indented line follow?"""
+    lines: list[str] = []
+    gaps: list[bool] = []
+    for x in text.rstrip().split("\n"):
+        if not x.strip():
+            if gaps:
+                gaps[-1] = True
+        elif not x.lstrip().startswith("#"):
+            if gaps and x[:1] in " \t" and lines[-1][:1] not in " \t":
+                gaps[-1] = True
+            lines.append(x)
+            gaps.append(False)
+    sizes = sorted(map(len, lines))
+    usual = sizes[len(sizes) // 2] if sizes else 0
+    return "".join(str(STOP * (_ENDS.search(x) is not None) + SHORT * (len(x) < 0.7 * usual) + GAP * g) for x, g in zip(lines, gaps))
+
+
+_BITS = np.array([[d & STOP > 0, d & SHORT > 0, d & GAP > 0] for d in range(8)])
+
+
+class BreakModel:
+    """Chain of line ends that break the paragraph or don't: chances of each sign in either state, and transitions."""
+
+    #: Starting belief (stop, short, gap): a break mostly has a stop and a short line or a gap, other ends mostly nothing of it.
+    PRIOR = np.array([[0.2, 0.03, 0.005], [0.8, 0.92, 0.4]])
+
+    def __init__(self, signs: np.ndarray | None = None, trans: np.ndarray | None = None):
+        self.signs = self.PRIOR if signs is None else signs
+        self.trans = np.array([[0.8, 0.2], [0.95, 0.05]]) if trans is None else trans
+        self.emit = np.stack([np.where(_BITS, p, 1 - p).prod(axis=1) for p in self.signs])
+
+    def marginals(self, ends: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chance of a break at each line of a batch, expected transitions, the digits, and where lines are."""
+        size = np.array([len(x) for x in ends])
+        mask = np.arange(size.max()) < size[:, None]
+        digits = np.zeros(mask.shape, np.int64)
+        digits[mask] = np.frombuffer("".join(ends).encode(), np.uint8) - ord("0")
+        odds = np.log(self.emit[1] / self.emit[0])
+        marg, pair = forward_backward(np.where(mask, odds[digits], 0.0), mask, np.log(self.trans))
+        return marg, pair, digits, mask
+
+    def breaks(self, ends: str) -> list[bool]:
+        """Which line ends are likelier a break than not, as :meth:`marginals` has it, for a single text."""
+        if not ends:
+            return []
+        odds = (self.emit[1] / self.emit[0]).tolist()
+        (t00, t01), (t10, t11) = self.trans.tolist()
+        o = [odds[ord(x) - 48] for x in ends]
+        ahead = [1.0] * len(o)
+        for i in range(len(o) - 2, -1, -1):
+            x = o[i + 1] * ahead[i + 1]
+            ahead[i] = (t10 + t11 * x) / (t00 + t01 * x)
+        out, r = [], 0.0
+        for i, x in enumerate(o):
+            r = x * (t01 + r * t11) / (t00 + r * t10) if i else x
+            out.append(r * ahead[i] > 1)
+        return out
+
+
+def fit_breaks(ends: DataFrame, rounds: int = 4) -> BreakModel:
+    """Expectation-maximisation over (ends, rows); twenty numbers a task reach the driver."""
+    model = BreakModel()
+    for _ in range(rounds):
+        now = (model.signs, model.trans)
+
+        def step(batches: Iterator[pd.DataFrame], now: tuple = now) -> Iterator[pd.DataFrame]:
+            m, emit, trans = BreakModel(*now), np.zeros((2, 8)), np.zeros((2, 2))
+            for pdf in batches:
+                order = pdf["ends"].str.len().to_numpy().argsort(kind="stable")
+                for at in range(0, len(order), 2000):
+                    part = pdf.iloc[order[at : at + 2000]]
+                    marg, pair, digits, mask = m.marginals(part["ends"].tolist())
+                    n = part["rows"].to_numpy(float)[:, None] * mask
+                    emit[1] += np.bincount(digits[mask], weights=(marg * n)[mask], minlength=8)
+                    emit[0] += np.bincount(digits[mask], weights=((1 - marg) * n)[mask], minlength=8)
+                    trans += pair * part["rows"].mean()
+            yield pd.DataFrame({"place": range(20), "n": [*emit.ravel(), *trans.ravel()]})
+
+        got = ends.mapInPandas(step, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        flat = np.zeros(20)
+        for r in got:
+            flat[r["place"]] = r["n"]
+        met, trans = flat[:16].reshape(2, 8), flat[16:].reshape(2, 2) + np.array([[8, 2], [9.5, 0.5]])
+        weight = 20 + 0.05 * met.sum(axis=1, keepdims=True)  # a twentieth of the belief stays
+        signs = (met @ _BITS + weight * BreakModel.PRIOR) / (met.sum(axis=1, keepdims=True) + weight)
+        model = BreakModel(signs, trans / trans.sum(axis=1, keepdims=True))
+    return model
+
+
 # --- the hidden Markov model -------------------------------------------------
 
 
@@ -303,7 +403,7 @@ class LineModel:
     @staticmethod
     def prior(symbol: str) -> np.ndarray:
         """Starting belief in (body, header, page number) for a line of this layout."""
-        code = ord(symbol) - ord("A")
+        code = ord(symbol) - FIRST_SYMBOL
         shape, know, place = "ndt"[code // 16], code // 4 % 4, "fsil"[code % 4]
         if shape == "n":  # a bare number is no title
             return np.array([0.03, 0.0, 0.97]) if know < 3 else np.array([0.7, 0.0, 0.3])
@@ -478,7 +578,7 @@ class ScanNoise:
 
     def _schema(self) -> str:
         return (
-            f"_key {self.kind}, symbols string, part string, part_bins array<string>, keep array<int>, lines array<string>, joins array<string>, misread array<string>, beside array<boolean>, state string"
+            f"_key {self.kind}, symbols string, part string, part_bins array<string>, keep array<int>, lines array<string>, joins array<string>, misread array<string>, beside array<boolean>, state string, ends string"
         )
 
     def _reader(self):
@@ -497,6 +597,7 @@ class ScanNoise:
                 else:
                     t = form.apply(t)
                 symbols, bins, lines, tail = read_lines(t, page, left)
+                ends = line_ends(t) if keep else None
                 end = " ".join(tail)
                 if not spans and page.tails and end not in page.tails and all(verdict(end, x) > 0 for x in page.tails):
                     if not keep:
@@ -504,7 +605,7 @@ class ScanNoise:
                     state = "cut"  # whichever annotator is followed
                 coded = [",".join(map(str, x)) for x in bins]
                 misread = [json.dumps(x[2]) if x[2] else "" for x in lines]
-                out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines], state))
+                out.append((k, symbols, *uncertain_part(symbols, coded), [x[0] for x in lines] if keep else [], [x[1] for x in lines], misread, [x[3] for x in lines], state, ends))
             return pd.DataFrame(out, columns=names)
 
         return scan
@@ -580,18 +681,21 @@ class ScanNoise:
         return self._labelled(f"key {self.kind}, kind string", build)
 
     def paragraphs(self, unread: bool = False) -> DataFrame:
-        """(key, repaired, state): the running text, one paragraph per stretch that ends with a stop.
+        """(key, repaired, state): the running text, one paragraph up to each line end labelled as a break.
 
         ``state`` is null, ``cut`` or ``garbled`` (garbled lines are as they were). A text all of whose lines
         are garbled has no readable form; with ``unread`` it comes too, its lines unchanged, as ``unread``.
         """
 
+        ends = self.read.where("state is null and ends != ''").groupBy("ends").agg(F.count("*").alias("rows"))
+        model = fit_breaks(checkpoint(ends))
+
         def build(r, states: list[int]) -> list[tuple]:
             if r.state == "unread":
                 return [(r.key, "\n".join(r.lines), r.state)] if unread else []
             out, carry = [], ""
-            body = [(x, j, m) for x, s, j, m in zip(r.lines, states, r.joins, r.misread) if s == BODY]
-            for line, join, misread in body:
+            body = [x for x, s in zip(zip(r.lines, r.joins, r.misread, model.breaks(r.ends)), states) if s == BODY]
+            for line, join, misread, ends_here in body:
                 words = _LINE_NO.sub("", line).split()
                 fix = {a: b for a, b in json.loads(misread or "{}").items() if b != "�"}
                 words = [fix.get(w, w) for w in words]
@@ -603,7 +707,7 @@ class ScanNoise:
                         words.pop()
                     carry = words.pop().rstrip(_BREAK_SIGNS)
                 text = " ".join(words)
-                out.append(text + ("\n\n" if re.search(r"[.؟?!]$", text) else " ") if text else "")
+                out.append(text + ("\n\n" if ends_here and join is None else " ") if text else "")
             return [(r.key, re.sub(r" +\n", "\n", "".join(out) + carry).strip(), r.state)]
 
         return self._labelled(f"key {self.kind}, repaired string, state string", build)
