@@ -76,16 +76,24 @@ _ENCODE = {name: _bytes_of(name) for name in READ_AS}
 CHAINS = [(w, t) for w in READ_AS for t in WRITTEN_IN if w != t]
 
 
+_UTF8_FIRST = sorted(CHAINS, key=lambda c: c[1] != "utf-8")
+
+
+def encoded(text: str, read_as: str) -> bytes | None:
+    """The bytes of a text that was read as ``read_as``; None if it holds what that encoding can't give."""
+    try:
+        return text.translate(_ENCODE[read_as]).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
 def decode_chain(text: str, read_as: str, written_in: str) -> str | None:
     """The text as it was before it was read as ``read_as`` though written in ``written_in``; None if impossible.
 
     Bytes that got lost come back as U+FFFD.
     """
-    try:
-        raw = text.translate(_ENCODE[read_as]).encode("latin-1")
-    except UnicodeEncodeError:
-        return None
-    back = raw.decode(written_in, "replace")
+    raw = encoded(text, read_as)
+    back = None if raw is None else raw.decode(written_in, "replace")
     return None if back == text else back
 
 
@@ -261,13 +269,17 @@ def _best(stretch: str, model: CharModel | None, depth: int = 0) -> tuple[float,
     now = model.score(spaced) if model else _plain_score(spaced)
     best, to, seen = 0.0, None, set()
     lone = len(_EVIDENCE.findall(stretch)) < 2
-    for w, t in CHAINS:
+    raws = {w: encoded(stretch, w) for w in READ_AS}
+    for w, t in CHAINS if model else _UTF8_FIRST:
         if lone and t not in ("utf-8", "cp1254"):
             continue  # a single odd letter may be a foreign word's own; it can stand for no Arabic word
-        back = decode_chain(stretch, w, t)
+        raw = raws[w]
+        back = None if raw is None else raw.decode(t, "replace")
         if back is None or back == stretch or back in seen:
             continue
         seen.add(back)
+        if model is None and _AT_BEST * len(back) - now <= best:
+            continue  # even text without a flaw would gain less
         s = re.sub(r"[ \t\n]+", _SPLIT, back)
         gain = (model.score(s) if model else _plain_score(s)) - LOST * back.count("�") - now
         if depth == 0 and t == "utf-8" and len(back) < len(stretch) and ODD.search(back):
@@ -292,29 +304,37 @@ def _likeliest(stretch: str, model: CharModel | None) -> tuple[float, str | None
     return _likeliest_short(stretch, model) if len(stretch) < 40 else _best(stretch, model)
 
 
-@lru_cache(maxsize=100_000)
-def _plain_log(a: str, b: str) -> float:
-    """Bigram costs by kind of character alone, for callers without a trained model."""
+#: The plain score of a character that nothing speaks against.
+_AT_BEST = -3.0
+
+
+class _Kinds(dict):
+    """Kind of each character: common (0), Arabic (1), accented or romanised Latin (2), other (3), lost (f)."""
+
+    def __missing__(self, o: int) -> str:
+        if o == 0xFFFD:
+            kind = "f"
+        elif o < 0x80 or 0x2010 <= o <= 0x2015 or o in (0x2026, 0xA0, 0xAC, 0xAD):
+            kind = "0"
+        elif 0x0621 <= o <= 0x0652 or 0x0660 <= o <= 0x0669 or o in (0x060C, 0x061B, 0x061F, 0x0670):
+            kind = "1"
+        elif o in (0x101, 0x12B, 0x16B, 0x2BE, 0x2BF) or 0x1E00 <= o < 0x1F00 or chr(o) in "éäüöçßèêâîôûğışİŞĞÜÖÇ":
+            kind = "2"
+        else:
+            kind = "3"
+        self[o] = kind
+        return kind
 
-    def kind(c: str) -> int:
-        o = ord(c)
-        if o < 0x80 or 0x2010 <= o <= 0x2015 or o in (0x2026, 0xA0, 0xAC, 0xAD):
-            return 0
-        if 0x0621 <= o <= 0x0652 or 0x0660 <= o <= 0x0669 or o in (0x060C, 0x061B, 0x061F, 0x0670):
-            return 1
-        if o in (0x101, 0x12B, 0x16B, 0x2BE, 0x2BF) or 0x1E00 <= o < 0x1F00 or c in "éäüöçßèêâîôûğışİŞĞÜÖÇ":
-            return 2
-        return 3
 
-    if b == "\ufffd":
-        return -4.0
-    x, y = kind(a), kind(b)
-    return (-3.0, -3.0, -6.0, -11.0)[y] - (3.0 if x != y and 0 not in (x, y) else 0.0)
+_KINDS = _Kinds()
 
 
 def _plain_score(text: str) -> float:
-    s = _SPLIT + text
-    return sum(_plain_log(s[i], s[i + 1]) for i in range(len(s) - 1))
+    """Costs by kind of character and of changes between kinds, for callers without a trained model."""
+    count = text.translate(_KINDS).count
+    two, three, lost = count("2"), count("3"), count("f")
+    changes = sum(map(count, ("12", "13", "21", "23", "31", "32", "f1", "f2")))
+    return _AT_BEST * (len(text) - two - three - lost) - 6.0 * two - 11.0 * three - 4.0 * lost - 3.0 * changes
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
