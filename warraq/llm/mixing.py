@@ -18,12 +18,10 @@ from pyspark.sql.window import Window
 
 from warraq.session import checkpoint
 
-#: Blocks in the schedule at most, and tokens in a block at least.
+#: Unless a block's size is given: blocks in the schedule at most, and tokens in a block at least.
 SLOTS = 20_000
 LEAST_BLOCK = 512
 ROWS_PER_BUCKET = 20_000
-#: Rounds in which the room left in a quota is offered to records that still fit.
-FILL_ROUNDS = 4
 
 
 def pfair(shares: dict[str, float], slots: int) -> list[str]:
@@ -56,9 +54,13 @@ class Mix:
     without a target, with a null source, or without tokens cannot take part; the shares of targets
     without records are spread over the others in proportion, and reported. Unless ``total`` is given,
     the mix is as large as the scarcest source allows when used to its cap.
+
+    ``block`` is the number of tokens served at a time: no source departs from its share by more. Without it the
+    total is cut into at most ``slots`` blocks of at least ``LEAST_BLOCK`` tokens, so that the schedule, which is
+    made on the driver, has a bounded length; the last block may be a part.
     """
 
-    def __init__(self, records: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", total: int | None = None, slots: int = SLOTS):
+    def __init__(self, records: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", total: int | None = None, slots: int = SLOTS, block: int | None = None):
         self.key = key
         rec = records.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), F.col(tokens).cast("long").alias("tokens"))
         rec = checkpoint(rec.where("source is not null and tokens > 0"))
@@ -72,16 +74,19 @@ class Mix:
         shares = {s: w / whole for s, w in live.items()}
         cap = min((supply[s][0] * want[s][1] / w for s, w in shares.items()), default=0)
         self.total = int(min(cap, total) if total is not None else cap)
-        self.block = max(LEAST_BLOCK, -(-self.total // slots)) if self.total else LEAST_BLOCK
-        self.schedule = pfair(shares, self.total // self.block) if shares else []
+        self.block = block or max(LEAST_BLOCK, -(-self.total // slots))
+        self.schedule = pfair(shares, -(-self.total // self.block)) if shares else []
         blocks: dict[str, list[int]] = {}
         for slot, s in enumerate(self.schedule):
             blocks.setdefault(s, []).append(slot)
         self.blocks = blocks
         spark = records.sparkSession
-        quota = [(s, want[s][0], want[s][1], supply[s][0], -(-supply[s][1] // ROWS_PER_BUCKET), len(blocks.get(s, ())) * self.block) for s in live]
+        room = {s: len(blocks.get(s, ())) * self.block for s in live}
+        if self.schedule:
+            room[self.schedule[-1]] -= -self.total % self.block
+        quota = [(s, want[s][0], want[s][1], supply[s][0], -(-supply[s][1] // ROWS_PER_BUCKET), room[s]) for s in live]
         self.quota = spark.createDataFrame(quota, "source string, target_share double, max_repeats int, supply long, buckets long, quota long")
-        self.slots = spark.createDataFrame([(s, k, slot) for s, at in blocks.items() for k, slot in enumerate(at)], "source string, block long, slot long")
+        self.slots = spark.createDataFrame(list(blocks.items()), "source string, at array<int>")
         self.chosen = self._choose(named)
 
     def _before(self, rows: DataFrame) -> DataFrame:
@@ -95,14 +100,14 @@ class Mix:
         earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
         within = Window.partitionBy("source", "_bucket").orderBy("_order", "_row").rowsBetween(Window.unboundedPreceding, -1)
-        r = r.withColumn("_in", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(sums, ["source", "_bucket"])
+        r = r.withColumn("_in", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(sums.hint("shuffle_hash"), ["source", "_bucket"])
         return r.withColumn("_before", F.col("_base") + F.col("_in")).drop("_bucket", "_base", "_in")
 
     def _choose(self, named: DataFrame) -> DataFrame:
         """Every record passes as often as the quota holds its whole source; then some pass once more.
 
         Those are taken in hashed order as long as they fit; what room is left goes to later records
-        that still fit, in a few rounds.
+        that still fit, until none does.
         """
         rows = named.join(F.broadcast(self.quota), "source").withColumn("_row", F.monotonically_increasing_id())
         rows = rows.withColumn("_order", F.xxhash64("_key", "_row"))
@@ -112,30 +117,34 @@ class Mix:
         gap = {r["source"]: r["quota"] - min(r["max_repeats"], r["quota"] // r["supply"]) * r["supply"] for r in self.quota.collect() if r["quota"] // r["supply"] < r["max_repeats"]}
         spark, extra = rows.sparkSession, None
         done = dict.fromkeys(gap, 0)
-        for _ in range(FILL_ROUNDS):
+        while True:
             gap = {s: g for s, g in gap.items() if g > 0}
             if not gap:
                 break
             gaps = spark.createDataFrame([(s, g, done[s]) for s, g in gap.items()], "source string, gap long, done long")
             fits = open_.join(F.broadcast(gaps), "source").where("tokens <= gap")
             if extra is not None:
-                fits = fits.join(extra.select("_row"), "_row", "left_anti")
+                fits = fits.join(extra.select("_row").hint("merge"), "_row", "left_anti")
             more = checkpoint(self._before(fits).where("_before + tokens <= gap").select("_row", "source", "tokens", (F.col("done") + F.col("_before")).alias("_extra_place")))
-            for r in more.groupBy("source").agg(F.sum("tokens").alias("n")).collect():
-                gap[r["source"]] -= r["n"]
+            taken = more.groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+            gap = {r["source"]: gap[r["source"]] - r["n"] for r in taken}  # where nothing was taken, nothing fits
+            for r in taken:
                 done[r["source"]] += r["n"]
             extra = more if extra is None else extra.unionByName(more)
         if extra is None:
             out = rows.withColumn("_extra_place", F.lit(None).cast("long"))
         else:
-            out = rows.join(extra.select("_row", "_extra_place"), "_row", "left")
-        uses = (F.col("_full") + F.col("_extra_place").isNotNull().cast("int")).cast("int")
-        place = F.when(F.col("_full") > 0, F.col("_place")).otherwise(F.col("_extra_place"))
-        return out.select("_key", "source", "tokens", uses.alias("uses"), F.floor(place / F.lit(self.block)).alias("block")).where("uses > 0")
+            out = rows.join(extra.select("_row", "_extra_place").hint("merge"), "_row", "left")
+        full = F.when(F.col("_full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1), lambda r: F.col("_place") + r * F.col("supply"))).otherwise(F.array().cast("array<long>"))
+        last = F.when(F.col("_extra_place").isNotNull(), F.array(F.col("_full") * F.col("supply") + F.col("_extra_place"))).otherwise(F.array().cast("array<long>"))
+        out = out.withColumn("places", F.concat(full, last)).withColumn("uses", F.size("places"))
+        return out.select("_key", "source", "tokens", "uses", "places").where("uses > 0")
 
     def records(self) -> DataFrame:
-        """(key, source, tokens, uses, slot): slot is the place of the record's first use in the schedule."""
-        return self.chosen.join(F.broadcast(self.slots), ["source", "block"], "left").select(F.col("_key").alias(self.key), "source", "tokens", "uses", "slot")
+        """(key, source, tokens, uses, slots): the places of a record's uses in the schedule, in order."""
+        block = lambda p: F.floor(p / F.lit(self.block)).cast("int")
+        slots = F.transform("places", lambda p: F.get("at", block(p))).alias("slots")
+        return self.chosen.join(F.broadcast(self.slots), "source").select(F.col("_key").alias(self.key), "source", "tokens", "uses", slots)
 
     def shares(self) -> DataFrame:
         """(source, target_share, available, tokens, reached_share, records, most_uses) for every target."""
