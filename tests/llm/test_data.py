@@ -48,7 +48,7 @@ def test_consensus_of_simulated_annotators(spark):
             mark = " ".join(w[:5] + ["[غير واضح]"] + w[6:]) if p % 10 == 0 and who == "gt_a" and w == t else "\n".join([" ".join(w[:15]), " ".join(w[15:])])
             rows.append((k, page, who, "# note\n" + mark))
             k += 1
-    c = consensus.Consensus(frame(spark, rows))
+    c = consensus.Consensus(frame(spark, rows), pooled=("page_01",))
     got = {r["row_id"] for r in c.departing().collect()}
     assert len(got ^ wrong) <= 0.02 * len(wrong)
     text = {r["page_id"]: r["consensus"] for r in c.consensus().collect()}
@@ -61,7 +61,7 @@ def test_consensus_of_simulated_annotators(spark):
 def test_consensus_edges(spark):
     rows = [(1, "p", "gt_a", "x y"), (2, "p", "gt_b", "x y"), (3, "p", "gt_c", "x z"), (4, "p", "gt_c", "x z"), (5, "p", "kraken", "q"), (6, "q", "gt_a", "a"), (7, "q", "gt_b", "b"), (8, "p", "gt_d", None), (9, "p", "gt_e", ""), (10, None, "gt_a", "x"), (11, "p", None, "x")]
     rows += [(20 + i, "page_01", "gt_a", "m n o" if i % 20 else "m n") for i in range(60)] + [(90, "page_01", "gt_b", "m n o"), (91, "page_01", "gt_c", "m n o o")]
-    c = consensus.Consensus(frame(spark, rows))
+    c = consensus.Consensus(frame(spark, rows), pooled=("page_01",))
     got = {r["row_id"] for r in c.departing().collect()}
     assert got == {3, 4, 91} | {20, 40, 60}  # copies are one voice but each row counts; page q has two annotators
     by = {r["page_id"]: r for r in c.consensus().collect()}
@@ -146,7 +146,26 @@ def test_mix(spark):
     rows = mix.records().collect()
     cap = {"big": 1, "small": 3, "mid": 2}
     assert all(1 <= r["uses"] <= cap[r["source"]] for r in rows) and shares["small"]["most_uses"] == 3
-    assert sum(r["slot"] is not None for r in rows) >= 0.99 * len(rows)
+    assert all(len(r["slots"]) == r["uses"] and None not in r["slots"] and list(r["slots"]) == sorted(r["slots"]) for r in rows)
+    # Repeats included, no source departs from its share by a block (and the record that ends it) at any time.
+    placed = defaultdict(Counter)
+    for r in rows:
+        for at in r["slots"]:
+            placed[r["source"]][at] += r["tokens"]
+    for s, w in (("big", 5 / 9), ("small", 2 / 9), ("mid", 2 / 9)):
+        have, most = 0, 0.0
+        for t in range(len(mix.schedule)):
+            have += placed[s][t]
+            most = max(most, abs(have - w * (t + 1) * mix.block) if t + 1 < len(mix.schedule) else 0)
+        assert most < mix.block + 400, (s, most, mix.block)
+    # Nothing that is left would fit: a record unused to its cap is larger than its source's room.
+    left = {s: mix.quota.where(f"source = '{s}'").first()["quota"] - sum(r["tokens"] * r["uses"] for r in rows if r["source"] == s) for s in cap}
+    used = {(r["doc_id"], r["source"]): r["uses"] for r in rows}
+    for i, s, n in rec:
+        if s in cap and n and used.get((i, s), 0) == 0:
+            assert n > left[s]
+    whole = mixing.Mix(df, targets, total=50_000, block=700)
+    assert len(whole.schedule) == 72 and sum(r["quota"] for r in whole.quota.collect()) == 50_000
     none = mixing.Mix(df.limit(0), targets)
     assert none.records().count() == 0 and none.shares().count() == 4
 

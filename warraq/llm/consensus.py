@@ -21,7 +21,9 @@ from warraq.llm.homoglyph import Form
 from warraq.llm.wording import ABSTAIN, words_of
 from warraq.session import checkpoint, hot_keys, salted_join
 
-ROUNDS = 8
+#: Rounds of expectation-maximisation at most, and the change of any rate below which they end.
+ROUNDS = 40
+CONVERGED = 1e-4
 START_COMPETENCE = 0.9
 #: Words that a guess may fall on besides those seen at the slot.
 OTHER_WORDS = 20
@@ -136,7 +138,7 @@ def expected(pattern: Pattern, params: Params) -> list[tuple[str, float, float,
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> Params:
-    """Expectation-maximisation over (pattern, slots); only sums per annotator reach the driver."""
+    """Expectation-maximisation over (pattern, slots) until no rate changes; only sums per annotator reach the driver."""
     params: Params = {}
     for _ in range(rounds):
         now = dict(params)
@@ -153,7 +155,9 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> Params:
             yield pd.DataFrame([(a, *s) for a, s in total.items()], columns=["annotator", "t", "w", "e"])
 
         sums = patterns.mapInPandas(step, "annotator string, t double, w double, e double").groupBy("annotator").agg(F.sum("t").alias("t"), F.sum("w").alias("w"), F.sum("e").alias("e"))
-        params = {r["annotator"]: (min(0.9999, (r["t"] + 0.9) / (r["t"] + r["w"] + r["e"] + 1.0)), (r["w"] + 0.5) / (r["w"] + r["e"] + 1.0)) for r in sums.collect()}
+        last, params = params, {r["annotator"]: (min(0.9999, (r["t"] + 0.9) / (r["t"] + r["w"] + r["e"] + 1.0)), (r["w"] + 0.5) / (r["w"] + r["e"] + 1.0)) for r in sums.collect()}
+        if last.keys() == params.keys() and all(abs(x - y) < CONVERGED for a in params for x, y in zip(params[a], last[a])):
+            break
     return params
 
 
@@ -168,7 +172,7 @@ class Consensus:
     in one task: wordings are grouped before they are aligned, and hot pages are salted.
     """
 
-    def __init__(self, df: DataFrame, key: str = "row_id", page: str = "page_id", annotator: str = "system", text: str = "text", prefix: str = "gt_", pooled: tuple[str, ...] = ("page_01",), rounds: int = ROUNDS):
+    def __init__(self, df: DataFrame, key: str = "row_id", page: str = "page_id", annotator: str = "system", text: str = "text", prefix: str = "gt_", pooled: tuple[str, ...] = (), rounds: int = ROUNDS):
         self.key, self.page = key, page
         slim = df.select(F.col(key).alias("_key"), F.col(page).cast("string").alias("_page"), F.col(annotator).cast("string").alias("_who"), F.col(text).cast("string").alias("_text"))
         slim = slim.where(F.col("_who").startswith(prefix) & F.col("_page").isNotNull() & F.col("_text").isNotNull())

@@ -13,7 +13,8 @@ from warraq.session import read
 def _consensus(spark: SparkSession, sf_dir: str):
     from warraq.llm.consensus import Consensus
 
-    return Consensus(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text"))
+    calibration = ("page_01",)  # transcribed over and over: each of its rows is a voice
+    return Consensus(read(spark, sf_dir, "parallel_corpus", "row_id", "page_id", "system", "text"), pooled=calibration)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
