@@ -165,3 +165,171 @@ def test_entry_module():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and {"q_flagship", "q_cer_pages", "q_wilcoxon"} <= names
+
+
+def test_hot_keys_are_bounded_and_complete(spark):
+    """The threshold rises with the row count; every key above it is split."""
+    from warraq.session import hot_keys
+
+    df = spark.range(20_000).selectExpr("CASE WHEN id < 4000 THEN concat('k', id % 20) ELSE concat('x', id) END AS k")
+    got = {r["k"]: r["_salts"] for r in hot_keys(df, "k", rows_per_salt=10, most=200).collect()}  # from 100 rows on
+    assert got == {f"k{i}": 2 for i in range(20)}
+    assert hot_keys(df.limit(0), "k").count() == 0
+
+
+def test_null_keys_are_spread(spark):
+    """Rows without a key don't meet in one task."""
+    from warraq.session import hot_keys, salted_join
+
+    left = spark.range(100_000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN concat('p', id % 500) END AS k")
+    right = spark.range(500).selectExpr("concat('p', id) AS k", "id AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = salted_join(left, right, "k", hot_keys(left, "k"), "id")
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 100_000 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_checkpoint_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    from warraq import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class O:
+                            isEmpty = staticmethod(lambda: True)
+
+                        return O
+
+                return S
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context
+
+            class conf:
+                get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint(Frame)
+
+
+def test_small_tables_only_are_broadcast(spark):
+    from warraq.session import small
+
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(small(spark.range(5), most=5)) and "broadcast" not in plan(small(spark.range(6), most=5))
+
+
+def test_outputs_of_a_tree(spark, tmp_path):
+    for system, variant, name, text in (("s a", "v1", "image_1.txt", "x"), ("s a", "v2", "image_10.txt", "y\r\nz"), ("t", "v1", "image_x.txt", "no"), ("t", "v1", "other.txt", "no")):
+        folder = tmp_path / "out" / system / variant
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text, encoding="utf-8")
+    got = {tuple(r) for r in files.read_outputs(spark, str(tmp_path / "out")).select("system", "variant", "n", "text").collect()}
+    assert got == {("s a", "v1", 1, "x"), ("s a", "v2", 10, "y\nz")}
+
+
+def test_images_and_cropping(spark, tmp_path):
+    (tmp_path / "image_7.jpg").write_bytes(b"7"), (tmp_path / "p12.PNG").write_bytes(b"12"), (tmp_path / "image_3.png").write_bytes(b"3"), (tmp_path / "note.txt").write_bytes(b"n")
+    images = files.read_images(spark, str(tmp_path))
+    assert {(r["n"], bytes(r["content"])) for r in images.collect()} == {(7, b"7"), (3, b"3")}
+    try:
+        import io
+
+        from PIL import Image
+    except ImportError:
+        with pytest.raises(Exception, match="Pillow"):
+            models.crop_top(images).collect()
+        return
+    buf = io.BytesIO()
+    Image.new("RGB", (10, 20)).save(buf, "PNG")
+    cut = models.crop_top(spark.createDataFrame([(1, bytearray(buf.getvalue()))], "n int, content binary")).first()["content"]
+    assert Image.open(io.BytesIO(cut)).size == (10, 10)
+
+
+def test_retries_and_local_models(spark, tmp_path):
+    plan = spark.createDataFrame([("s", "v1", 1)], "system string, variant string, n int")
+    images = spark.createDataFrame([(1, bytearray(b"x"))], "n int, content binary")
+    prompts = spark.createDataFrame([("v1", "read")], "variant string, prompt string")
+
+    def flaky():
+        tries = []
+
+        def call(content, prompt):
+            tries.append(1)
+            if len(tries) < 3:
+                raise TimeoutError("busy")
+            return "third"
+
+        return call
+
+    assert models.transcribe(plan, images, prompts, flaky, retries=2, pause=0.01).first()["text"] == "third"
+    assert models.transcribe(plan, images, prompts, flaky, retries=1).first()["error"] == "TimeoutError: busy"
+
+    def missing():
+        raise ModuleNotFoundError("no such model")
+
+    assert models.transcribe(plan, images, prompts, models.local_model(missing)).first()["error"].startswith("ModelUnavailable: ModuleNotFoundError")
+    assert models.transcribe(plan, images, prompts, models.local_model(lambda: lambda image: image.decode() * 2)).first()["text"] == "xx"
+
+
+def test_text_sinks_repeat_without_harm(spark, tmp_path):
+    texts = spark.createDataFrame([("s", "v1", 1, "a"), ("s", "v2", 2, None), (None, "v1", 3, "c")], "system string, variant string, n int, text string")
+    out = str(tmp_path / "files")
+    assert {(r["n"], r["written"]) for r in sinks.write_text_files(texts, out).collect()} == {(1, True), (2, True)}
+    again = texts.withColumn("text", F.lit("new"))
+    assert not any(r["written"] for r in sinks.write_text_files(again, out).collect())
+    assert (tmp_path / "files" / "s" / "v1" / "image_1.txt").read_text() == "a"
+    sinks.write_text_files(again, out, overwrite=True).collect()
+    assert (tmp_path / "files" / "s" / "v1" / "image_1.txt").read_text() == "new"
+    assert {(r["system"], r["n"]) for r in files.read_outputs(spark, out).collect()} == {("s", 1), ("s", 2)}
+    for _ in range(2):
+        sinks.write_new_texts(texts.where("system is not null"), str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_document_log_headline_and_kit(spark, tmp_path):
+    ex = spark.createDataFrame([("k", "best", "LETTER_SUB", "page_01", "replace", "ب", "ت"), ("k", "best", "PUNCT", "page_01", "insert", "", "،")], "system string, ref string, klass string, page_id string, op string, a string, b string")
+    sinks.write_document(ex, str(tmp_path / "e.json"))
+    text = (tmp_path / "e.json").read_text(encoding="utf-8")
+    assert json.loads(text)["k|best"]["LETTER_SUB"] == [{"page_id": "page_01", "op": "replace", "a": "ب", "b": "ت"}] and "ب" in text and "\n  " in text
+    with pytest.raises(ValueError):
+        sinks.write_document(ex, str(tmp_path / "e2.json"), most=1)
+    sinks.log_attempt(str(tmp_path / "log.txt"), "one"), sinks.log_attempt(str(tmp_path / "log.txt"), "two\n")
+    assert (tmp_path / "log.txt").read_text() == "one\ntwo\n"
+    assert "kraken" in sinks.headline(spark.createDataFrame([("kraken", 0.1)], "system string, mean double"), "CER")
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "image_7.jpg").write_bytes(b"jpg")
+    picked = spark.createDataFrame([("page_07", 7, "H"), ("page_08", 8, "S")], "page_id string, n int, difficulty string")
+    assert sinks.write_kit(sinks.annotator_kit(picked), str(tmp_path / "img"), str(tmp_path / "kit")) == 1
+    assert (tmp_path / "kit" / "images" / "image_7.jpg").exists() and "# Page 8 (S)" in (tmp_path / "kit" / "templates" / "image_8.txt").read_text()
+    assert (tmp_path / "kit" / "manifest.csv").read_text().splitlines()[1] == "page_07,7,H,images/image_7.jpg,templates/image_7.txt" and (tmp_path / "kit" / "README.md").exists()
+
+
+def test_report_lists_the_edits(spark):
+    from warraq.functions import align
+
+    df = spark.createDataFrame([("abc", "axcd", "a b", "a c")], "r string, t string, rw string, tw string")
+    df = df.withColumn("c", align.edit_ops("r", "t")).withColumn("w", align.word_ops("rw", "tw"))
+    text = df.select(sinks.report_text(F.lit("f"), F.length("r"), F.col("c"), F.lit(2), F.col("w"))).first()[0]
+    assert "rate: 66.67%" in text and "substitutions [1]: (b → x)" in text and "insertions [1]: d" in text and "deletions [0]: " in text and "(b → c)" in text and "rate: 50.00%" in text
+
+
+def test_percent(spark):
+    df = spark.createDataFrame([(0.12345,), (1.0,), (None,)], "x double")
+    assert [r[0] for r in df.select(sinks.percent(F.col("x"))).collect()] in ([12.34, 100.0, None], [12.35, 100.0, None])

@@ -59,3 +59,12 @@ def test_response_split(spark):
     assert got == [("a", "unknown", True), ("no marker", "", False), ("", "", False), ("", f"x{m}y", False)]
     half = [r[0] for r in spark.createDataFrame([("abcde",), ("",), ("a",)], "t string").select(N.lower_half(F.col("t"))).collect()]
     assert half == ["cde", "", "a"]
+
+
+def test_ta_marbuta_option(spark):
+    from pyspark.sql import functions as F
+
+    from warraq.functions import normalize as N
+
+    df = spark.createDataFrame([("مدرسة إلى",)], "t string")
+    assert df.select(N.fold_letters(F.col("t"), ta_marbuta=True), N.fold_letters(F.col("t"))).first()[:] == ("مدرسه الي", "مدرسة الي")

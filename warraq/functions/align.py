@@ -17,9 +17,7 @@ MOST_BITS = 1 << 26
 _DIA = set(DIACRITICS)
 # Punctuation and letter families of the error classes.
 _PUNCT = set("،؛؟.,!:٪٫٬٭۔")
-HAMZA = set("أإآٱا")
-YA = set("يى")
-TA = set("ةه")
+FAMILIES = {"HAMZA_FORM": set("أإآٱا"), "YA_FORM": set("يى"), "TA_MARBUTA": set("ةه")}
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -139,7 +137,7 @@ def classify(op: str, a: str, b: str) -> str:
         return "OTHER"
     if a in _DIA or b in _DIA:
         return "DIACRITIC_WRONG" if a in _DIA and b in _DIA else "DIACRITIC_DROP" if a in _DIA else "DIACRITIC_ADD"
-    for family, name in ((HAMZA, "HAMZA_FORM"), (YA, "YA_FORM"), (TA, "TA_MARBUTA")):
+    for name, family in FAMILIES.items():
         if a in family and b in family:
             return name
     return "LETTER_SUB"
@@ -226,6 +224,16 @@ def edit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(ref, hyp)])
 
 
+@F.pandas_udf(OPS)
+def word_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """The edits (not the matches) of two texts over their words."""
+
+    def one(a: list[str], b: list[str]) -> list[dict]:
+        return [{"op": op, "i": i, "j": j, "a": a[i] if op != "insert" else "", "b": b[j] if op != "delete" else ""} for op, i, j in edit_script(a, b) if op != "equal"]
+
+    return pd.Series([one(a.split(), b.split()) for a, b in zip(ref, hyp)])
+
+
 @F.pandas_udf(CLASSES)
 def class_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edits of two texts counted by class; nothing else leaves the worker."""
@@ -271,7 +279,7 @@ def klass_column(op: Column, a: Column, b: Column) -> Column:
     isin = lambda c, s: c.isin(sorted(s))
     dia_a, dia_b = isin(a, _DIA), isin(b, _DIA)
     replace = F.when(dia_a & dia_b, "DIACRITIC_WRONG").when(dia_a, "DIACRITIC_DROP").when(dia_b, "DIACRITIC_ADD")
-    for family, name in ((HAMZA, "HAMZA_FORM"), (YA, "YA_FORM"), (TA, "TA_MARBUTA")):
+    for name, family in FAMILIES.items():
         replace = replace.when(isin(a, family) & isin(b, family), name)
     return (
         F.when(op == "insert", F.when(dia_b, "DIACRITIC_ADD").when(isin(b, _PUNCT), "PUNCT").otherwise("INSERTION"))

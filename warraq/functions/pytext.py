@@ -18,11 +18,21 @@ TA_MARBUTA, HEH = "ة", "ه"
 PUNCTUATION = "،؛؟٪٫٬٭۔!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~—–"
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+
+
+class Table(dict):
+    """A table for ``str.translate`` that remembers which characters stay: misses cost an exception each."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
 _LINE_NO = re.compile(r"^\s*\d+\s*[\t.)]\s*")
 _MARKS = {ord(c): None for c in DIACRITICS + TATWEEL}
-_FOLD = {ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)}
-_PUNCT = {ord(c): " " for c in PUNCTUATION}
-_ALL = {**_PUNCT, **_FOLD, **_MARKS}
+_FOLD = Table({ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)})
+_PUNCT = Table({ord(c): " " for c in PUNCTUATION})
+_ALL = Table({**_PUNCT, **_FOLD, **_MARKS})
 _KEEP = re.compile(f"[^{DIACRITICS}]")
 MODES = ("raw", "normalized", "no_tashkeel", "tashkeel_only")
 

@@ -12,13 +12,16 @@ from warraq.functions import metrics as M
 PAIRS = ((1, 2), (1, 3), (2, 3))
 
 
-def pairwise(norm: DataFrame, annotators: tuple[str, str, str]) -> DataFrame:
-    """(page_id, cer_A1_A2, cer_A1_A3, cer_A2_A3, the same _norm, alpha) for pages of all three."""
+def pairwise(norm: DataFrame, annotators: tuple[str, str, str], aligned: bool = True) -> DataFrame:
+    """(page_id, cer_A1_A2, cer_A1_A3, cer_A2_A3, the same _norm[, alpha]) for pages of all three."""
     texts = {f"a{k}_{m}": F.max(F.when(F.col("system") == s, F.col(f"n_{m}"))) for k, s in enumerate(annotators, 1) for m in ("no_tashkeel", "normalized")}
     have = F.count_distinct("system").alias("_have")
     rows = norm.where(F.col("system").isin(list(annotators))).groupBy("page_id").agg(*[c.alias(k) for k, c in texts.items()], have).where("_have = 3")
     rates = [M.Rate(f"cer_A{x}_A{y}{end}", "cer", f"a{x}_{m}", f"a{y}_{m}") for m, end in (("no_tashkeel", ""), ("normalized", "_norm")) for x, y in PAIRS]
-    rows = M.score(rows, rates).withColumn("_alpha", align.alpha(F.array(*[F.col(f"a{k}_no_tashkeel") for k in (1, 2, 3)])))
+    rows = M.score(rows, rates)
+    if not aligned:
+        return rows.select("page_id", *[r.name for r in rates])
+    rows = rows.withColumn("_alpha", align.alpha(F.array(*[F.col(f"a{k}_no_tashkeel") for k in (1, 2, 3)])))
     return rows.select("page_id", *[r.name for r in rates], F.col("_alpha.alpha").alias("alpha"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.normalize import mode_columns, nfc, present
 from warraq.schema import SYSTEMS
+from warraq.session import small
 
 
 def latest(corpus: DataFrame) -> DataFrame:
@@ -44,19 +45,19 @@ def coverage(texts: DataFrame, systems: DataFrame, pages: DataFrame) -> DataFram
     """(system, pages, coverage) for every listed system, those without a page included."""
     n = texts.groupBy("system").agg(F.count("*").alias("pages"))
     total = pages.agg(F.countDistinct("page_id").alias("_total"))
-    out = systems.join(F.broadcast(n), "system", "left").crossJoin(F.broadcast(total))
+    out = systems.join(n, "system", "left").crossJoin(F.broadcast(total))
     return out.select("system", F.coalesce("pages", F.lit(0)).alias("pages"), (F.coalesce("pages", F.lit(0)) / F.greatest("_total", F.lit(1))).alias("coverage"))
 
 
 def missing(texts: DataFrame, systems: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, system) that were expected and not delivered."""
-    plan = pages.select("page_id").distinct().crossJoin(F.broadcast(systems.select("system")))
+    plan = pages.select("page_id").distinct().crossJoin(small(systems.select("system")))
     return plan.join(texts.select("page_id", "system"), ["page_id", "system"], "left_anti")
 
 
 def run_plan(pages: DataFrame, systems: DataFrame, variants: DataFrame, done: DataFrame) -> DataFrame:
     """(system, variant, n) still to run: the product of a list of pages with short lists, less what is there."""
-    plan = pages.select("n").where("n is not null").distinct().crossJoin(F.broadcast(systems.select("system"))).crossJoin(F.broadcast(variants.select("variant")))
+    plan = pages.select("n").where("n is not null").distinct().crossJoin(small(systems.select("system"))).crossJoin(small(variants.select("variant")))
     return plan.join(done.select("system", "variant", "n"), ["system", "variant", "n"], "left_anti")
 
 
@@ -85,9 +86,9 @@ def stratified_pick(labels: DataFrame, targets: DataFrame, seed: int) -> DataFra
     """
     import pandas as pd
 
-    largest = max([0, *(r["target"] for r in targets.collect())])
+    largest = targets.agg(F.max("target").alias("t")).first()["t"] or 0
     once = labels.where("difficulty is not null and page_id is not null").select("page_id", "difficulty").distinct()
-    keyed = once.join(F.broadcast(targets), "difficulty").withColumn("_h", F.md5(F.concat_ws(":", "page_id", F.lit(str(seed)))))
+    keyed = once.join(small(targets), "difficulty").withColumn("_h", F.md5(F.concat_ws(":", "page_id", F.lit(str(seed)))))
 
     def top(batches):
         best: dict[str, list] = {}

@@ -126,23 +126,26 @@ def q_run_plan(spark, d):
     return C.run_plan(read(spark, d, "manifest", "n"), done.select("system").distinct(), _names(spark, ("v1", "v2", "v3"), "variant"), done)
 
 
+def _templates(spark: SparkSession) -> DataFrame:
+    rows = [(source, t, i) for source, ts in S.TEMPLATES.items() for i, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "source string, template string, ord int")
+
+
 @query
 def q_file_names(spark, d):
     """Candidate file names of every page and source, best first."""
     from warraq.sources.files import candidates
 
-    t = spark.createDataFrame([("gt_muhammad", "image_{n}_GM.txt", 0), ("gt_hasan", "image_{n}_GH.txt", 0), ("kraken", "image_{n}_krkn.txt", 0)], "source string, template string, ord int")
-    return candidates(read(spark, d, "manifest", "n"), t)
+    return candidates(read(spark, d, "manifest", "n"), _templates(spark))
 
 
 @query
 def q_resolve_files(spark, d):
-    """The file that serves each page of three sources, found among the delivered paths."""
+    """The file that serves each page of each source, found among the delivered paths."""
     from warraq.sources.files import candidates, resolve
 
-    t = spark.createDataFrame([("gt_muhammad", "image_{n}_GM.txt", 0), ("kraken", "image_{n}_krkn.txt", 0), ("gemini_3_1_pro", "gmn_{n}.txt", 0)], "source string, template string, ord int")
     files = read(spark, d, "parallel_corpus", "source_path").where("source_path is not null").select(F.col("source_path").alias("path")).distinct()
-    return resolve(files, candidates(read(spark, d, "manifest", "n"), t))
+    return resolve(files, candidates(read(spark, d, "manifest", "n"), _templates(spark)))
 
 
 # --- normalisation ----------------------------------------------------------------
@@ -228,26 +231,57 @@ def q_per_page_metrics(spark, d):
 
 @query
 def q_disagreement_zones(spark, d):
-    return _rounded(evaluate.disagreement_zones(evaluate.references(C.normalized(_latest(spark, d), "no_tashkeel"))))
+    return _rounded(evaluate.disagreement_zones(evaluate.references(C.normalized(_latest(spark, d), "no_tashkeel")))).orderBy("page_id")
+
+
+@query
+def q_cer_all_rows(spark, d):
+    """Every delivery of a recognizer, repeated ones of the calibration page included, against the latest annotators' texts."""
+    from warraq.session import hot_keys, salted_join
+
+    rows = read(spark, d, "parallel_corpus", "row_id", "page_id", "system", "text").where(F.col("system").isin(list(S.SYSTEMS)))
+    rows = rows.select("row_id", "page_id", "system", N.preprocess(F.col("text"), "no_tashkeel").alias("h"))
+    refs = evaluate.references(C.normalized(_latest(spark, d), "no_tashkeel"))
+    x = spread(salted_join(rows, refs, "page_id", hot_keys(rows, "page_id"), "row_id", "inner"), "row_id")
+    x = M.score(x, [M.Rate("cer_vs_muhammad", "cer", "muhammad_no_tashkeel", "h"), M.Rate("cer_vs_hasan", "cer", "hasan_no_tashkeel", "h")])
+    return _rounded(x.select("row_id", "page_id", "system", "cer_vs_muhammad", "cer_vs_hasan", F.least("cer_vs_muhammad", "cer_vs_hasan").alias("cer_best")))
+
+
+def _evaluator_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each system's page beside either annotator's text, in the evaluator's form: (page_id, system, ref, r, t)."""
+    t = _latest(spark, d).select("page_id", "system", N.evaluator_normalize(F.col("text")).alias("t"))
+    name = F.create_map(*[F.lit(x) for r, s in S.REFERENCES.items() for x in (s, r)])
+    ref = t.where(F.col("system").isin(list(S.REFERENCES.values()))).select("page_id", name[F.col("system")].alias("ref"), F.col("t").alias("r"))
+    return spread(t.where(F.col("system").isin(list(S.SYSTEMS))).join(ref, "page_id"), "page_id", "system")
 
 
 @query
 def q_char_sdi(spark, d):
-    """Substitutions, deletions and insertions of each page against the first annotator, as the evaluator counts them."""
-    t = _latest(spark, d).select("page_id", "system", N.char_tokens(N.evaluator_normalize(F.col("text"))).alias("t"))
-    ref = t.where("system = 'gt_muhammad'").select("page_id", F.col("t").alias("r"))
-    x = spread(t.where(F.col("system").isin(list(S.SYSTEMS))).join(ref, "page_id"), "page_id", "system").withColumn("c", align.char_sdi("r", "t"))
+    """Substitutions, deletions and insertions of each page against either annotator, as the evaluator counts them."""
+    x = _evaluator_pairs(spark, d).select("page_id", "system", "ref", N.char_tokens(F.col("r")).alias("r"), N.char_tokens(F.col("t")).alias("t")).withColumn("c", align.char_sdi("r", "t"))
     errors = F.col("c.s") + F.col("c.d") + F.col("c.i")
-    return x.select("page_id", "system", errors.alias("errors"), (F.col("c.d") - F.col("c.i")).alias("deletions_less_insertions"), F.round(F.when(F.length("r") > 0, errors / F.length("r")).otherwise(0.0), 6).alias("cer"))
+    return x.select("page_id", "system", "ref", errors.alias("errors"), (F.col("c.d") - F.col("c.i")).alias("deletions_less_insertions"), F.round(F.when(F.length("r") > 0, errors / F.length("r")).otherwise(0.0), 6).alias("cer"))
 
 
 @query
 def q_word_sdi(spark, d):
-    t = _latest(spark, d).select("page_id", "system", N.evaluator_normalize(F.col("text")).alias("t"))
-    ref = t.where("system = 'gt_muhammad'").select("page_id", F.col("t").alias("r"))
-    x = spread(t.where(F.col("system").isin(list(S.SYSTEMS))).join(ref, "page_id"), "page_id", "system").withColumn("c", align.word_sdi("r", "t"))
+    x = _evaluator_pairs(spark, d).withColumn("c", align.word_sdi("r", "t"))
     n = F.size(N.word_tokens(F.col("r")))
-    return x.select("page_id", "system", F.col("c.s").alias("s"), F.col("c.d").alias("d"), F.col("c.i").alias("i"), F.round(F.when(n > 0, (F.col("c.s") + F.col("c.d") + F.col("c.i")) / n).otherwise(0.0), 6).alias("wer"))
+    return x.select("page_id", "system", "ref", F.col("c.s").alias("s"), F.col("c.d").alias("d"), F.col("c.i").alias("i"), F.round(F.when(n > 0, (F.col("c.s") + F.col("c.d") + F.col("c.i")) / n).otherwise(0.0), 6).alias("wer"))
+
+
+@query
+def q_word_errors(spark, d):
+    """The totals of q_word_sdi, which no tie between edit scripts changes."""
+    x = q_word_sdi(spark, d)
+    return x.select("page_id", "system", "ref", (F.col("s") + F.col("d") + F.col("i")).alias("errors"), (F.col("d") - F.col("i")).alias("deletions_less_insertions"), "wer")
+
+
+@query
+def q_edit_lists(spark, d):
+    """The characters that were substituted, deleted and inserted, with how often: (system, ref, op, a, b, n)."""
+    x = _evaluator_pairs(spark, d).select("system", "ref", F.explode(align.edit_ops(N.char_tokens(F.col("r")), N.char_tokens(F.col("t")))).alias("e"))
+    return x.groupBy("system", "ref", "e.op", "e.a", "e.b").agg(F.count("*").alias("n"))
 
 
 @query
@@ -265,6 +299,13 @@ def q_typology_counts(spark, d):
     return _rounded(evaluate.typology_counts(evaluate.typology(_pairs(spark, d, "normalized")), S.EDIT_CLASSES))
 
 
+@query
+def q_typology_totals(spark, d):
+    """Edits of all classes: however ties fall, as many as the distance."""
+    x = q_typology_counts(spark, d)
+    return x.select("system", "ref", "total_edits", sum((F.col(f"{k}_count") for k in S.EDIT_CLASSES), F.lit(0)).cast("long").alias("sum_of_classes"))
+
+
 @query
 def q_typology_raw(spark, d):
     """The same over raw texts, where all classes can occur."""
@@ -278,11 +319,11 @@ def q_typology_examples(spark, d):
 
 @query
 def q_report_md(spark, d):
-    t = _latest(spark, d).select("page_id", "system", N.evaluator_normalize(F.col("text")).alias("t"))
-    ref = t.where("system = 'gt_muhammad'").select("page_id", F.col("t").alias("r"))
-    x = spread(t.where("system = 'kraken'").join(ref, "page_id"), "page_id")
-    x = x.withColumn("c", align.char_sdi(N.char_tokens(F.col("r")), N.char_tokens(F.col("t")))).withColumn("w", align.word_sdi("r", "t"))
-    return x.select("page_id", sinks.report_text(F.col("page_id"), F.length(N.char_tokens(F.col("r"))), F.col("c"), F.size(N.word_tokens(F.col("r"))), F.col("w")).alias("report"))
+    """A markdown report of each system's page against the first annotator, with the edits listed."""
+    x = _evaluator_pairs(spark, d).where("ref = 'muhammad'")
+    x = x.withColumn("c", align.edit_ops(N.char_tokens(F.col("r")), N.char_tokens(F.col("t")))).withColumn("w", align.word_ops("r", "t"))
+    name = F.concat_ws(" ", "page_id", "system")
+    return x.select("page_id", "system", sinks.report_text(name, F.length(N.char_tokens(F.col("r"))), F.col("c"), F.size(N.word_tokens(F.col("r"))), F.col("w")).alias("report"))
 
 
 # --- summaries ----------------------------------------------------------------------
@@ -307,8 +348,8 @@ def q_summary_ci(spark, d):
 
 @query
 def q_summary_difficulty(spark, d):
-    rows = _cer(spark, d).join(_difficulty(spark, d), "page_id")
-    return _rounded(stats.summarize(rows, ["system", "ref", "difficulty"], ["cer_no_tashkeel"], _unit()))
+    rows = evaluate.per_page(_pairs(spark, d, *evaluate.MODES)).join(_difficulty(spark, d), "page_id")
+    return _rounded(stats.summarize(rows, ["system", "ref", "difficulty"], list(S.METRICS), _unit()))
 
 
 @query
@@ -329,10 +370,15 @@ def q_revision_stratified(spark, d):
 
 @query
 def q_outlier_sensitivity(spark, d):
-    rows = _cer(spark, d).where("ref = 'best'")
-    kept = F.when(~F.col("page_id").isin(list(S.OUTLIER_PAGES)), F.col("cer_no_tashkeel"))
-    both = rows.groupBy("system").agg(F.count(kept).alias("n_pages"), F.avg(kept).alias("mean_excl"), F.avg("cer_no_tashkeel").alias("mean"))
-    return _rounded(both.select("system", "n_pages", "mean_excl", (F.col("mean_excl") - F.col("mean")).alias("delta")))
+    """Means and intervals without the outlier pages, and how far the mean moves from that of all pages."""
+    metrics = list(S.OUTLIER_METRICS)
+    rows = _cer(spark, d, *metrics).where("ref = 'best'")
+    some = ~F.col("page_id").isin(list(S.OUTLIER_PAGES))
+    rows = rows.select("page_id", "system", *metrics, F.explode(F.array_compact(F.array(F.lit("all"), F.when(some, "excl")))).alias("pages"))
+    s = stats.summarize(rows, ["system", "pages"], metrics, _unit())
+    at = lambda pages, c: F.max(F.when(F.col("pages") == pages, F.col(c)))
+    out = s.groupBy("system", "metric").agg(at("excl", "n_pages").alias("n_pages"), at("excl", "mean").alias("mean_excl"), at("excl", "ci_lo").alias("ci_lo_excl"), at("excl", "ci_hi").alias("ci_hi_excl"), (at("excl", "mean") - at("all", "mean")).alias("delta"))
+    return _rounded(out)
 
 
 @query
@@ -369,6 +415,13 @@ def q_iaa_summary(spark, d):
     return _rounded(stats.widen(stats.summarize(rows, ["comparison"], list(S.METRICS), _unit()), ["comparison"], S.METRICS))
 
 
+@query
+def q_iaa_by_difficulty(spark, d):
+    """Mean disagreement of the two annotators by difficulty; pages without a label are a group of their own."""
+    rows = _iaa(spark, d, "cer_no_tashkeel").join(_difficulty(spark, d), "page_id", "left")
+    return _rounded(rows.groupBy("difficulty").agg(F.count("*").alias("n_pages"), F.avg("cer_no_tashkeel").alias("mean")))
+
+
 @query
 def q_prompt_ablation(spark, d):
     """Error rates of the distinct ablation outputs against both annotators; empty outputs are skipped."""
@@ -392,7 +445,7 @@ def q_prompt_ablation_summary(spark, d):
 def q_wilcoxon(spark, d):
     rows = _cer(spark, d).where("ref = 'best'")
     tests = stats.wilcoxon(stats.system_pairs(rows, "cer_no_tashkeel", list(S.SYSTEMS)), ["system_a", "system_b", "ord"])
-    return _rounded(stats.holm(tests, ["ord"]).drop("ord"))
+    return _rounded(stats.holm(tests, ["ord"])).orderBy("p_value", "ord").drop("ord")
 
 
 @query
@@ -408,7 +461,14 @@ def q_wilcoxon_stat(spark, d):
 @query
 def q_third_annotator(spark, d):
     norm = C.normalized(_latest(spark, d), "no_tashkeel", "normalized")
-    return _rounded(agreement.pairwise(norm, ("gt_muhammad", "gt_hasan", S.THIRD_ANNOTATOR)))
+    return _rounded(agreement.pairwise(norm, ("gt_muhammad", "gt_hasan", S.THIRD_ANNOTATOR), aligned=False))
+
+
+@query
+def q_aligned_alpha(spark, d):
+    """(page_id, alpha): the coefficient over characters aligned with the longest of three annotators' texts."""
+    norm = C.normalized(_latest(spark, d), "no_tashkeel", "normalized")
+    return _rounded(agreement.pairwise(norm, ("gt_muhammad", "gt_hasan", S.THIRD_ANNOTATOR)).select("page_id", "alpha"))
 
 
 @query
@@ -476,6 +536,31 @@ def q_box_by_reference(spark, d):
     return _rounded(stats.box_stats(_cer(spark, d).where("ref != 'best'"), ["system", "ref"], "cer_no_tashkeel"))
 
 
+@query
+def q_box_metrics(spark, d):
+    """Boxes of three error rates by system, with the mean disagreement of the annotators as a line."""
+    rows = _cer(spark, d, *S.BOX_METRICS).where("ref = 'best'")
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in S.BOX_METRICS])).alias("m")
+    boxes = stats.box_stats(rows.select("system", one).select("system", "m.*"), ["metric", "system"], "v")
+    line = _iaa(spark, d, *S.BOX_METRICS).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in S.BOX_METRICS])).alias("m")).groupBy("m.metric").agg(F.avg("m.v").alias("iaa_mean"))
+    return _rounded(boxes.join(line, "metric", "left"))
+
+
+@query
+def q_ranking(spark, d):
+    """Systems from the least mean error on, as the console summary lists them."""
+    rows = _cer(spark, d, "cer_no_tashkeel", "wer_no_tashkeel").where("ref = 'best'")
+    out = rows.groupBy("system").agg(F.count("*").alias("n_pages"), F.avg("cer_no_tashkeel").alias("cer_mean"), F.avg("wer_no_tashkeel").alias("wer_mean"))
+    return _rounded(out.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("cer_mean", "system")))).orderBy("place")
+
+
+@query
+def q_norm_ta_marbuta(spark, d):
+    """Letter folding with the option that folds ta marbuta, too."""
+    t = read(spark, d, "parallel_corpus", "row_id", "text")
+    return t.select("row_id", N.fold_letters(N.raw(N.nfc(N.present(F.col("text")))), ta_marbuta=True).alias("text"))
+
+
 @query
 def q_median_order(spark, d):
     rows = _cer(spark, d).where("ref = 'best'").groupBy("system").agg(F.percentile("cer_no_tashkeel", F.lit(0.5)).alias("median"))

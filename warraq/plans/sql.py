@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from warraq import schema as S
 from warraq.functions.normalize import EVALUATOR_DELETE, EVALUATOR_FOLD
-from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, PUNCTUATION, TATWEEL
+from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, HEH, PUNCTUATION, TA_MARBUTA, TATWEEL
 from warraq.operators.stats import POISSON
 
 _SP = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -144,12 +144,12 @@ _TWO = ("cer_no_tashkeel", "cer_normalized")
 _TWO_PAGES = _pairs({"cer_no_tashkeel": _cer("no_tashkeel"), "cer_normalized": _cer("normalized")})
 
 
-def _names(templates: dict[str, str]) -> str:
+def _names() -> str:
     """CTE ``names``: candidate file names with their place in line."""
-    t = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in templates.items())
-    return f"""tpl(source, tpl) AS (VALUES {t}), pages AS (SELECT DISTINCT n FROM manifest),
-forms AS (SELECT n, source, tpl, k, replace(tpl, '{{n}}', CASE k WHEN 0 THEN n::VARCHAR WHEN 1 THEN printf('%02d', n) ELSE printf('%03d', n) END) AS name FROM pages, tpl, range(3) r(k)),
-names AS (SELECT n, source, name, (row_number() OVER (PARTITION BY n, source ORDER BY min(k)) - 1)::INT AS priority FROM forms GROUP BY n, source, name)"""
+    t = ", ".join(f"({_q(a)}, {_q(t)}, {i})" for a, ts in S.TEMPLATES.items() for i, t in enumerate(ts))
+    return f"""tpl(source, tpl, ord) AS (VALUES {t}), pages AS (SELECT DISTINCT n FROM manifest),
+forms AS (SELECT n, source, ord, k, nfc_normalize(replace(replace(tpl, '{{n_variants}}', v), '{{n}}', v)) AS name FROM (SELECT *, CASE k WHEN 0 THEN n::VARCHAR WHEN 1 THEN printf('%02d', n) ELSE printf('%03d', n) END AS v FROM pages, tpl, range(3) r(k))),
+names AS (SELECT n, source, name, (ord * 10 + row_number() OVER (PARTITION BY n, source, ord ORDER BY min(k)) - 1)::INT AS priority FROM forms GROUP BY n, source, ord, name)"""
 
 
 _MARK = _q(S.MARKER)
@@ -179,8 +179,9 @@ rk AS (SELECT system_a, system_b, d, rank() OVER (PARTITION BY system_a, system_
 
 _EXPECTED = (*S.SYSTEMS, *S.REFERENCES.values())
 
-_FILES = {"gt_muhammad": "image_{n}_GM.txt", "gt_hasan": "image_{n}_GH.txt", "kraken": "image_{n}_krkn.txt"}
-_SERVED = {"gt_muhammad": "image_{n}_GM.txt", "kraken": "image_{n}_krkn.txt", "gemini_3_1_pro": "gmn_{n}.txt"}
+_WORD_COUNT = lambda t: f"len(list_filter(string_split({t}, ' '), lambda w: w <> ''))"
+_EVAL = f"""WITH {_LATEST}, t AS MATERIALIZED (SELECT page_id, system, {_evaluator('text')} AS t FROM latest),
+ev AS MATERIALIZED (SELECT h.page_id, h.system, CASE r.system WHEN 'gt_muhammad' THEN 'muhammad' ELSE 'hasan' END AS ref, r.t AS r, h.t AS h FROM t h JOIN t r ON r.page_id = h.page_id AND r.system IN ({_list(S.REFERENCES.values())}) WHERE h.system IN ({_SYSTEMS}))"""
 
 ORACLE: dict[str, str] = {
     "q_corpus_long": f"WITH {_LATEST} SELECT page_id, system, coalesce(length(text), 0)::INT AS n_chars, md5(coalesce(text, '')) AS digest FROM latest",
@@ -206,13 +207,18 @@ ORACLE: dict[str, str] = {
     "q_disagreement_zones": f"""WITH {_NORM}, z AS (SELECT m.page_id, m.no_tashkeel AS a, h.no_tashkeel AS b FROM norm m JOIN norm h USING (page_id) WHERE m.system = 'gt_muhammad' AND h.system = 'gt_hasan'),
 x AS (SELECT page_id, length(a)::INT AS m_len_no_tashkeel, length(b)::INT AS h_len_no_tashkeel, {_chars('a', 'b')}::INT AS edit_distance_m_h FROM z)
 SELECT *, round(edit_distance_m_h / greatest(m_len_no_tashkeel, h_len_no_tashkeel, 1), 6) AS char_disagreement_rate FROM x""",
-    "q_char_sdi": f"""WITH {_LATEST}, t AS MATERIALIZED (SELECT page_id, system, {_bare(_evaluator('text'))} AS t FROM latest),
-x AS (SELECT h.page_id, h.system, r.t AS r, h.t AS h, {_chars('r.t', 'h.t')} AS errors FROM t h JOIN t r ON r.page_id = h.page_id AND r.system = 'gt_muhammad' WHERE h.system IN ({_SYSTEMS}))
-SELECT page_id, system, errors::INT AS errors, (length(r) - length(h))::INT AS deletions_less_insertions, round(CASE WHEN length(r) > 0 THEN errors / length(r) ELSE 0.0 END, 6) AS cer FROM x""",
+    "q_char_sdi": f"""{_EVAL}, x AS (SELECT page_id, system, ref, {_bare('r')} AS r, {_bare('h')} AS h FROM ev), y AS (SELECT *, {_chars('r', 'h')} AS errors FROM x)
+SELECT page_id, system, ref, errors::INT AS errors, (length(r) - length(h))::INT AS deletions_less_insertions, round(CASE WHEN length(r) > 0 THEN errors / length(r) ELSE 0.0 END, 6) AS cer FROM y""",
+    "q_word_errors": f"""{_EVAL}, y AS (SELECT *, {_words('r', 'h')} AS errors, {_WORD_COUNT('r')} AS nr, {_WORD_COUNT('h')} AS nh FROM ev)
+SELECT page_id, system, ref, errors::INT AS errors, (nr - nh)::INT AS deletions_less_insertions, round(CASE WHEN nr > 0 THEN errors / nr ELSE 0.0 END, 6) AS wer FROM y""",
+    "q_cer_all_rows": f"""WITH {_NORM}, h AS (SELECT row_id, page_id, system, {_no_tashkeel(_normalized(_raw('text')))} AS h FROM parallel_corpus WHERE system IN ({_SYSTEMS}) AND page_id IS NOT NULL),
+x AS MATERIALIZED (SELECT h.row_id, h.page_id, h.system, replace(h.h, ' ', '') AS h, replace(m.no_tashkeel, ' ', '') AS m, replace(g.no_tashkeel, ' ', '') AS g FROM h JOIN norm m ON m.page_id = h.page_id AND m.system = 'gt_muhammad' JOIN norm g ON g.page_id = h.page_id AND g.system = 'gt_hasan'),
+y AS (SELECT row_id, page_id, system, {_chars('m', 'h')} / greatest(length(m), 1) AS a, {_chars('g', 'h')} / greatest(length(g), 1) AS b FROM x)
+SELECT row_id, page_id, system, round(a, 6) AS cer_vs_muhammad, round(b, 6) AS cer_vs_hasan, round(least(a, b), 6) AS cer_best FROM y""",
+    "q_typology_totals": _pairs({"e": _chars("r_normalized", "h_normalized")}) + " SELECT system, ref, greatest(sum(e), 1)::BIGINT AS total_edits, sum(e)::BIGINT AS sum_of_classes FROM one GROUP BY 1, 2",
+    "q_norm_ta_marbuta": f"SELECT row_id, {_translate(_raw('text'), FOLD_FROM + TA_MARBUTA, FOLD_TO + HEH)} AS text FROM parallel_corpus",
     "q_summary_ci": f"{_ONE}, rows AS (SELECT system, ref, {_NUM} AS u, cer_no_tashkeel AS v FROM scored), " + _summary("rows", ["system", "ref"], "cer_no_tashkeel"),
-    "q_summary_difficulty": f"{_ONE}, lab AS ({_LABEL}), rows AS (SELECT system, ref, difficulty, {_NUM} AS u, cer_no_tashkeel AS v FROM scored JOIN lab USING (page_id)), " + _summary("rows", ["system", "ref", "difficulty"], "cer_no_tashkeel"),
     "q_subset_means": f"{_ONE}, sub AS ({_SUBSET}), j AS (SELECT * FROM scored LEFT JOIN sub USING (page_id)), g AS (SELECT system, ref, subset, grouping(subset) AS al, count(*) AS n_pages, avg(cer_no_tashkeel) AS mean FROM j GROUP BY GROUPING SETS ((system, ref, subset), (system, ref))) SELECT system, ref, CASE WHEN al = 1 THEN 'all' ELSE subset END AS subset, n_pages, round(mean, 6) AS mean FROM g WHERE al = 1 OR subset IS NOT NULL",
-    "q_outlier_sensitivity": f"{_BEST} SELECT system, count(*) FILTER (page_id NOT IN ({_list(S.OUTLIER_PAGES)})) AS n_pages, round(avg(v) FILTER (page_id NOT IN ({_list(S.OUTLIER_PAGES)})), 6) AS mean_excl, round(avg(v) FILTER (page_id NOT IN ({_list(S.OUTLIER_PAGES)})) - avg(v), 6) AS delta FROM best GROUP BY 1",
     "q_error_bars": f"{_BEST}, rows AS (SELECT system, {_NUM} AS u, v FROM best), {_bootstrap('rows', ['system'])} SELECT system, round(mean, 6) AS mean, round(mean - ci_lo, 6) AS below, round(ci_hi - mean, 6) AS above FROM mean JOIN ci USING (system)",
     "q_wilcoxon_stat": f"{_PAIR_D} SELECT system_a, system_b, count(*) AS n_pairs, round(avg(d), 6) AS mean_diff, round(least(sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END), sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END)), 6) AS wilcoxon_stat FROM rk GROUP BY 1, 2 HAVING count(*) >= 5",
     "q_heatmap": f"{_BEST} SELECT page_id, {', '.join(f'round(max(v) FILTER (system = {_q(s)}), 6) AS {s}' for s in S.SYSTEMS)} FROM best GROUP BY 1",
@@ -238,8 +244,8 @@ k AS (SELECT page_id, i, c, m, count(*) AS k FROM c GROUP BY ALL),
 o AS (SELECT page_id, sum(k * (k - 1) / (m - 1)) AS agree, sum(k) AS n FROM k GROUP BY 1),
 e AS (SELECT page_id, sum(k * (k - 1)) AS chance FROM (SELECT page_id, c, sum(k) AS k FROM k GROUP BY 1, 2) GROUP BY 1)
 SELECT page_id, round(CASE WHEN n <> chance / (n - 1) THEN 1 - (n - agree) / (n - chance / (n - 1)) END, 6) AS alpha FROM o JOIN e USING (page_id)""",
-    "q_file_names": f"WITH {_names(_FILES)} SELECT n, source, name, priority FROM names",
-    "q_resolve_files": f"WITH {_names(_SERVED)}, files AS (SELECT DISTINCT source_path AS path, nfc_normalize(regexp_extract(source_path, '[^/]+$')) AS name FROM parallel_corpus WHERE source_path IS NOT NULL) SELECT n, source, name, path FROM names JOIN files USING (name) QUALIFY row_number() OVER (PARTITION BY n, source ORDER BY priority, path) = 1",
+    "q_file_names": f"WITH {_names()} SELECT n, source, name, priority FROM names",
+    "q_resolve_files": f"WITH {_names()}, files AS (SELECT DISTINCT source_path AS path, nfc_normalize(regexp_extract(source_path, '[^/]+$')) AS name FROM parallel_corpus WHERE source_path IS NOT NULL) SELECT n, source, name, path FROM names JOIN files USING (name) QUALIFY row_number() OVER (PARTITION BY n, source ORDER BY priority, path) = 1",
     "q_summary_wide": f"{_TWO_PAGES}, rows AS ({_long('scored', 'system, ref', _TWO)}), {_bootstrap('rows', ['system', 'ref', 'metric'])}, j AS (SELECT * FROM mean JOIN ci USING (system, ref, metric)) SELECT system, ref, max(n_pages) AS n_pages, " + ", ".join(f"round(max(CASE WHEN metric = '{m}' THEN {c} END), 6) AS {m}_{c}" for m in _TWO for c in ("mean", "ci_lo", "ci_hi")) + " FROM j GROUP BY 1, 2",
     "q_revision_stratified": f"{_TWO_PAGES}, sub AS ({_SUBSET}), j AS (SELECT s.*, subset FROM scored s JOIN sub USING (page_id) UNION ALL SELECT *, 'all' FROM scored), rows AS ({_long('j', 'system, ref, subset', _TWO)}), " + _summary_long(["system", "ref", "subset"]),
 }
@@ -275,3 +281,43 @@ ORACLE["q_per_page_metrics"] = f"{_ALL} SELECT page_id, system, ref, {', '.join(
 ORACLE["q_summary_per_system"] = f"{_ALL}, rows AS ({_long('al', 'system, ref', S.METRICS)}), " + _summary_long(["system", "ref"])
 ORACLE["q_chrf_bleu"] = f"{_NGRAMS} SELECT page_id, system, ref, round(chrf, 6) AS chrf_no_tashkeel, round(bleu, 6) AS bleu_no_tashkeel FROM fb"
 ORACLE["q_chrf_against_bleu"] = f"{_NGRAMS} SELECT system, page_id, round(chrf, 6) AS chrf_no_tashkeel, round(bleu, 6) AS bleu_no_tashkeel FROM fb WHERE ref = 'best'"
+ORACLE["q_summary_difficulty"] = f"{_ALL}, lab AS ({_LABEL}), j AS (SELECT * FROM al JOIN lab USING (page_id)), rows AS ({_long('j', 'system, ref, difficulty', S.METRICS)}), " + _summary_long(["system", "ref", "difficulty"])
+_OUT = _list(S.OUTLIER_PAGES)
+ORACLE["q_outlier_sensitivity"] = (
+    _pairs({"cer_no_tashkeel": _cer("no_tashkeel"), "cer_normalized": _cer("normalized"), "wer_no_tashkeel": _wer("no_tashkeel")})
+    + f", b AS (SELECT * FROM scored WHERE ref = 'best'), j AS (SELECT *, 'all' AS pages FROM b UNION ALL SELECT *, 'excl' FROM b WHERE page_id NOT IN ({_OUT})), rows AS ({_long('j', 'system, pages', S.OUTLIER_METRICS)}), "
+    + _bootstrap("rows", ["system", "pages", "metric"])
+    + ", s AS (SELECT * FROM mean JOIN ci USING (system, pages, metric)) SELECT x.system, x.metric, x.n_pages, round(x.mean, 6) AS mean_excl, round(x.ci_lo, 6) AS ci_lo_excl, round(x.ci_hi, 6) AS ci_hi_excl, round(x.mean - y.mean, 6) AS delta FROM s x JOIN s y ON x.system = y.system AND x.metric = y.metric WHERE x.pages = 'excl' AND y.pages = 'all'"
+)
+# the second annotator as hypothesis against the first
+_IAA = f"""WITH {_NORM}, p AS MATERIALIZED (SELECT r.page_id, 'gt_hasan' AS system, 'muhammad' AS ref, r.raw AS r_raw, r.normalized AS r_normalized, r.no_tashkeel AS r_no_tashkeel, r.marks AS r_marks, h.raw AS h_raw, h.normalized AS h_normalized, h.no_tashkeel AS h_no_tashkeel, h.marks AS h_marks FROM norm r JOIN norm h USING (page_id) WHERE r.system = 'gt_muhammad' AND h.system = 'gt_hasan'),
+scored AS MATERIALIZED (SELECT page_id, system, ref, {', '.join(f'{v} AS {k}' for k, v in _SIX.items())} FROM p)"""
+_IAA_ALL = _IAA + _NGRAM_STEPS + ", al AS MATERIALIZED (SELECT s.*, chrf AS chrf_no_tashkeel, bleu AS bleu_no_tashkeel FROM scored s JOIN f USING (page_id, system, ref))"
+ORACLE["q_iaa_per_page"] = f"{_IAA_ALL} SELECT page_id, {', '.join(f'round({m}, 6) AS {m}' for m in S.METRICS)} FROM al"
+ORACLE["q_iaa_summary"] = (
+    f"{_IAA_ALL}, c AS (SELECT *, 'hasan_vs_muhammad' AS comparison FROM al), rows AS ({_long('c', 'comparison', S.METRICS)}), {_bootstrap('rows', ['comparison', 'metric'])}, j AS (SELECT * FROM mean JOIN ci USING (comparison, metric)) SELECT comparison, max(n_pages) AS n_pages, "
+    + ", ".join(f"round(max(CASE WHEN metric = '{m}' THEN {c} END), 6) AS {m}_{c}" for m in S.METRICS for c in ("mean", "ci_lo", "ci_hi"))
+    + " FROM j GROUP BY 1"
+)
+ORACLE["q_iaa_by_difficulty"] = f"{_IAA}, lab AS ({_LABEL}) SELECT difficulty, count(*) AS n_pages, round(avg(cer_no_tashkeel), 6) AS mean FROM scored LEFT JOIN lab USING (page_id) GROUP BY 1"
+ORACLE["q_ranking"] = _pairs({"cer_no_tashkeel": _cer("no_tashkeel"), "wer_no_tashkeel": _wer("no_tashkeel")}) + ", m AS (SELECT system, count(*) AS n_pages, avg(cer_no_tashkeel) AS c, avg(wer_no_tashkeel) AS w FROM scored WHERE ref = 'best' GROUP BY 1) SELECT system, n_pages, round(c, 6) AS cer_mean, round(w, 6) AS wer_mean, row_number() OVER (ORDER BY c, system)::INT AS place FROM m"
+_BOX = {m: _cer(m.split("_", 1)[1]) if m.startswith("cer") else _DER for m in S.BOX_METRICS}
+ORACLE["q_box_metrics"] = (
+    _pairs(_BOX)
+    + ", b AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, system, {m} AS v FROM scored WHERE ref = 'best' AND {m} IS NOT NULL" for m in S.BOX_METRICS) + "), q AS (SELECT metric, system, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM b GROUP BY 1, 2),"
+    + f" i AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _BOX.items())} FROM (SELECT r.page_id, r.normalized AS r_normalized, r.no_tashkeel AS r_no_tashkeel, r.marks AS r_marks, h.normalized AS h_normalized, h.no_tashkeel AS h_no_tashkeel, h.marks AS h_marks FROM norm r JOIN norm h USING (page_id) WHERE r.system = 'gt_muhammad' AND h.system = 'gt_hasan')),"
+    + " il AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, avg({m}) AS iaa_mean FROM i" for m in S.BOX_METRICS) + ") SELECT metric, system, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(v), 6) AS whisker_lo, round(max(v), 6) AS whisker_hi, round(max(iaa_mean), 6) AS iaa_mean FROM q JOIN b USING (metric, system) LEFT JOIN il USING (metric) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY metric, system, q1, median, q3"
+)
+# p-values by the normal approximation (groups here have more than 50 pairs); the complementary error function from the series of erf
+_ERFC = "CASE WHEN z > 6 THEN 0.0 WHEN z = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 200), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(z) + lgamma(k + 1) - lgamma(2 * k + 2)))) END"
+ORACLE["q_wilcoxon"] = f"""{_PAIR_D}, t AS (SELECT system_a, system_b, sum(c * c * c - c) AS ties FROM (SELECT system_a, system_b, abs(d) AS s, count(*)::DOUBLE AS c FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT system_a, system_b, count(*)::DOUBLE AS n, avg(d) AS mean_diff, least(sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END), sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END)) AS stat FROM rk GROUP BY 1, 2 HAVING count(*) >= 5),
+v AS (SELECT *, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 AS var FROM w JOIN t USING (system_a, system_b)),
+z AS (SELECT *, CASE WHEN var > 0 THEN abs(stat - n * (n + 1) / 4) / sqrt(var) / sqrt(2) ELSE 0 END AS z FROM v),
+pv AS (SELECT z.*, oa.o * 100 + ob.o AS o, {_ERFC} AS p FROM z JOIN ord oa ON oa.system = system_a JOIN ord ob ON ob.system = system_b)
+SELECT system_a, system_b, n::BIGINT AS n_pairs, round(mean_diff, 6) AS mean_diff, round(stat, 6) AS wilcoxon_stat, round(p, 6) AS p_value, round(least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, o) + 1)), 6) AS p_holm FROM pv"""
+_THREE = f"""WITH {_NORM}, tri AS MATERIALIZED (SELECT a.page_id, {', '.join(f"{_bare(f'{x}.{m}')} AS {x}_{m}" for x in 'abc' for m in ('no_tashkeel', 'normalized'))} FROM norm a JOIN norm b USING (page_id) JOIN norm c USING (page_id) WHERE a.system = 'gt_muhammad' AND b.system = 'gt_hasan' AND c.system = {_q(S.THIRD_ANNOTATOR)}),
+thr AS MATERIALIZED (SELECT page_id, {', '.join(f"{_chars(f'{x}_{m}', f'{y}_{m}')} / greatest(length({x}_{m}), 1) AS cer_A{i}_A{j}{end}" for end, m in (('', 'no_tashkeel'), ('_norm', 'normalized')) for i, j, x, y in ((1, 2, 'a', 'b'), (1, 3, 'a', 'c'), (2, 3, 'b', 'c')))} FROM tri)"""
+_THREE_NAMES = [f"cer_A{i}_A{j}{end}" for end in ("", "_norm") for i, j in ((1, 2), (1, 3), (2, 3))]
+ORACLE["q_third_annotator"] = f"{_THREE} SELECT page_id, {', '.join(f'round({c}, 6) AS {c}' for c in _THREE_NAMES)} FROM thr"
+ORACLE["q_third_annotator_means"] = f"{_THREE} SELECT count(*) AS pages, {', '.join(f'round(avg(round({c}, 6)), 6) AS {c}_mean' for c in _THREE_NAMES)} FROM thr"

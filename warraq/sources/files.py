@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from warraq.functions.normalize import nfc
 from warraq.operators.corpus import variant_names
+from warraq.session import small
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt", strict: bool = False) -> DataFrame:
@@ -17,6 +18,17 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.txt", strict: bool
     return files.select("path", file_name(F.col("path")).alias("name"), F.regexp_replace(text, "\r\n?", "\n").alias("text"))
 
 
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(system, variant, n, path, text) of a tree <system>/<variant>/image_<n>.txt; other files are passed over.
+
+    ``path`` sorts as the files do by name (image_1, image_10, image_2).
+    """
+    files = read_texts(spark, path, "image_*.txt")
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/image_(\d+)\.txt$", i)
+    out = files.select(part(1).alias("system"), part(2).alias("variant"), part(3).try_cast("int").alias("n"), "path", "text")
+    return out.where("n is not null").withColumns({"system": F.try_url_decode("system"), "variant": F.try_url_decode("variant")})
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
 
@@ -38,7 +50,7 @@ def candidates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``templates`` holds (source, template, ord), a handful of rows.
     """
-    names = pages.select("n").distinct().crossJoin(F.broadcast(templates)).select("n", "source", "ord", F.posexplode(variant_names(F.col("template"), F.col("n"))).alias("v", "name"))
+    names = pages.select("n").distinct().crossJoin(small(templates)).select("n", "source", "ord", F.posexplode(variant_names(F.col("template"), F.col("n"))).alias("v", "name"))
     return names.select("n", "source", nfc("name").alias("name"), (F.col("ord") * 10 + F.col("v")).alias("priority"))
 
 
