@@ -109,14 +109,13 @@ def _guess(empty: bool, words: int, p: float) -> float:
 def posterior(pattern: Pattern, params: Params) -> list[float]:
     """Probability of each candidate value being the true one."""
     words = sum(not e for e, _ in pattern)
-    logs = []
-    for t in range(len(pattern)):
+    logs = []  # of each value's odds against all labels being guesses: one pass over the votes
+    for empty, votes in pattern:
         s = 0.0
-        for v, (empty, votes) in enumerate(pattern):
-            for a, n in votes:
-                c, p = params.get(a, (START_COMPETENCE, 0.5))
-                g = (1 - c) * _guess(empty, words, p)
-                s += n * math.log(c + g if v == t else g)
+        for a, n in votes:
+            c, p = params.get(a, (START_COMPETENCE, 0.5))
+            g = (1 - c) * _guess(empty, words, p)
+            s += n * math.log((c + g) / g)
         logs.append(s)
     top = max(logs)
     q = [math.exp(x - top) for x in logs]

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from warraq.functions.pytext import Table
+
 #: Encodings that a text may have been read with, and those it may have been written in.
 READ_AS = ("cp1252", "cp1256", "mac_roman", "cp437", "cp850", "cp1254", "cp1251", "cp720")
 WRITTEN_IN = ("utf-8", "cp1256", "iso8859_6", "cp1254", "mac_arabic", "cp720")
@@ -72,7 +74,7 @@ def _bytes_of(name: str) -> dict[int, str]:
     return table
 
 
-_ENCODE = {name: _bytes_of(name) for name in READ_AS}
+_ENCODE = {name: Table(_bytes_of(name)) for name in READ_AS}
 CHAINS = [(w, t) for w in READ_AS for t in WRITTEN_IN if w != t]
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, PUNCTUATION, TATWEEL
+from warraq.functions.pytext import DIACRITICS, FOLD_FROM, FOLD_TO, PUNCTUATION, TATWEEL, Table
 from warraq.llm import mojibake
 from warraq.llm.chains import forward_backward
 from warraq.llm.homoglyph import Form
@@ -42,8 +42,8 @@ FIRST_SYMBOL = 0x100
 STOP, SHORT, GAP = 1, 2, 4
 
 _MARKS = re.compile("[ـً-ٰٟ]+")
-_SKELETON = {**{ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)}, **{ord(c): None for c in DIACRITICS + TATWEEL}}
-_WORDS = {**{ord(c): " " for c in PUNCTUATION}, **_SKELETON}
+_SKELETON = Table({**{ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)}, **{ord(c): None for c in DIACRITICS + TATWEEL}})
+_WORDS = Table({**{ord(c): " " for c in PUNCTUATION}, **_SKELETON})
 _LETTER = "ء-غف-ي"
 _HAS_ARABIC = re.compile(f"[{_LETTER}]")
 _FOREIGN = re.compile(f"[^{_LETTER}]")
