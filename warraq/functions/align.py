@@ -56,18 +56,18 @@ def edit_script(a: Sequence, b: Sequence) -> list[tuple[str, int, int]]:
         columns, state = _columns(where, len(x), y[at : at + block], state)
         states.append(state)
     held = max(0, len(states) - 2)
+    low, (down, right) = held * block, columns
     out = [("equal", len(a) - k, len(b) - k) for k in range(1, end + 1)]
     while i or j:
-        if j and (j - 1) // block != held:
-            held = (j - 1) // block
-            columns, _ = _columns(where, len(x), y[held * block : (held + 1) * block], states[held])
-        down, right = columns
-        k = j - 1 - held * block if j else 0
+        if j and j <= low:
+            held -= 1
+            low = held * block
+            (down, right), _ = _columns(where, len(x), y[low : low + block], states[held])
         if i and j and x[i - 1] == y[j - 1]:
             i, j, op = i - 1, j - 1, "equal"
-        elif i and (not j or down[k] >> (i - 1) & 1):
+        elif i and (not j or down[j - 1 - low] >> (i - 1) & 1):
             i, op = i - 1, "delete"
-        elif j and (not i or right[k] >> (i - 1) & 1):
+        elif j and (not i or right[j - 1 - low] >> (i - 1) & 1):
             j, op = j - 1, "insert"
         else:
             i, j, op = i - 1, j - 1, "replace"
