@@ -211,16 +211,22 @@ def joined_word(first: str, second: str, page: Page) -> str | None:
 # --- lines -------------------------------------------------------------------
 
 
-def _symbol(shape: str, place: str, share: float | None) -> str:
-    """One letter for the layout of a line: shape, share of known words, place."""
+def _symbol(shape: str, place: str, share: float | None, flaw: int = 0) -> str:
+    """One letter for the features of a line: shape, share of known words, place, and flaws (1 a word broken at its end or start, 2 a misread character)."""
     know = 0 if share is None else 1 if share <= 0.34 else 2 if share <= 0.6 else 3
-    return chr(FIRST_SYMBOL + ("ndt".index(shape) * 4 + know) * 4 + "fsil".index(place))
+    return chr(FIRST_SYMBOL + (("ndt".index(shape) * 4 + know) * 4 + "fsil".index(place)) * 4 + flaw)
+
+
+def _features(symbol: str) -> tuple[str, int, str, int]:
+    """Shape, share of known words, place and flaws of a symbol."""
+    code = ord(symbol) - FIRST_SYMBOL
+    return "ndt"[code // 64], code // 16 % 4, "fsil"[code // 4 % 4], code % 4
 
 
 def sure(symbol: str) -> bool:
     """The annotators wrote the line too, which makes it text by definition."""
-    code = ord(symbol) - FIRST_SYMBOL
-    return code >= 16 and code // 4 % 4 == 3
+    shape, know, _, _ = _features(symbol)
+    return shape != "n" and know == 3
 
 
 def uncertain_part(symbols: str, bins: list[str]) -> tuple[str, list[str], list[int]]:
@@ -252,6 +258,7 @@ def read_lines(text: str, page: Page, left: frozenset[str] = frozenset()) -> tup
     known = [sum(map(page.knows, w)) for w in kept]
     # Words broken over a line end; both parts count as known, as the annotators wrote the whole.
     joins: list[str | None] = [None] * len(lines)
+    second: set[int] = set()
     real = [i for i, w in enumerate(kept) if w and not folios[i] and lines[i] not in left and (known[i] > 0.3 * len(w) or len(w) == 1)]
     for i, j in zip(real, real[1:]):
         a, b = bones[i].split(), bones[j].split()
@@ -273,7 +280,6 @@ def read_lines(text: str, page: Page, left: frozenset[str] = frozenset()) -> tup
             continue
         if folio and (_key(line) in page.folios or numbered and not words[i] and place == "i"):
             share, folio = 1.0, False
-        symbols.append(_symbol("n" if folio else "d" if digits[i] else "t", place, share))
         odd = share is not None and share <= 0.6 and not folio
         bins.append([zlib.crc32(x.encode()) % WORD_BINS for x in kept[i]] if odd else [])
         misread = {}
@@ -285,6 +291,8 @@ def read_lines(text: str, page: Page, left: frozenset[str] = frozenset()) -> tup
                 hit = misread_in(m.group(), page)
                 if hit is not None:
                     misread[next((x for x in bodies[i].split() if skeleton(x) == m.group()), m.group())] = hit
+        broken = joins[i] is not None or i in second
+        symbols.append(_symbol("n" if folio else "d" if digits[i] else "t", place, share, broken + 2 * bool(misread)))
         beside = digits[i] and any(str(int(x)) not in page.numbers for x in re.findall(r"\d+", bodies[i]))
         out.append((line, joins[i], misread, beside))
     tail = [w for x, f in zip(words[-4:], folios[-4:]) if not f for w in x][-TAIL:]
@@ -402,16 +410,18 @@ class LineModel:
 
     @staticmethod
     def prior(symbol: str) -> np.ndarray:
-        """Starting belief in (body, header, page number) for a line of this layout."""
-        code = ord(symbol) - FIRST_SYMBOL
-        shape, know, place = "ndt"[code // 16], code // 4 % 4, "fsil"[code % 4]
+        """Starting belief in (body, header, page number) for a line of these features; a broken word speaks for body."""
+        shape, know, place, flaw = _features(symbol)
         if shape == "n":  # a bare number is no title
             return np.array([0.03, 0.0, 0.97]) if know < 3 else np.array([0.7, 0.0, 0.3])
         if know >= 3:  # what the annotators wrote too is text by definition
             return np.array([1.0, 0.0, 0.0])
         if know == 2:
-            return np.array([0.9, 0.1, 0.0])
-        return np.array([0.25, 0.75, 0.0]) if place in "fs" else np.array([0.75, 0.25, 0.0])
+            p = np.array([0.9, 0.1, 0.0])
+        else:
+            p = np.array([0.25, 0.75, 0.0]) if place in "fs" else np.array([0.75, 0.25, 0.0])
+        p = p * ([1.0, 0.3, 1.0] if flaw & 1 else 1.0)
+        return p / p.sum()
 
     def _emit(self, symbol: str, bins: str) -> np.ndarray:
         p = np.log((self.layout[symbol] if symbol in self.layout else self.prior(symbol)) + 1e-12)
