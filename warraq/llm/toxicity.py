@@ -33,7 +33,7 @@ MOST_REVIEWED = 4000
 MOST_SENTENCES = 6000
 #: How likely a reviewed document is toxic, at most to count as harmless and at least to count as toxic.
 HARMLESS_BELOW, TOXIC_FROM = 0.05, 0.8
-THRESHOLD = 0.7
+THRESHOLD = 0.8
 BITS = 18
 
 _HIDE = re.compile(f"[{INVISIBLE}]+")
