@@ -102,3 +102,15 @@ def test_summary_without_keys(spark):
     r = stats.summarize(df, [], ["v"], F.col("n")).first()
     assert (r["n_pages"], r["n_values"], r["mean"]) == (3, 2, 3.0)
     assert stats.summarize(df.limit(0), [], ["v"], F.col("n")).count() == 0
+
+
+def test_summary_with_numpys_draws(spark):
+    rows = [("a", i, float(i % 7)) for i in range(50)] + [("b", 1, 2.0), ("b", 2, None), (None, 1, 3.0)]
+    df = spark.createDataFrame(rows, "system string, n int, v double")
+    got = {r["system"]: r for r in stats.summarize_numpy(df.repartition(3), ["system"], "v", "n").collect()}
+    mean, lo, hi = stats.bootstrap_numpy([float(i % 7) for i in range(50)])
+    assert (got["a"]["mean"], got["a"]["ci_lo"], got["a"]["ci_hi"], got["a"]["n_values"]) == (mean, lo, hi, 50)
+    assert got["b"]["n_values"] == 1 and got["b"]["ci_lo"] == 2.0 and got[None]["mean"] == 3.0
+    with pytest.raises(ValueError):
+        stats.summarize_numpy(df, ["system"], "v", "n", most=10)
+    assert stats.summarize_numpy(df.limit(0), ["system"], "v", "n").count() == 0

@@ -99,11 +99,31 @@ def bootstrap_numpy(values: Iterable[float | None], resamples: int = RESAMPLES,
     x = np.array([v for v in values if v is not None and v == v], dtype=float)
     if not len(x):
         return None, None, None
-    drawn = np.random.default_rng(seed).choice(x, size=(resamples, len(x)), replace=True).mean(axis=1)
+    rng, drawn = np.random.default_rng(seed), np.empty(0)
+    for left in range(resamples, 0, -(step := max(1, 4_000_000 // len(x)))):  # as many resamples at a time as memory is small
+        drawn = np.append(drawn, rng.choice(x, size=(min(step, left), len(x)), replace=True).mean(axis=1))
     lo, hi = np.quantile(drawn, [alpha / 2, 1 - alpha / 2])
     return float(x.mean()), float(lo), float(hi)
 
 
+def summarize_numpy(rows: DataFrame, keys: list[str], value: str, order: str, most: int = 1_000_000) -> DataFrame:
+    """(keys, n_values, mean, ci_lo, ci_hi) with :func:`bootstrap_numpy` for each group, its values in ``order``.
+
+    A group's values are drawn on one machine: groups of more than ``most`` values are refused (:func:`summarize` takes them).
+    """
+    slim = rows.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("_order"), F.col(value).cast("double").alias("_v"))
+    largest = slim.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} values, more than {most}")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_order", kind="stable")["_v"].to_numpy()
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "n_values": [len(x)], **{c: [v] for c, v in zip(("mean", "ci_lo", "ci_hi"), bootstrap_numpy(x))}})
+
+    kinds = dict(slim.dtypes)
+    return slim.groupBy(*keys).applyInPandas(one, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n_values long, mean double, ci_lo double, ci_hi double"]))
+
+
 # --- paired tests -------------------------------------------------------------
 
 

@@ -394,6 +394,20 @@ def q_der_summary(spark, d):
     return _rounded(stats.summarize(rows, ["system"], ["der_bounded", "diacritic_precision", "diacritic_recall", "diacritic_f1"], _unit()))
 
 
+@query
+def q_der_bounded_summary(spark, d):
+    """The bounded diacritic rate of the systems, and of the second annotator as one more of them, against the first."""
+    rows = evaluate.pairs(C.normalized(_latest(spark, d), "tashkeel_only"), (*S.SYSTEMS, "gt_hasan"))
+    rows = M.score(rows, [M.Rate("der_bounded", "der_bounded", "muhammad_tashkeel_only", "n_tashkeel_only")])
+    return _rounded(stats.summarize(rows, ["system"], ["der_bounded"], _unit()))
+
+
+@query
+def q_bootstrap_numpy(spark, d):
+    """Intervals by n draws from numpy's own generator, re-seeded for every group, pages in their order."""
+    return _rounded(stats.summarize_numpy(_cer(spark, d).where("ref = 'best'"), ["system"], "cer_no_tashkeel", "page_id"))
+
+
 def _iaa(spark: SparkSession, d: str, *metrics: str) -> DataFrame:
     p = evaluate.pairs(C.normalized(_latest(spark, d), *evaluate.MODES), ("gt_hasan",), {"muhammad": "gt_muhammad"})
     return evaluate.panel(p, "muhammad", metrics).select("page_id", *metrics)

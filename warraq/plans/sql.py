@@ -321,3 +321,7 @@ thr AS MATERIALIZED (SELECT page_id, {', '.join(f"{_chars(f'{x}_{m}', f'{y}_{m}'
 _THREE_NAMES = [f"cer_A{i}_A{j}{end}" for end in ("", "_norm") for i, j in ((1, 2), (1, 3), (2, 3))]
 ORACLE["q_third_annotator"] = f"{_THREE} SELECT page_id, {', '.join(f'round({c}, 6) AS {c}' for c in _THREE_NAMES)} FROM thr"
 ORACLE["q_third_annotator_means"] = f"{_THREE} SELECT count(*) AS pages, {', '.join(f'round(avg(round({c}, 6)), 6) AS {c}_mean' for c in _THREE_NAMES)} FROM thr"
+_BOUNDED = f"CASE WHEN greatest(length(r_marks), length(h_marks)) > 0 THEN {_chars('r_marks', 'h_marks')} / greatest(length(r_marks), length(h_marks)) ELSE 0.0 END"
+ORACLE["q_der_bounded_summary"] = f"""WITH {_NORM}, both_refs AS (SELECT page_id FROM norm WHERE system IN ({_list(S.REFERENCES.values())}) GROUP BY 1 HAVING count(*) = 2),
+p AS MATERIALIZED (SELECT h.page_id, h.system, r.marks AS r_marks, h.marks AS h_marks FROM norm h JOIN both_refs USING (page_id) JOIN norm r ON r.page_id = h.page_id AND r.system = 'gt_muhammad' WHERE h.system IN ({_SYSTEMS}, 'gt_hasan')),
+rows AS (SELECT system, {_NUM} AS u, {_BOUNDED} AS v FROM p), """ + _summary("rows", ["system"], "der_bounded")
