@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.session import checkpoint
+from warraq.session import checkpoint, small
 
 OPEN = 64
 #: Partitions whose leftovers one task of the next level merges.
@@ -99,7 +99,7 @@ def pack(items: DataFrame, windows: DataFrame, key: str = "doc_id", tokens: str
     kind = dict(base.dtypes)["_key"]
     groups = base.rdd.getNumPartitions()
     # A row for each piece: the full ones, which need no packing, and the rest.
-    pieces = base.crossJoin(F.broadcast(sizes)).withColumn("whole", F.floor((F.col("_n") - 1) / F.col("capacity")).cast("int"))
+    pieces = base.crossJoin(small(sizes)).withColumn("whole", F.floor((F.col("_n") - 1) / F.col("capacity")).cast("int"))
     full = pieces.where("whole > 0").select(
         "window_id", "capacity", "_key", "_row", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece")
     )
