@@ -72,22 +72,25 @@ def test_consensus_edges(spark):
     assert empty.departing().count() == 0 and empty.consensus().count() == 0 and empty.reliability().count() == 0
 
 
+def test_kinds_of_guesses():
+    assert [consensus.kind_of(v, "قلم") for v in ("", "قلم", "قدم", "قلما", "كتاب", "ق")] == ["e", "w", "n", "n", "w", "w"] and consensus.kind_of("x", "") == "w"
+
+
 def test_posterior_against_enumeration():
     """Every value in turn taken for the true one, all labels multiplied up."""
-    import math
-
-    params = {"a": (0.9, 0.7), "b": (0.6, 0.2), "c": (0.99, 0.5)}
-    pattern = ((False, (("a", 2.0), ("b", 1.0))), (True, (("c", 1.0),)), (False, (("b", 1.0),)))
+    params = {"a": (0.9, (0.2, 0.1, 0.7)), "b": (0.6, (0.5, 0.3, 0.2)), "c": (0.99, (0.4, 0.3, 0.3))}
+    pattern = (("w", (("a", 2.0), ("b", 1.0))), ("e", (("c", 1.0),)), ("n", (("b", 1.0),)), ("w", (("c", 1.0),)))
+    labels = {"e": 1, "n": 1 + 10, "w": 2 + 20}
     likes = []
-    for t in range(3):
+    for t in range(4):
         like = 1.0
-        for v, (empty, votes) in enumerate(pattern):
+        for v, (kind, votes) in enumerate(pattern):
             for who, n in votes:
                 c, p = params[who]
-                g = (1 - c) * ((1 - p) if empty else p / (2 + consensus.OTHER_WORDS))
+                g = (1 - c) * p["enw".index(kind)] / labels[kind]
                 like *= (c + g if v == t else g) ** n
         likes.append(like)
-    assert consensus.posterior(pattern, params) == pytest.approx([x / sum(likes) for x in likes]) and math.isclose(sum(likes) / sum(likes), 1)
+    assert consensus.posterior(pattern, params) == pytest.approx([x / sum(likes) for x in likes])
 
 
 # --- packing -----------------------------------------------------------------------

@@ -3,7 +3,8 @@
 Every page's wordings are aligned with its commonest one, which turns them into labels on word
 slots and on the gaps between them. A competence-and-spamming mixture explains the labels: each is
 the slot's true word with the annotator's competence, or else drawn from the annotator's own guess
-distribution (a word, or nothing). Expectation-maximisation yields competences, guess distributions
+distribution over kinds of labels (nothing, a word near the slot's own, any other), evenly within a
+kind. Expectation-maximisation yields competences, guess distributions
 and, for every slot, the posterior over its candidate words.
 """
 
@@ -13,20 +14,24 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.homoglyph import Form
-from warraq.llm.wording import ABSTAIN, words_of
+from warraq.llm.wording import ABSTAIN, distance, words_of
 from warraq.session import checkpoint, hot_keys, salted_join
 
 #: Rounds of expectation-maximisation at most, and the change of any rate below which they end.
 ROUNDS = 40
 CONVERGED = 1e-4
 START_COMPETENCE = 0.9
-#: Words that a guess may fall on besides those seen at the slot.
-OTHER_WORDS = 20
+#: Kinds of labels (nothing, a word of one letter's difference, any other), and how many labels of a kind a guess may
+#: fall on besides those seen at the slot.
+KINDS = "enw"
+UNSEEN = {"e": 0, "n": 10, "w": 20}
+EVEN = (1 / 3, 1 / 3, 1 / 3)
 
 
 def align(words: list[str], pivot: list[str]) -> list[tuple[int, str]]:
@@ -80,17 +85,24 @@ def align(words: list[str], pivot: list[str]) -> list[tuple[int, str]]:
 
 # --- the mixture -------------------------------------------------------------
 
-# A pattern is what the mixture sees of a slot: for each candidate value, whether it is empty and
+# A pattern is what the mixture sees of a slot: for each candidate value, its kind and
 # how many votes of which annotator it got. Slots with equal patterns have equal posteriors.
-Pattern = tuple[tuple[bool, tuple[tuple[str, float], ...]], ...]
-Params = dict[str, tuple[float, float]]  # annotator -> competence, chance that a guess is a word
+Pattern = tuple[tuple[str, tuple[tuple[str, float], ...]], ...]
+Params = dict[str, tuple[float, tuple[float, ...]]]  # annotator -> competence, chances of a guess's kinds
 
 
 _VALUE, _VOTE, _COUNT = "\x1d", "\x1e", "\x1f"  # separators of a pattern's text
 
 
-def pattern_text(values: list[tuple[bool, dict[str, float]]]) -> str:
-    return _VALUE.join(("e" if empty else "w") + _VOTE.join(f"{a}{_COUNT}{n:g}" for a, n in sorted(votes.items())) for empty, votes in values)
+def kind_of(value: str, own: str) -> str:
+    """Nothing, near the slot's own word (one letter's difference), or any other word."""
+    if not value:
+        return "e"
+    return "n" if own and value != own and abs(len(value) - len(own)) <= 1 and distance(value, own) == 1 else "w"
+
+
+def pattern_text(values: list[tuple[str, dict[str, float]]]) -> str:
+    return _VALUE.join(kind + _VOTE.join(f"{a}{_COUNT}{n:g}" for a, n in sorted(votes.items())) for kind, votes in values)
 
 
 @lru_cache(maxsize=100_000)
@@ -98,23 +110,25 @@ def _parse(text: str) -> Pattern:
     out = []
     for part in text.split(_VALUE):
         votes = tuple((v.rpartition(_COUNT)[0], float(v.rpartition(_COUNT)[2])) for v in part[1:].split(_VOTE) if v)
-        out.append((part[0] == "e", votes))
+        out.append((part[0], votes))
     return tuple(out)
 
 
-def _guess(empty: bool, words: int, p: float) -> float:
-    return (1 - p) if empty else p / (words + OTHER_WORDS)
+def _guesses(pattern: Pattern) -> dict[str, int]:
+    """How many labels of each kind a guess may fall on at the slot."""
+    kinds = [kind for kind, _ in pattern]
+    return {k: max(1, kinds.count(k) + UNSEEN[k]) for k in KINDS}
 
 
 def posterior(pattern: Pattern, params: Params) -> list[float]:
     """Probability of each candidate value being the true one."""
-    words = sum(not e for e, _ in pattern)
+    many = _guesses(pattern)
     logs = []  # of each value's odds against all labels being guesses: one pass over the votes
-    for empty, votes in pattern:
+    for kind, votes in pattern:
         s = 0.0
         for a, n in votes:
-            c, p = params.get(a, (START_COMPETENCE, 0.5))
-            g = (1 - c) * _guess(empty, words, p)
+            c, p = params.get(a, (START_COMPETENCE, EVEN))
+            g = (1 - c) * p[KINDS.index(kind)] / many[kind]
             s += n * math.log((c + g) / g)
         logs.append(s)
     top = max(logs)
@@ -123,16 +137,16 @@ def posterior(pattern: Pattern, params: Params) -> list[float]:
     return [x / z for x in q]
 
 
-def expected(pattern: Pattern, params: Params) -> list[tuple[str, float, float, float]]:
-    """Expected (annotator, truthful labels, guessed words, guessed nothings) of a slot."""
+def expected(pattern: Pattern, params: Params) -> list[tuple]:
+    """Expected (annotator, truthful labels, guesses of each kind) of a slot."""
     q = posterior(pattern, params)
-    words = sum(not e for e, _ in pattern)
+    many = _guesses(pattern)
     out = []
-    for v, (empty, votes) in enumerate(pattern):
+    for v, (kind, votes) in enumerate(pattern):
         for a, n in votes:
-            c, p = params.get(a, (START_COMPETENCE, 0.5))
-            true = q[v] * c / (c + (1 - c) * _guess(empty, words, p))
-            out.append((a, n * true, 0.0 if empty else n * (1 - true), n * (1 - true) if empty else 0.0))
+            c, p = params.get(a, (START_COMPETENCE, EVEN))
+            true = q[v] * c / (c + (1 - c) * p[KINDS.index(kind)] / many[kind])
+            out.append((a, n * true, *[n * (1 - true) if kind == k else 0.0 for k in KINDS]))
     return out
 
 
@@ -143,19 +157,21 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> Params:
         now = dict(params)
 
         def step(batches: Iterator[pd.DataFrame], now: Params = now) -> Iterator[pd.DataFrame]:
-            total: dict[str, list[float]] = {}
+            total: dict[str, np.ndarray] = {}
             for pdf in batches:
                 for text, slots in zip(pdf["pattern"], pdf["slots"]):
-                    for a, t, w, e in expected(_parse(text), now):
-                        s = total.setdefault(a, [0.0, 0.0, 0.0])
-                        s[0] += slots * t
-                        s[1] += slots * w
-                        s[2] += slots * e
-            yield pd.DataFrame([(a, *s) for a, s in total.items()], columns=["annotator", "t", "w", "e"])
-
-        sums = patterns.mapInPandas(step, "annotator string, t double, w double, e double").groupBy("annotator").agg(F.sum("t").alias("t"), F.sum("w").alias("w"), F.sum("e").alias("e"))
-        last, params = params, {r["annotator"]: (min(0.9999, (r["t"] + 0.9) / (r["t"] + r["w"] + r["e"] + 1.0)), (r["w"] + 0.5) / (r["w"] + r["e"] + 1.0)) for r in sums.collect()}
-        if last.keys() == params.keys() and all(abs(x - y) < CONVERGED for a in params for x, y in zip(params[a], last[a])):
+                    for a, *sums in expected(_parse(text), now):
+                        total.setdefault(a, np.zeros(1 + len(KINDS)))[:] += slots * np.array(sums)
+            yield pd.DataFrame([(a, *s) for a, s in total.items()], columns=["annotator", "t", *KINDS])
+
+        kinds = ", ".join(f"{k} double" for k in KINDS)
+        sums = patterns.mapInPandas(step, f"annotator string, t double, {kinds}").groupBy("annotator").agg(*[F.sum(c).alias(c) for c in ("t", *KINDS)])
+        last, params = params, {}
+        for r in sums.collect():
+            guesses = sum(r[k] for k in KINDS)
+            chances = tuple((r[k] + 0.5) / (guesses + 0.5 * len(KINDS)) for k in KINDS)
+            params[r["annotator"]] = (min(0.9999, (r["t"] + 0.9) / (r["t"] + guesses + 1.0)), chances)
+        if last.keys() == params.keys() and all(abs(x - y) < CONVERGED for a in params for x, y in zip((params[a][0], *params[a][1]), (last[a][0], *last[a][1]))):
             break
     return params
 
@@ -235,7 +251,7 @@ class Consensus:
                     for a, n in by.pop(own, {}).items():
                         mine[a] = mine.get(a, 0.0) + n
                     values = sorted(by.items(), key=lambda kv: (-sum(kv[1].values()), kv[0]))
-                    out.append((page, slot, own, [own] + [v for v, _ in values], pattern_text([(own == "", mine)] + [(v == "", d) for v, d in values])))
+                    out.append((page, slot, own, [own] + [v for v, _ in values], pattern_text([(kind_of(own, own), mine)] + [(kind_of(v, own), d) for v, d in values])))
                 yield pd.DataFrame(out, columns=["_page", "slot", "own", "values", "pattern"])
 
         return slots.mapInPandas(scan, "_page string, slot int, own string, values array<string>, pattern string")
@@ -327,6 +343,7 @@ class Consensus:
         )
 
     def reliability(self) -> DataFrame:
-        """(annotator, competence, guesses_word) as estimated by the mixture."""
+        """(annotator, competence, guesses_nothing, guesses_near, guesses_other) as estimated by the mixture."""
         spark = self.rows.sparkSession
-        return spark.createDataFrame([(a, c, p) for a, (c, p) in sorted(self.params.items())], "annotator string, competence double, guesses_word double")
+        rows = [(a, c, *p) for a, (c, p) in sorted(self.params.items())]
+        return spark.createDataFrame(rows, "annotator string, competence double, guesses_nothing double, guesses_near double, guesses_other double")
