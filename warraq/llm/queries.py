@@ -113,7 +113,9 @@ def _mix(spark: SparkSession, sf_dir: str):
 
 
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).records()
+    """The chosen records with their uses, the place of the first in the schedule, and all places as text."""
+    chosen = _mix(spark, sf_dir).records()
+    return chosen.withColumns({"slot": F.get("slots", F.lit(0)), "slots": F.array_join(F.col("slots").cast("array<string>"), ",")})
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
